@@ -50,7 +50,7 @@ def join_tags(col: Column | str) -> Column:
 
 
 # What a Unicode-aware trim takes off both ends.
-_BLANKS = r"[\t\n\x0B\f\r \u0085   -     　]+"
+_BLANKS = r"[\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 def trim_blanks(col: Column | str) -> Column:
