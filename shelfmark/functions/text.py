@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ def as_column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row.
+
+    A column that a lambda refers to would otherwise be computed anew for every element.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def fold(col: Column | str) -> Column:
     """Lower case, single diacritics off; letters with two marks keep both."""
     # A capital sigma folds to the same letter wherever it stands, so it goes before lower().
