@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ARTICLE_LISTS, ARTICLE_STRINGS, SOURCE_LISTS, SOURCE_STRINGS
-from .text import as_column, trim_blanks
+from .text import as_column, trim_blanks, with_once
 
 MARKER = "---"
 PREVIEW_BYTES = 1000
@@ -208,38 +208,31 @@ def extract_front_matter(
     schema = _front_matter_type(strings, lists)
     joined = F.regexp_replace("fm_text", r"\r?\n[ \t]*-[ \t]+", _ITEM)
     lines = F.split(F.coalesce(joined, F.lit("")), r"\r?\n")
-    staged = (
-        docs.withColumn("_lines", F.filter(lines, lambda line: ~line.rlike(_IDLE_LINE)))
-        .withColumn(
-            "_entries",
-            F.transform(
-                "_lines",
-                lambda line: F.struct(
-                    F.regexp_extract(line, _KEY_LINE, 1).alias("key"),
-                    F.concat(
-                        F.regexp_extract(line, _KEY_LINE, 2), F.regexp_extract(line, _KEY_LINE, 3)
-                    ).alias("value"),
-                ),
-            ),
-        )
-        .withColumn(
-            "_flat",
-            ~F.coalesce(F.col("fm_text"), F.lit("")).contains(_ITEM)
-            & F.forall("_entries", lambda e: (e["key"] != "") & _is_flat(e["value"])),
-        )
-        .withColumn(
-            "_twice",
-            F.size("_entries") > F.size(F.array_distinct(F.col("_entries.key"))),
-        )
-        .withColumn(
-            "_map",
-            F.map_from_entries(
-                F.when(F.col("_flat") & ~F.col("_twice"), F.col("_entries")).otherwise(
-                    F.filter("_entries", lambda e: F.lit(False))
-                )
-            ),
-        )
+    entries = F.transform(
+        F.filter(lines, lambda line: ~line.rlike(_IDLE_LINE)),
+        lambda line: F.struct(
+            F.regexp_extract(line, _KEY_LINE, 1).alias("key"),
+            F.concat(
+                F.regexp_extract(line, _KEY_LINE, 2), F.regexp_extract(line, _KEY_LINE, 3)
+            ).alias("value"),
+        ),
+    )
+    staged = with_once(docs, "_entries", entries)
+    staged = with_once(
+        staged,
+        "_is",
+        F.struct(
+            (
+                ~F.coalesce(F.col("fm_text"), F.lit("")).contains(_ITEM)
+                & F.forall("_entries", lambda e: (e["key"] != "") & _is_flat(e["value"]))
+            ).alias("flat"),
+            (F.size("_entries") > F.size(F.array_distinct(F.col("_entries.key")))).alias("twice"),
+        ),
+    )
+    usable = F.when(F.col("_is.flat") & ~F.col("_is.twice"), F.col("_entries")).otherwise(
+        F.filter("_entries", lambda e: F.lit(False))
     )
+    staged = with_once(staged, "_map", F.map_from_entries(usable))
 
     def value(name: str) -> Column:
         return F.coalesce(F.col("_map")[name], F.lit(""))
@@ -264,25 +257,25 @@ def extract_front_matter(
         F.transform_values(
             F.map_filter("_map", lambda k, v: ~k.isin(*known)), lambda k, v: _json_of(v)
         ).alias("rest"),
-        F.when(F.col("_twice"), F.lit("key given twice")).otherwise(wrong).alias("parse_error"),
+        F.when(F.col("_is.twice"), F.lit("key given twice")).otherwise(wrong).alias("parse_error"),
     ).cast(schema)
     if yaml_fallback:
         staged = staged.withColumn(
-            "_loaded", _yaml_udf(strings, lists)(F.when(~F.col("_flat"), F.col("fm_text")))
+            "_loaded", _yaml_udf(strings, lists)(F.when(~F.col("_is.flat"), F.col("fm_text")))
         )
         other = F.col("_loaded")
     else:
         other = F.lit(None).cast(schema).withField(
             "parse_error", F.lit("front matter is not flat")
         )
-    chosen = F.when(F.col("_flat"), native)
+    chosen = F.when(F.col("_is.flat"), native)
     for name in strings:
         other = other.withField(name, F.coalesce(other[name], F.lit("")))
     other = other.withField(
         "rest", F.coalesce(other["rest"], F.create_map().cast("map<string,string>"))
     )
-    return staged.withColumn("fm", chosen.otherwise(other)).drop(
-        "_lines", "_entries", "_flat", "_twice", "_map", "_loaded"
+    return with_once(staged, "fm", chosen.otherwise(other)).drop(
+        "_entries", "_is", "_map", "_loaded"
     )
 
 

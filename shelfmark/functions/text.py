@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What ends a token: anything that is no letter, number or private-use character.
@@ -41,6 +41,15 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row, however often later steps use it.
+
+    A generator of one row keeps Catalyst from copying the expression into every use and into
+    the filters it pushes down.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def fold(col: Column | str) -> Column:
     """Lower case, single diacritics off; letters with two marks keep both."""
     # A capital sigma folds to the same letter wherever it stands, so it goes before lower().
