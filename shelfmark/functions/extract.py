@@ -234,48 +234,64 @@ def extract_front_matter(
     )
     staged = with_once(staged, "_map", F.map_from_entries(usable))
 
-    def value(name: str) -> Column:
-        return F.coalesce(F.col("_map")[name], F.lit(""))
-
     def is_list(v: Column) -> Column:
         return v.startswith(_ITEM) | v.rlike(_FLOW_LIST)
 
-    wrong = F.coalesce(
-        *[F.when(is_list(value(n)), F.lit(f"wrong type for {n}")) for n in strings],
-        *[
-            F.when(~is_list(value(n)) & ~value(n).isin(*_NULLS), F.lit(f"wrong type for {n}"))
-            for n in lists
-        ],
+    def of_wrong_type(key: Column, v: Column) -> Column:
+        listed = is_list(v)
+        return F.when(key.isin(*strings), listed).otherwise(
+            key.isin(*lists) & ~listed & ~v.isin(*_NULLS)
+        )
+
+    texts = F.transform_values(
+        F.map_filter("_map", lambda k, v: k.isin(*strings) & ~is_list(v)), lambda k, v: _text_of(v)
+    )
+    listed = F.transform_values(
+        F.map_filter("_map", lambda k, v: k.isin(*lists)),
+        lambda k, v: F.transform(_items(v), _text_of),
+    )
+    rest = F.transform_values(
+        F.map_filter("_map", lambda k, v: ~k.isin(*strings, *lists)), lambda k, v: _json_of(v)
+    )
+    wrong = F.map_keys(F.map_filter("_map", of_wrong_type))
+    staged = with_once(
+        staged,
+        "_read",
+        F.struct(
+            texts.alias("texts"), listed.alias("lists"), rest.alias("rest"), wrong.alias("wrong")
+        ),
     )
-    known = [*strings, *lists]
     native = F.struct(
-        *[
-            F.when(is_list(value(n)), F.lit("")).otherwise(_text_of(value(n))).alias(n)
-            for n in strings
-        ],
-        *[F.transform(_items(value(n)), _text_of).alias(n) for n in lists],
-        F.transform_values(
-            F.map_filter("_map", lambda k, v: ~k.isin(*known)), lambda k, v: _json_of(v)
-        ).alias("rest"),
-        F.when(F.col("_is.twice"), F.lit("key given twice")).otherwise(wrong).alias("parse_error"),
+        *[F.coalesce(F.col("_read.texts")[name], F.lit("")).alias(name) for name in strings],
+        *[F.col("_read.lists")[name].alias(name) for name in lists],
+        F.col("_read.rest").alias("rest"),
+        F.when(F.col("_is.twice"), F.lit("key given twice"))
+        .when(
+            F.size("_read.wrong") > 0,
+            F.concat(F.lit("wrong type for "), F.array_join("_read.wrong", ", ")),
+        )
+        .alias("parse_error"),
     ).cast(schema)
     if yaml_fallback:
         staged = staged.withColumn(
             "_loaded", _yaml_udf(strings, lists)(F.when(~F.col("_is.flat"), F.col("fm_text")))
         )
-        other = F.col("_loaded")
     else:
-        other = F.lit(None).cast(schema).withField(
-            "parse_error", F.lit("front matter is not flat")
+        unread = dict.fromkeys(schema.names, F.lit(None))
+        unread["parse_error"] = F.lit("front matter is not flat")
+        staged = staged.withColumn(
+            "_loaded", F.struct(*[v.alias(n) for n, v in unread.items()]).cast(schema)
         )
-    chosen = F.when(F.col("_is.flat"), native)
-    for name in strings:
-        other = other.withField(name, F.coalesce(other[name], F.lit("")))
-    other = other.withField(
-        "rest", F.coalesce(other["rest"], F.create_map().cast("map<string,string>"))
+    loaded = F.col("_loaded")
+    other = F.struct(
+        *[F.coalesce(loaded[name], F.lit("")).alias(name) for name in strings],
+        *[loaded[name].alias(name) for name in lists],
+        F.coalesce(loaded["rest"], F.create_map().cast("map<string,string>")).alias("rest"),
+        loaded["parse_error"].alias("parse_error"),
     )
+    chosen = F.when(F.col("_is.flat"), native)
     return with_once(staged, "fm", chosen.otherwise(other)).drop(
-        "_entries", "_is", "_map", "_loaded"
+        "_entries", "_is", "_map", "_read", "_loaded"
     )
 
 

@@ -175,15 +175,8 @@ def _classified(spark, sf) -> DataFrame:
 
 
 def _outcomes(spark, sf) -> DataFrame:
-    classified = _classified(spark, sf)
-    candidates = classified.filter(F.col("outcome") == ingest.PROCESSED).drop("outcome", "reason")
-    known = _sources(_labelled(spark, sf))
-    routed = ingest.drop_known_urls(candidates, known)
-    names = ("path", "outcome", "reason", "existing_id")
-    refused = classified.filter(F.col("outcome") != ingest.PROCESSED)
-    return routed.select(*names).unionByName(
-        refused.withColumn("existing_id", F.lit(None).cast("string")).select(*names)
-    )
+    taken, others = ingest.route_files(_classified(spark, sf), _sources(_labelled(spark, sf)))
+    return taken.select(*others.columns).unionByName(others)
 
 
 def _source_fields(spark, sf):
