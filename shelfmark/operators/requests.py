@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import rekey_ulid
+from ..functions.text import with_once
 from ..functions.vectors import decode_embedding
 from .embed import embed
 from .knn import knn
@@ -43,7 +44,7 @@ def route_requests(requests: DataFrame) -> DataFrame:
 
 def decode_embeddings(df: DataFrame, col: str, out: str = "embedding") -> DataFrame:
     """Decode a base64 column to vectors; a text that is none gets null and a decode_error."""
-    return df.withColumn(out, decode_embedding(col)).withColumn(
+    return with_once(df, out, decode_embedding(col)).withColumn(
         "decode_error", F.when(F.col(out).isNull(), F.lit("invalid embedding"))
     )
 
@@ -65,8 +66,8 @@ def semantic_search(
     bounds the limits of the batch, which cut each result afterwards.
     """
     routed = route_requests(requests).filter(F.col("route") != "rejected")
-    given = routed.filter(F.col("route") == "vector").withColumn(
-        "vector", decode_embedding("embedding")
+    given = decode_embeddings(routed.filter(F.col("route") == "vector"), "embedding", "vector").drop(
+        "decode_error"
     )
     made = embed(routed.filter(F.col("route") == "text"), "query", model, dim, out="vector")
     asked = given.unionByName(made).select(

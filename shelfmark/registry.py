@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import extract
 from .functions.ids import rekey_ulid
-from .functions.vectors import cosine, decode_embedding
+from .functions.vectors import cosine
 from .operators import ingest, knn, records, requests, text_index
 from .operators.embed import embed
 from .plans.shared import shared_folder, spread_input
@@ -307,7 +307,8 @@ def _pair_cosine(spark, sf):
 
 def _decode(spark, sf):
     """The 32 hex digits of an md5 are base64 of 24 bytes, that is, 6 floats of any kind."""
-    rows = _documents(spark, sf).select("doc_id", decode_embedding(F.md5("text")).alias("v"))
+    texts = _documents(spark, sf).select("doc_id", F.md5("text").alias("encoded"))
+    rows = requests.decode_embeddings(texts, "encoded", "v")
     cells = rows.select("doc_id", F.posexplode("v").alias("pos", "x"))
     return cells.select(
         "doc_id", "pos",
