@@ -11,4 +11,8 @@ sys.path[:0] = [os.path.dirname(HERE), HERE]
 def spark():
     from check import session
 
-    return session(4)
+    spark = session(4)
+    # Tiny tables: compiling every stage would take longer than running it.
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    return spark
