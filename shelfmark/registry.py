@@ -6,6 +6,7 @@ vectors and labels for batches of keys.  Every query reads its tables whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -201,7 +202,7 @@ def _index(spark: SparkSession, sf: str, kind: str) -> text_index.TextIndex:
         else:
             fields = {"summary": F.col("text"), "title": _first_line(), "topic": F.col("source")}
             built = text_index.build_index(docs, fields, "doc_id")
-        _INDEXES[key] = text_index.write_index(built, f"{shared_folder(spark)}/index/{kind}-{len(_INDEXES)}")
+        _INDEXES[key] = text_index.write_index(built, f"{shared_folder(spark)}/{kind}-index-{uuid.uuid4().hex}")
     return _INDEXES[key]
 
 
