@@ -2,8 +2,8 @@
 
 The tree is cut level by level.  In every node the widest dimension is cut at the weighted quantile
 that leaves each side the bytes of its leaves (the median where both sides have as many).  Quantiles
-come from histograms that Spark sums by (node, bin), refined ten bits at a time; the driver sees only
-bins, at most 1024 a node.  The table of points (numbers only, no texts) is rewritten once a level.
+come from histograms that Spark sums by (node, bin), refined twelve bits at a time; the driver sees only
+bins, at most 4096 a node.  The table of points (numbers only, no texts) is rewritten once a level.
 
 Dimensions: size (logarithmic), place in the corpus (doc_id), language and source (hashed).  Equal texts
 form a group that shares the metadata of its first row, and so lies in one leaf.  A group above
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bit_hash, table, written
 
 DIMENSIONS = ("at_size", "at_id", "at_lang", "at_source")
-KEY_BITS, STEP_BITS = 60, 10
+KEY_BITS, STEP_BITS = 60, 12
 SLOT_ROWS = 1 << 16
 
 
@@ -84,7 +84,7 @@ def place_in_tree(points: DataFrame, shards: int, tolerance: int) -> DataFrame:
     """The points with `node`, the number of the leaf each lies in.
 
     A node is named by its first leaf; its cut leaves the bytes of half its leaves, rounded down, below.
-    A bin of at most `tolerance` bytes is not refined.
+    A bin of one row or at most `tolerance` bytes is not refined.
     """
     placed = points.withColumn("node", F.lit(0))
     open_nodes = {0: shards} if shards > 1 else {}
@@ -110,19 +110,19 @@ def place_in_tree(points: DataFrame, shards: int, tolerance: int) -> DataFrame:
                 placed.select("node", _key(widest).alias("key"), _of_node(prefixes).alias("prefix"), "size")
                 .where(F.shiftright("key", shift + STEP_BITS) == F.col("prefix"))
                 .groupBy("node", F.shiftright("key", shift).alias("bin"))
-                .agg(F.sum("size").alias("bytes"))
+                .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
                 .collect()
             )
             for r in sums:
-                bins[r["node"]].append((r["bin"], r["bytes"]))
+                bins[r["node"]].append((r["bin"], r["bytes"], r["rows"]))
             for k in list(want):
-                for b, size in sorted(bins[k]):  # noqa: B007
+                for b, size, rows in sorted(bins[k]):  # noqa: B007
                     if want[k] <= size:
                         break
                     want[k] -= size
                 cuts[k] = (b if want[k] * 2 < size else b + 1) << shift
                 prefixes[k] = b
-                if size <= tolerance:
+                if size <= tolerance or rows == 1:
                     del want[k]
                     prefixes[k] = -1
             shift -= STEP_BITS
