@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, kd_shards, packing
+from . import bpe, exact_dedup, kd_shards, packing, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kd_shards": kd_shards.op2_kd_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_bpe": bpe.op7_bpe,
         "op10_packing": packing.op10_packing,
     }
