@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, kd_shards, packing, substring_dedup
+from . import bpe, exact_dedup, jaccard_join, kd_shards, packing, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_bpe": bpe.op7_bpe,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_packing": packing.op10_packing,
     }
 
