@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Words, plain_text, table
+from .common import Words, by_bytes, plain_text, table
 
-KNOWN_RUNS = 1_500_000
+KNOWN_RUNS = 600_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -227,9 +227,9 @@ class Bpe:
         if len(self.known):
             new = self.known[np.minimum(at, len(self.known) - 1)] != distinct
         if new.any():
-            data = words.data.tobytes()
+            data = memoryview(words.data)
             spans = zip(words.begin[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
-            self._learn(distinct[new], [data[i:j] for i, j in spans])
+            self._learn(distinct[new], [bytes(data[i:j]) for i, j in spans])
             at = np.searchsorted(self.known, distinct)
         length = self.known_length[at][place] if len(place) else np.zeros(0, np.int64)
         begins = np.append(0, np.cumsum(length))
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         model = model_of(shared)
-        for batch in batches:
+        for batch in by_bytes(batches):
             ids, begins, borders = model.encode(batch["text"])
             offsets = pa.array(borders.astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
@@ -289,7 +289,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         model = model_of(shared)
         decimal, tokens = model.decimal.__getitem__, model.tokens.__getitem__
-        for batch in batches:
+        for batch in by_bytes(batches):
             flat, _, borders = model.encode(batch["text"])
             counts, ids_sha, text_sha = [], [], []
             for i, j in pairwise(borders.tolist()):

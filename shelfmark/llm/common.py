@@ -6,6 +6,7 @@ import contextlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,19 @@ def plain_text(array) -> pa.Array:
     return array.cast(pa.large_string()).fill_null("")
 
 
+def by_bytes(batches, column: str = "text", limit: int = 8 << 20):
+    """Arrow batches cut to slices of about `limit` bytes of text and at most 2**15 rows, to bound memory."""
+    for batch in batches:
+        lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(lengths.astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = total[at - 1] if at else 0
+            stop = min(at + (1 << 15), max(at + 1, int(np.searchsorted(total, before + limit, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 class Words:
     """The words of a batch of texts: hashes, byte ranges, and each text's first word.
 

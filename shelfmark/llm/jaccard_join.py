@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, table, windows_hash, written
+from .common import Words, by_bytes, mix, table, windows_hash, written
 from .components import components
 
 _ROW = np.uint64(48)
@@ -74,13 +74,6 @@ class Features:
         return out
 
 
-def slices(batches, rows: int = 1 << 15):
-    """Batches of at most so many rows, as the row number has 16 bits."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 class Bands:
     """Bands of sizes, and for each the groups and parts its signatures use."""
 
@@ -170,7 +163,7 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
     """(doc, size, digest1, digest2) of every document's set."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in by_bytes(batches):
             f = Features(batch["text"], width)
             one, two = f.digests()
             yield pa.RecordBatch.from_arrays(
@@ -190,7 +183,7 @@ def signatures(docs: DataFrame, width: int, of: int, largest: int) -> DataFrame:
     bands = Bands(of, largest)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in by_bytes(batches):
             f = Features(batch["text"], width)
             one, two = f.digests()
             docs_here = batch["doc"].to_numpy(zero_copy_only=False)
@@ -226,7 +219,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc, size, items) of the wanted documents; the items are 48-bit features as long numbers."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in by_bytes(batches):
             f = Features(batch["text"], width)
             raw = f.values.astype("<u8").tobytes()
             borders = (f.starts * 8).tolist()

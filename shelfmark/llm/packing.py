@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import model_of, share_model
-from .common import table
+from .common import by_bytes, table
 
 SIZE = 2048
 END_ID = 1
@@ -178,9 +178,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int
     def run(batches):
         model = model_of(shared)
         stream = _Stream(TaskContext.get().partitionId() << 40, size, reach)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in by_bytes(batches):
             ids, words, borders = model.encode(batch["text"])
             lengths = np.diff(borders) + 1
             # Every document's ids move up by the end ids before it.

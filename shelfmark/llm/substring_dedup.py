@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, table, windows_hash, written
+from .common import Words, by_bytes, mix, table, windows_hash, written
 
 LENGTH = 20
 SEED = 8
@@ -84,7 +84,7 @@ def _spans(words: Words, length: int) -> dict[str, np.ndarray]:
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             s = _spans(Words(batch["text"]), length)
             if not s:
                 continue
@@ -125,7 +125,7 @@ def _open_windows(docs: DataFrame, length: int) -> DataFrame:
     """The windows of the listed spans: (seed, window, doc, start)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             words = Words(batch["text"])
             windows = windows_hash(words.hashes, length)
             row, spans = _list_numbers(batch["spans"])
@@ -202,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             words = Words(batch["text"])
             row, passages = _list_numbers(batch["_passages"])
             passages = passages.to_numpy(zero_copy_only=False).astype(np.int64)
