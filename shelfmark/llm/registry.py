@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard_join, kd_shards, packing, substring_dedup
+from . import bpe, embedding_dedup, exact_dedup, jaccard_join, kd_shards, packing, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_bpe": bpe.op7_bpe,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_packing": packing.op10_packing,
     }

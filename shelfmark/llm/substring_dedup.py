@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import Words, by_bytes, mix, table, windows_hash, written
 
@@ -220,7 +221,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=[*names, "_kept", "_words", "_removed"],
             )
 
-    schema = joined.drop("_passages").schema.add("_kept", "string").add("_words", "long").add("_removed", "long")
+    extra = [StructField("_kept", StringType()), StructField("_words", LongType()), StructField("_removed", LongType())]
+    schema = StructType([*docs.schema, *extra])
     return joined.mapInArrow(run, schema)
 
 
