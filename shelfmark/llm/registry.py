@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard_join, kd_shards, packing, substring_dedup, toxicity
+from . import bpe, embedding_dedup, exact_dedup, jaccard_join, kd_shards, maxent, packing, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_maxent": maxent.op1_maxent,
         "op2_kd_shards": kd_shards.op2_kd_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
