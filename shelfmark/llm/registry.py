@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard_join, kd_shards, maxent, packing, substring_dedup, toxicity
+from . import bpe, embedding_dedup, exact_dedup, jaccard_join, kd_shards, maxent, packing, quotations, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_maxent": maxent.op1_maxent,
         "op2_kd_shards": kd_shards.op2_kd_shards,
+        "op3_quotations": quotations.op3_quotations,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(exact_dedup.ORACLE)
+    return exact_dedup.ORACLE | quotations.ORACLE
