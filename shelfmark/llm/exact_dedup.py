@@ -83,7 +83,7 @@ def keep_first(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> D
     Ties in doc_id go to the row that is smallest in the other columns.
     """
     names = docs.columns
-    digest, others = "_digest", [c for c in names if c != "doc_id"]
+    digest, others = "__llm_digest", [c for c in names if c != "doc_id"]
     marked = docs.withColumn(digest, text_digest())
     ids = written(marked.select("doc_id", F.col(digest).alias("digest")), "digests")
     frequent = F.broadcast(written(heavy_digests(ids, heavy, tracked), "heavy"))
@@ -91,17 +91,17 @@ def keep_first(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> D
     winners = (
         ids.join(frequent, "digest")
         .groupBy(F.col("digest").alias(digest))
-        .agg(F.min(place).alias("_first"))
+        .agg(F.min(place).alias("__llm_first"))
     )
     # Map side: of a frequent text only rows with the winner's id are left, and of those one.
-    stay = marked.join(F.broadcast(winners), digest).where(F.col("doc_id").eqNullSafe(F.col("_first.doc_id")))
+    stay = marked.join(F.broadcast(winners), digest).where(F.col("doc_id").eqNullSafe(F.col("__llm_first.doc_id")))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    by_map = stay.groupBy(digest).agg(F.min(row).alias("_row")).select("_row.*")
+    by_map = stay.groupBy(digest).agg(F.min(row).alias("__llm_row")).select("__llm_row.*")
     order = [F.col("doc_id").asc_nulls_last(), *[F.col(f"`{c}`") for c in others]]
     by_shuffle = (
         marked.join(frequent.withColumnRenamed("digest", digest), digest, "left_anti")
-        .withColumn("_place", F.row_number().over(Window.partitionBy(digest).orderBy(*order)))
-        .where("_place = 1")
+        .withColumn("__llm_place", F.row_number().over(Window.partitionBy(digest).orderBy(*order)))
+        .where("__llm_place = 1")
     )
     return by_map.unionByName(by_shuffle.select(*[f"`{c}`" for c in names]))
 

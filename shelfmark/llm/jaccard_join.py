@@ -335,9 +335,9 @@ def keep_one(docs: DataFrame, width: int = 5, of: int = 80) -> DataFrame:
 
     Documents without words, and rows whose doc_id is null, all stay.
     """
-    gone = near_components(docs, width, of).where("doc != component").select(F.col("doc").alias("_doc"))
+    gone = near_components(docs, width, of).where("doc != component").select(F.col("doc").alias("__llm_doc"))
     gone = written(gone, "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_doc"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__llm_doc"], "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str, width: int = 4, of: int = 85) -> DataFrame:

@@ -59,9 +59,9 @@ def best_cuts(places: list[int], penalties: list[int], size: int) -> list[int]:
             queue.pop()
         queue.append(j)
     if n > 1:
-        while places[queue[0]] < places[-1] - size:
-            queue.popleft()
-        back[-1] = queue[0]
+        # Without padding at the end the least f(i) counts, not the least f(i) + p(i).
+        window = [i for i in range(max(0, n - 1 - size), n - 1) if places[i] >= places[-1] - size]
+        back[-1] = min(window, key=lambda i: value[i] - places[i])
     cuts, j = [], n - 1
     while j > 0:
         cuts.append(j)

@@ -192,20 +192,19 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with `_kept` (the words that stay, joined by one space), `_words` and `_removed`."""
+    """The documents with `__llm_kept` (the words that stay, joined by one space), `__llm_words` and `__llm_removed`."""
     per_doc = repeats(docs, length).groupBy("doc").agg(
-        F.collect_list(F.col("start").cast("long") * 64 + F.col("words")).alias("_passages")
+        F.collect_list(F.col("start").cast("long") * 64 + F.col("words")).alias("__llm_passages")
     )
-    joined = docs.withColumn("_doc", _key()).join(
-        written(per_doc, "passages").withColumnRenamed("doc", "_doc"), "_doc", "left"
-    )
-    joined = joined.select(*[f"`{c}`" for c in docs.columns], "_passages")
+    per_doc = written(per_doc, "passages").withColumnRenamed("doc", "__llm_doc")
+    joined = docs.join(per_doc, _key() == F.col("__llm_doc"), "left")
+    joined = joined.select(*[f"`{c}`" for c in docs.columns], "__llm_passages")
     names = docs.columns
 
     def run(batches):
         for batch in by_bytes(batches):
             words = Words(batch["text"])
-            row, passages = _list_numbers(batch["_passages"])
+            row, passages = _list_numbers(batch["__llm_passages"])
             passages = passages.to_numpy(zero_copy_only=False).astype(np.int64)
             begin = words.starts[row] + passages // 64
             change = np.zeros(len(words.hashes) + 1, dtype=np.int32)
@@ -218,10 +217,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept = _joined(words, stay)
             yield pa.RecordBatch.from_arrays(
                 [batch[c] for c in names] + [kept, pa.array(counts), pa.array(removed)],
-                names=[*names, "_kept", "_words", "_removed"],
+                names=[*names, "__llm_kept", "__llm_words", "__llm_removed"],
             )
 
-    extra = [StructField("_kept", StringType()), StructField("_words", LongType()), StructField("_removed", LongType())]
+    extra = [StructField("__llm_kept", StringType()), StructField("__llm_words", LongType()), StructField("__llm_removed", LongType())]
     schema = StructType([*docs.schema, *extra])
     return joined.mapInArrow(run, schema)
 
@@ -248,10 +247,10 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A text that lost words has the others joined by one space; n_chars follows, if there is one.
     """
     done = remove_repeats(docs, length)
-    text = F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+    text = F.when(F.col("__llm_removed") > 0, F.col("__llm_kept")).otherwise(F.col("text"))
     out = done.withColumn("text", text)
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        n_chars = F.when(F.col("__llm_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
@@ -259,7 +258,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
-        F.col("_words").alias("n_words"),
-        F.col("_removed").alias("n_removed"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
+        F.col("__llm_words").alias("n_words"),
+        F.col("__llm_removed").alias("n_removed"),
+        F.sha2("__llm_kept", 256).alias("kept_sha256"),
     )

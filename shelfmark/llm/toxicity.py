@@ -365,7 +365,7 @@ def _scores(judge: Machine, texts) -> np.ndarray:
     return judge.scores(_worst(judge, texts))
 
 
-def scored(docs: DataFrame, machine: Machine | None, name: str = "_score") -> DataFrame:
+def scored(docs: DataFrame, machine: Machine | None, name: str = "__llm_score") -> DataFrame:
     """The documents with a column of scores, from the text alone."""
     if machine is None:
         return docs.withColumn(name, F.lit(0.0))
@@ -399,4 +399,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str, least: float = 0.7) -> DataFr
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The documents, whole rows, without those whose text scores `least` or more."""
     machine = train(docs, labels.where(fold(3) != 1))
-    return scored(docs, machine).where(F.col("_score") < least).drop("_score")
+    return scored(docs, machine).where(F.col("__llm_score") < least).drop("__llm_score")
