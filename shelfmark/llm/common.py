@@ -158,3 +158,40 @@ def windows_hash(hashes: np.ndarray, length: int) -> np.ndarray:
         factor = (factor * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % 2**64 | 1
         out += hashes[j : j + n] * np.uint64(factor)
     return mix(out)
+
+
+# --- groups of rows that come one after the other ---------------------------------------------
+
+
+def grouped(batches, keys: tuple[str, ...]):
+    """The groups of sorted Arrow batches, each as one table; only one group is held beyond its batch."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rest is not None:
+            rows = pa.concat_tables([rest, rows]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        values = [rows[k].to_numpy() for k in keys]
+        new = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        borders = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for at, stop in zip(borders[:-1], borders[1:], strict=True):
+            yield rows.slice(at, stop - at).combine_chunks()
+        rest = rows.slice(borders[-1])
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
+def forest(n: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star (root, leaf) per component of the links (p, q) among n nodes."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[p], low[q])
+        new = low.copy()
+        np.minimum.at(new, p, least)
+        np.minimum.at(new, q, least)
+        new = new[new]
+        if (new == low).all():
+            moved = np.flatnonzero(low != np.arange(n))
+            return low[moved], moved
+        low = new

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table, written
+from .common import forest, grouped, mix, table, written
 from .components import components
 
 TABLES, PROJECTIONS, WIDTH = 8, 6, 1.2
@@ -84,21 +84,6 @@ def _hashed(classes: DataFrame, tables: int, projections: int, width: float) ->
     return classes.select("id", "n", "label", "vector").mapInArrow(run, "id long, n long, vector array<double>, buckets array<long>")
 
 
-def _forest(n: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star per component of the links (p, q) among n nodes."""
-    low = np.arange(n)
-    while True:
-        least = np.minimum(low[p], low[q])
-        new = low.copy()
-        np.minimum.at(new, p, least)
-        np.minimum.at(new, q, least)
-        new = new[new]
-        if (new == low).all():
-            moved = np.flatnonzero(low != np.arange(n))
-            return low[moved], moved
-        low = new
-
-
 def _cell(cell: pa.Table, least: float):
     """Links within one cell: per class the rows it links with, and edges."""
     ids, n = (cell[c].to_numpy() for c in ("id", "n"))
@@ -120,7 +105,7 @@ def _cell(cell: pa.Table, least: float):
         return None
     linked = np.bincount(p, weights=n[q], minlength=len(ids)) + np.bincount(q, weights=n[p], minlength=len(ids))
     touched = np.flatnonzero(linked)
-    root, leaf = _forest(len(ids), p, q)
+    root, leaf = forest(len(ids), p, q)
     return (
         np.concatenate([ids[touched], ids[leaf]]),
         np.concatenate([np.full(len(touched), -1), ids[root]]),
@@ -133,23 +118,10 @@ def _links(cells: DataFrame, least: float) -> DataFrame:
     """(a, b, n, counted): link counts of a, or an edge from a to b; cells come one after the other."""
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if rest is not None:
-                rows = pa.concat_tables([rest, rows]).combine_chunks()
-            keys = [rows[c].to_numpy() for c in ("bucket", "i", "j")]
-            new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            borders = [0, *(np.flatnonzero(new) + 1).tolist()]
-            for at, stop in zip(borders[:-1], borders[1:], strict=True):
-                yield from out(rows.slice(at, stop - at))
-            rest = rows.slice(borders[-1])
-        if rest is not None and rest.num_rows:
-            yield from out(rest)
-
-    def out(cell):
-        if cell.num_rows > 1 and (found := _cell(cell.combine_chunks(), least)):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "n", "counted"])
+        for cell in grouped(batches, ("bucket", "i", "j")):
+            found = _cell(cell, least) if cell.num_rows > 1 else None
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "n", "counted"])
 
     return cells.mapInArrow(run, "a long, b long, n long, counted boolean")
 

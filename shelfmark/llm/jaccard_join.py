@@ -13,9 +13,10 @@ subset agrees with any match in at least g groups, and if e < g one of them is n
 e >= g give their empty signatures too.  So no link is lost.
 
 All members of a signature's bucket are compared with its first (counts and minima are summed on the map
-side; within an Arrow batch before any shuffle), on the whole sets.  A bucket whose members are then not all
-in one component is compared crosswise between components, so hot buckets of near copies never give
-all pairs.  Equal sets are one class from the start.
+side; within an Arrow batch before any shuffle), on the whole sets.  Buckets whose members are then not all in one component form
+clusters with those they share members with, and all sets of a cluster are compared: in cells of two blocks of
+at most BLOCK_ITEMS features or one set each, by products of incidence matrices that only leave the task as a forest
+of the links found.  So hot groups of near copies never give all pairs.  Equal sets are one class from the start.
 
 Words are lower-cased (A-Z) runs without white space; a text shorter than a shingle is one shingle, one without
 words has no set and links with nothing.  Null counts as empty.  Rows that share a doc_id count as one
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, mix, table, windows_hash, written
+from .common import Words, by_bytes, forest, grouped, mix, table, windows_hash, written
 from .components import components
 
 _ROW = np.uint64(48)
 _FEATURE = np.uint64((1 << 48) - 1)
 _SALT = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 SMALL = 8
+BLOCK_ITEMS, COLUMNS = 1 << 17, 2048
 
 
 class Features:
@@ -253,6 +255,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, of: int) -> DataFrame:
     )
 
 
+def _cell_links(cells: DataFrame, of: int) -> DataFrame:
+    """(a, b): of every cell's links between components a forest.  Cells come one after the other."""
+
+    def run(batches):
+        for cell in grouped(batches, ("cluster", "i", "j")):
+            found = _linked(cell, of)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _linked(cell: pa.Table, of: int):
+    ids, component, side, size = (cell[c].to_numpy() for c in ("id", "component", "side", "size"))
+    if len(ids) < 2 or component.min() == component.max():
+        return None
+    raw = cell["items"].combine_chunks()
+    features = np.frombuffer(b"".join(raw.to_pylist()), "<u8")
+    _, column, count = np.unique(features, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), size)
+    # Features of one set alone are in no intersection.
+    shared = count[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    same = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        held = np.zeros((len(ids), COLUMNS), dtype=np.float32)
+        held[row[lo:hi], column[lo:hi] - first] = 1
+        same += held @ held.T
+    both = (size[:, None] + size[None, :]).astype(np.float64)
+    links = np.triu(100 * same >= of * (both - same), 1) & (component[:, None] != component[None, :])
+    if cell["i"][0].as_py() != cell["j"][0].as_py():
+        links &= side[:, None] != side[None, :]
+    p, q = np.nonzero(links)
+    if not len(p):
+        return None
+    root, leaf = forest(len(ids), p, q)
+    return ids[root], ids[leaf]
+
+
 def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
     """(doc, size, component) for every doc_id; the component is the smallest doc_id that links reach."""
     every = written(
@@ -305,25 +349,38 @@ def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
     found = components(links)
 
     # Buckets that a failed pair left in several components: compare across those.
-    in_rep = written(
+    in_rep = (
         buckets.join(by_rep.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a")
         .join(by_rep.select("doc", F.col("rep").alias("rd")), "doc")
         .where("ra != rd")
-        .select("sig", "ra", "rd"),
-        "rep-buckets",
     )
     member = in_rep.select("sig", F.explode(F.array("ra", "rd")).alias("id")).distinct()
     member = member.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     member = written(member, "members")
-    split = member.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    member = written(member.join(split.select("sig"), "sig"), "split-members")
-    x = member.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = member.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-    cross = x.join(y, "sig").where("ca != cb and a < b").select("a", "b")
-    cross = written(candidates(cross).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-    if cross.take(1):
-        more = check(cross).where("links").select("a", "b")
-        found = components(links.union(more))
+    split = member.groupBy("sig").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("lead")
+    )
+    split = split.where("x != y").select("sig", "lead")
+    member = written(member.join(split, "sig"), "split-members")
+    if member.take(1):
+        # Buckets that share members are one cluster; it is compared in cells of two bounded blocks.
+        cluster = components(member.select(F.col("lead").alias("a"), F.col("id").alias("b")))
+        member = member.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id", "left")
+        member = member.select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
+        member = written(member.join(sizes.withColumnRenamed("doc", "id"), "id"), "clustered")
+        blocks = member.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        cells = member.join(blocks, "cluster").withColumn("own", own)
+        cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+            "cluster", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") <= F.col("other")).cast("int").alias("side"),
+        )
+        sets = _sets(docs, member.select(F.col("id").alias("doc")), width).dropDuplicates(["doc"])
+        cells = cells.join(written(sets.withColumnRenamed("doc", "id"), "cell-sets"), "id")
+        cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        more = written(_cell_links(cells, of), "cell-links")
+        if more.take(1):
+            found = components(links.union(more))
     component = by_rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc", F.coalesce("component", "rep").alias("component")
     )
