@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 
 from .joins import spread_join, top_k
 
-SCORE_DIGITS = 6
+# Scores are ranked to RANK_DIGITS and given to SCORE_DIGITS.
+SCORE_DIGITS, RANK_DIGITS = 6, 12
 # Float values of a query batch that one task may hold (32 MB), and vectors of a cell.
 MAX_QUERY_VALUES = 8_000_000
-CELL_VECTORS = 200_000
+CELL_VALUES = 16_000_000
 _BLOCK = 4096
 
 
@@ -41,39 +42,53 @@ def _ids(column) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) per query so far; equal scores go to the lower id."""
+    """The best (score, id) per query so far, as many as it asks for; equal scores go to the lower id."""
 
-    def __init__(self, queries: pa.Table, dim: int, k: int, with_group: bool):
+    def __init__(self, queries: pa.Table, dim: int, with_group: bool):
         self.qids = queries["qid"]
         self.matrix = _matrix(queries["embedding"], dim)
-        self.groups = _ids(queries["part"]) if with_group else None
+        self.most = queries["most"].to_numpy()
+        self.groups: dict = {None: np.arange(len(self.matrix))}
+        if with_group:
+            names = _ids(queries["part"])
+            self.groups = {g: np.flatnonzero(names == g) for g in np.unique(names)}
+        self.with_group = with_group
         self.scores = [np.empty(0)] * len(self.matrix)
         self.ids: list = [None] * len(self.matrix)
-        self.dim, self.k = dim, k
+        self.dim = dim
 
     def add(self, vectors) -> None:
         for start in range(0, vectors.num_rows, _BLOCK):
             self._add_block(vectors.slice(start, _BLOCK))
 
     def _add_block(self, vectors) -> None:
-        ids = _ids(vectors["id"])
-        products = np.round(self.matrix @ _matrix(vectors["embedding"], self.dim).T, SCORE_DIGITS)
-        groups = _ids(vectors["part"]) if self.groups is not None else None
-        for q, scores in enumerate(products):
-            mine = ids
-            if groups is not None:
-                keep = groups == self.groups[q]
-                scores, mine = scores[keep], ids[keep]
-            full = len(self.scores[q]) >= self.k
+        ids, matrix = _ids(vectors["id"]), _matrix(vectors["embedding"], self.dim)
+        if not self.with_group:
+            self._add_rows(self.groups[None], ids, matrix)
+            return
+        # Each topic's queries are multiplied with the rows of that topic only.
+        names = _ids(vectors["part"])
+        order = np.argsort(names, kind="stable")
+        borders = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1]))
+        for rows in np.split(order, borders[1:]):
+            asked = self.groups.get(names[rows[0]])
+            if asked is not None:
+                self._add_rows(asked, ids[rows], matrix[rows])
+
+    def _add_rows(self, asked: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> None:
+        products = np.round(self.matrix[asked] @ matrix.T, RANK_DIGITS)
+        for q, scores in zip(asked.tolist(), products, strict=True):
+            mine, k = ids, int(self.most[q])
+            full = len(self.scores[q]) >= k
             if not len(scores) or (full and scores.max() < self.scores[q][-1]):
                 continue
-            if len(scores) > self.k:
-                keep = scores >= np.partition(scores, -self.k)[-self.k]
+            if len(scores) > k:
+                keep = scores >= np.partition(scores, -k)[-k]
                 scores, mine = scores[keep], mine[keep]
             if self.ids[q] is not None:
                 scores = np.concatenate([self.scores[q], scores])
                 mine = np.concatenate([self.ids[q], mine])
-            order = np.lexsort((mine, -scores))[: self.k]
+            order = np.lexsort((mine, -scores))[:k]
             self.scores[q], self.ids[q] = scores[order], mine[order]
 
     def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -98,14 +113,16 @@ def _arrow_schema(result: T.StructType) -> pa.Schema:
 
 
 def vector_dim(vectors: DataFrame) -> int | None:
-    """Dimension of the stored vectors, taken from the first one."""
-    first = vectors.select(F.size("embedding").alias("n")).filter("n > 0").first()
+    """Dimension of most of the stored vectors; of equally frequent ones the larger."""
+    sizes = vectors.select(F.size("embedding").alias("n")).filter("n > 0").groupBy("n").count()
+    first = sizes.orderBy(F.desc("count"), F.desc("n")).first()
     return first["n"] if first else None
 
 
 def check_dim(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors of the wanted dimension and rejected ones."""
-    fits = F.coalesce(F.size("embedding") == dim, F.lit(False))
+    """Vectors of the wanted dimension with finite numbers only, and rejected ones."""
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fits = F.coalesce((F.size("embedding") == dim) & ~odd, F.lit(False))
     return vectors.filter(fits), vectors.filter(~fits)
 
 
@@ -116,13 +133,16 @@ def knn(
     part: str | None = None,
     dim: int | None = None,
     max_query_values: int = MAX_QUERY_VALUES,
-    cell_vectors: int = CELL_VECTORS,
+    cell_values: int = CELL_VALUES,
+    limit_col: str | None = None,
 ) -> DataFrame:
-    """k nearest rows of `vectors` (id, embedding) for each of `queries` (qid, embedding).
+    """Nearest rows of `vectors` (id, embedding) for each of `queries` (qid, embedding).
 
-    With `part`, a column of both (a topic or category), a query is matched with rows of its own
-    part only, before the k best are taken.  Returns qid, id, score, rank.  The score is rounded
-    before ranking and ties go to the lower id.
+    `k` rows a query, or as many as its `limit_col` says.  With `part`, a column of both (a topic or
+    category), a query is matched with rows of its own part only, before the best are taken.  Of queries
+    with the same qid one counts.  Rows and queries that `check_dim` rejects take no part; without `dim`
+    the most frequent dimension counts.  Returns qid, id, score, rank; scores equal to 12 digits are
+    ties, which go to the lower id.
     """
     dim = dim or vector_dim(vectors)
     result = T.StructType(
@@ -136,13 +156,16 @@ def knn(
         return vectors.sparkSession.createDataFrame([], result.add("rank", "integer"))
     grouped = part is not None
     extra = [F.col(part).alias("part")] if grouped else []
-    asked = check_dim(queries, dim)[0].select("qid", "embedding", *extra)
+    most = F.col(limit_col).cast("int") if limit_col else F.lit(k)
+    asked = check_dim(queries, dim)[0].dropDuplicates(["qid"]).select("qid", "embedding", most.alias("most"), *extra)
     scanned = check_dim(vectors, dim)[0].select("id", "embedding", *extra)
     arrow = _arrow_schema(result)
 
-    most = max(1, max_query_values // dim)
-    batch = asked.limit(most + 1).toArrow()
-    if batch.num_rows <= most:
+    at_once = max(1, max_query_values // dim)
+    batch = asked.limit(at_once + 1).toArrow()
+    if batch.num_rows <= at_once:
+        if not batch.num_rows:
+            return vectors.sparkSession.createDataFrame([], result.add("rank", "integer"))
         if grouped:
             names = pc.unique(batch["part"]).to_pylist()
             if len(names) <= 1000:
@@ -150,18 +173,23 @@ def knn(
         shared = scanned.sparkSession.sparkContext.broadcast(batch)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(shared.value, dim, k, grouped)
+            best = _Best(shared.value, dim, grouped)
             for vectors in batches:
                 best.add(vectors)
             yield from best.rows(arrow)
 
         local = scanned.mapInArrow(scan, result)
     else:
-        local = _by_cells(asked, scanned, k, dim, grouped, result, most, cell_vectors)
-    return top_k(local, ["qid"], [F.col("score").desc(), F.col("id")], k, ["id"])
+        local = _by_cells(asked, scanned, dim, grouped, result, at_once, max(1, cell_values // dim))
+    order = [F.col("score").desc(), F.col("id")]
+    if limit_col is None:
+        best = top_k(local, ["qid"], order, k, ["id"])
+    else:
+        best = top_k(local.join(asked.select("qid", "most"), "qid"), ["qid"], order, None, ["id"], limit_col="most")
+    return best.select("qid", "id", F.round("score", SCORE_DIGITS).alias("score"), "rank")
 
 
-def _by_cells(asked, scanned, k, dim, grouped, result, cell_queries, cell_vectors) -> DataFrame:
+def _by_cells(asked, scanned, dim, grouped, result, cell_queries, cell_vectors) -> DataFrame:
     """Grid of query parts and vector parts; ids are unique, so their hash fills parts evenly."""
     across = math.ceil(asked.count() / cell_queries * 1.2)
     down = math.ceil(scanned.count() / cell_vectors * 1.2) or 1
@@ -174,7 +202,7 @@ def _by_cells(asked, scanned, k, dim, grouped, result, cell_queries, cell_vector
     arrow = _arrow_schema(result)
 
     def cell(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        best = _Best(queries, dim, k, grouped)
+        best = _Best(queries, dim, grouped)
         best.add(vectors)
         return pa.Table.from_batches(best.rows(arrow), schema=arrow)
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import rekey_ulid
 from ..functions.text import with_once
 from ..functions.vectors import decode_embedding
-from .embed import embed
-from .knn import knn
+from ..plans.shared import materialise
+from .embed import DEFAULT_DIM, embed
+from .knn import check_dim, knn, with_payload
 
 DEFAULT_SEARCH = 10
 DEFAULT_LIST = 100
@@ -56,33 +57,52 @@ def article_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def semantic_search(
-    requests: DataFrame, vectors: DataFrame, k: int = DEFAULT_SEARCH, model=None, dim: int | None = None
-) -> DataFrame:
-    """Source search for requests (qid, query, embedding, topic, limit).
-
-    Encoded vectors are decoded, other queries embedded; then one k-NN job for the requests of
-    any topic and one for those that name a topic.  `vectors` holds id, embedding, topic; `k`
-    bounds the limits of the batch, which cut each result afterwards.
-    """
-    routed = route_requests(requests).filter(F.col("route") != "rejected")
+def _asked(requests: DataFrame, model, dim: int | None) -> DataFrame:
+    """Requests with the vector to search for; null where there is none."""
+    routed = route_requests(requests.dropDuplicates(["qid"]))
     given = decode_embeddings(routed.filter(F.col("route") == "vector"), "embedding", "vector").drop(
         "decode_error"
     )
-    made = embed(routed.filter(F.col("route") == "text"), "query", model, dim, out="vector")
-    asked = given.unionByName(made).select(
-        "qid", F.col("vector").alias("embedding"), "topic", "limit"
-    )
-    anywhere = knn(asked.filter("topic = ''"), vectors, k, dim=dim)
-    in_topic = knn(asked.filter("topic != ''"), vectors, k, part="topic", dim=dim)
-    return (
-        anywhere.unionByName(in_topic)
-        .join(asked.select("qid", "limit"), "qid")
-        .filter(F.col("rank") <= F.col("limit"))
-        .drop("limit")
+    made = embed(routed.filter(F.col("route") == "text"), "query", model, dim or DEFAULT_DIM, out="vector")
+    none = routed.filter(F.col("route") == "rejected").withColumn("vector", F.lit(None).cast("array<float>"))
+    asked = given.unionByName(made).unionByName(none)
+    return asked.select("qid", F.col("vector").alias("embedding"), "topic", "limit", "route")
+
+
+def refused_requests(requests: DataFrame, dim: int, model=None) -> DataFrame:
+    """(qid, reason) of the requests that get no answer.
+
+    Reasons: no_query (neither text nor vector), no_vector (no vector for the text), wrong_vector (not
+    decodable, of another dimension, or with numbers that are not finite).
+    """
+    return check_dim(_asked(requests, model, dim), dim)[1].select(
+        "qid",
+        F.when(F.col("route") == "rejected", "no_query")
+        .when(F.col("route") == "text", "no_vector")
+        .otherwise("wrong_vector")
+        .alias("reason"),
     )
 
 
+def semantic_search(requests: DataFrame, vectors: DataFrame, model=None, dim: int | None = None) -> DataFrame:
+    """Source search for requests (qid, query, embedding, topic, limit), each with its own limit.
+
+    Encoded vectors are decoded, other queries embedded, once; then one k-NN job for the requests of
+    any topic and one for those that name a topic, where there are such.  `vectors` holds id, embedding,
+    topic.  `refused_requests` names the requests that get no answer.
+    """
+    asked = materialise(_asked(requests, model, dim).filter(F.col("embedding").isNotNull()), "asked")
+    anywhere = knn(asked.filter("topic = ''"), vectors, dim=dim, limit_col="limit")
+    in_topic = knn(asked.filter("topic != ''"), vectors, part="topic", dim=dim, limit_col="limit")
+    return anywhere.unionByName(in_topic)
+
+
+def source_search(requests: DataFrame, vectors: DataFrame, model=None, dim: int | None = None) -> DataFrame:
+    """Result rows of a source search over stored vectors (uuid, embedding, payload)."""
+    points = vectors.select(F.col("uuid").alias("id"), "embedding", "payload", read_payload("topic").alias("topic"))
+    return source_results(with_payload(semantic_search(requests, points, model, dim), points))
+
+
 # --- payloads and result shapes -----------------------------------------------------------
 
 

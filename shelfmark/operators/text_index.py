@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_column, tokens
-from .joins import spread_join, sub_key, top_k
+from ..plans.shared import materialise
+from .joins import spread_join, top_k
 
 # Fixed values of the ranking function.
 K1 = 1.2
 B = 0.75
 LOWEST_IDF = 1e-6
 
-SCORE_DIGITS = 6
+# Scores are ranked to RANK_DIGITS, beyond which the order of summing shows, and given to SCORE_DIGITS.
+SCORE_DIGITS, RANK_DIGITS = 6, 12
 DEFAULT_K = 10
 
 
@@ -34,6 +36,8 @@ class TextIndex:
     doc_stats: DataFrame
     # Number of term buckets a stored index is parted in; None for one built in the same job.
     buckets: int | None = None
+    # The distinct terms of a stored index.
+    terms: DataFrame | None = None
 
 
 def _tokenised(docs: DataFrame, fields: dict[str, Column], id_col: str) -> DataFrame:
@@ -63,6 +67,12 @@ def doc_stats(docs: DataFrame, fields, id_col: str = "id") -> DataFrame:
     )
 
 
+def _with_next(terms: str) -> Column:
+    """Every term beside the one that follows, so that the array itself need not be copied to each row."""
+    following = F.slice(terms, 2, F.greatest(F.size(terms), F.lit(1)))
+    return F.arrays_zip(F.col(terms).alias("term"), following.alias("next_term"))
+
+
 def build_postings(docs: DataFrame, fields, id_col: str = "id") -> DataFrame:
     """One row per term occurrence; a map-side explode, no shuffle."""
     # The outer form: a plain explode would tokenise once more to filter empty arrays.
@@ -70,9 +80,8 @@ def build_postings(docs: DataFrame, fields, id_col: str = "id") -> DataFrame:
         _tokenised(docs, _field_columns(fields), id_col)
         .select("doc_id", _n_tokens().alias("doc_len"), F.explode_outer("parts").alias("part"))
         .select("doc_id", "doc_len", "part.field", "part.terms")
-        .select("doc_id", "doc_len", "field", "terms", F.posexplode("terms").alias("pos", "term"))
-        .withColumn("next_term", F.get("terms", F.col("pos") + 1))
-        .select("term", "next_term", "doc_id", "field", "pos", "doc_len")
+        .select("doc_id", "doc_len", "field", F.posexplode(_with_next("terms")).alias("pos", "t"))
+        .select("t.term", "t.next_term", "doc_id", "field", "pos", "doc_len")
     )
 
 
@@ -85,6 +94,22 @@ def term_bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def by_bucket(postings: DataFrame) -> DataFrame:
+    """Postings in the order they are stored in, parted by ranges: tasks follow the data, and a frequent
+    term's rows are several tasks' work."""
+    order = ("bucket", "term", "doc_id", "field", "pos")
+    return postings.repartitionByRange(*order[:4]).sortWithinPartitions(*order)
+
+
+def read_index(spark, path: str) -> TextIndex:
+    """An index that `write_index` stored; the number of buckets comes with it."""
+    postings = spark.read.parquet(f"{path}/postings")
+    buckets = spark.read.parquet(f"{path}/buckets").first()["buckets"]
+    return TextIndex(
+        postings, spark.read.parquet(f"{path}/doc_stats"), buckets, spark.read.parquet(f"{path}/terms")
+    )
+
+
 def write_index(index: TextIndex, path: str, buckets: int | None = None) -> TextIndex:
     """Store an index, its postings parted by term bucket and sorted by term.
 
@@ -93,19 +118,19 @@ def write_index(index: TextIndex, path: str, buckets: int | None = None) -> Text
     """
     spark = index.postings.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        index.postings.withColumn("bucket", term_bucket("term", buckets))
-        .repartition("bucket", sub_key(["doc_id"]))
-        .sortWithinPartitions("bucket", "term", "doc_id", "field", "pos")
-        .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
+    by_bucket(index.postings.withColumn("bucket", term_bucket("term", buckets))).write.partitionBy(
+        "bucket"
+    ).parquet(f"{path}/postings")
     index.doc_stats.write.parquet(f"{path}/doc_stats")
     schemas = index.postings.schema, index.doc_stats.schema
+    postings = spark.read.schema(schemas[0].add("bucket", "integer")).parquet(f"{path}/postings")
+    postings.select("term").distinct().write.parquet(f"{path}/terms")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/buckets")
     return TextIndex(
-        spark.read.schema(schemas[0].add("bucket", "integer")).parquet(f"{path}/postings"),
+        postings,
         spark.read.schema(schemas[1]).parquet(f"{path}/doc_stats"),
         buckets,
+        spark.read.schema("term string").parquet(f"{path}/terms"),
     )
 
 
@@ -180,18 +205,17 @@ def _term_hits(postings: DataFrame, units: DataFrame, buckets: int | None) -> Da
     return _per_doc(_of_terms(postings, terms, buckets).withColumnRenamed("term", "unit"))
 
 
-def _prefix_hits(postings: DataFrame, units: DataFrame, buckets: int | None) -> DataFrame:
-    """An equi-join on the prefix: a term is cut only to the lengths some query uses."""
-    wanted = units.select(F.col("unit").alias("prefix")).distinct()
+def _prefix_hits(postings: DataFrame, units: DataFrame, buckets: int | None, terms: DataFrame | None) -> DataFrame:
+    """Prefixes meet the distinct terms, cut to the lengths some query uses; the terms found are looked up."""
+    wanted = units.select(F.col("unit").alias("prefix")).filter("prefix != ''").distinct()
     lengths = wanted.agg(F.collect_set(F.length("prefix"))).scalar()
-    cut = postings.withColumn(
+    terms = postings.select("term").distinct() if terms is None else terms
+    cut = terms.filter("term != ''").withColumn(
         "n", F.explode(F.array_intersect(lengths, F.sequence(F.lit(1), F.length("term"))))
     ).withColumn("prefix", F.expr("substring(term, 1, n)"))
-    return _per_doc(
-        spread_join(cut, wanted, ["prefix"], ["doc_id"], "left_semi").withColumnRenamed(
-            "prefix", "unit"
-        )
-    )
+    found = materialise(cut.select("term", "prefix").join(wanted, "prefix", "left_semi"), "prefix-terms")
+    places = _of_terms(postings, found.select("term"), buckets)
+    return _per_doc(spread_join(places, found, ["term"], ["doc_id"]).withColumnRenamed("prefix", "unit"))
 
 
 def _shared(hits: DataFrame) -> DataFrame:
@@ -316,9 +340,10 @@ def search(
     a prefix, all needed).  `near` asks for all terms with at most that many tokens between,
     `fields` keeps hits in those fields only, `at_start` hits on the first token of a field, and
     an `exclude` column names terms a document must not hold.  Query text is tokenised like the
-    documents; a query without terms has no hits.  Returns qid, doc_id, score, rank; the score is
-    rounded before ranking and ties go to the lower id.
+    documents; a query without terms has no hits.  Of queries with the same qid one counts.  Returns qid,
+    doc_id, score, rank; scores equal to 12 digits are ties, which go to the lower id.
     """
+    queries = queries.dropDuplicates(["qid"])
     if mode not in ("all", "any", "phrase", "prefix"):
         raise ValueError(f"unknown mode {mode!r}")
     if near is not None and mode != "all":
@@ -329,8 +354,10 @@ def search(
     places = postings.filter(F.col("pos") == 0) if at_start else postings
 
     units = _with_need(_phrase_units(queries) if mode == "phrase" else _term_units(queries))
-    hits_of = {"phrase": _phrase_hits, "prefix": _prefix_hits}.get(mode, _term_hits)
-    hits = hits_of(places, units, index.buckets)
+    if mode == "prefix":
+        hits = _prefix_hits(places, units, index.buckets, index.terms)
+    else:
+        hits = (_phrase_hits if mode == "phrase" else _term_hits)(places, units, index.buckets)
     totals = index.doc_stats
     n_docs = totals.agg(F.count("*").cast("double")).scalar()
     mean_len = totals.agg(F.avg("n_tokens")).scalar()
@@ -347,7 +374,7 @@ def search(
 
     scored = found.groupBy("qid", "doc_id").agg(
         F.round(
-            F.sum(_bm25(F.col("idf"), F.col("tf"), F.col("doc_len"), mean_len)), SCORE_DIGITS
+            F.sum(_bm25(F.col("idf"), F.col("tf"), F.col("doc_len"), mean_len)), RANK_DIGITS
         ).alias("score"),
         F.count("*").alias("n_units"),
         F.max("need").alias("need"),
@@ -369,7 +396,7 @@ def search(
         ["doc_id"],
         limit_col=limit_col,
     )
-    return best.select("qid", "doc_id", "score", "rank")
+    return best.select("qid", "doc_id", F.round("score", SCORE_DIGITS).alias("score"), "rank")
 
 
 def _excluded(queries: DataFrame, index: TextIndex) -> DataFrame:

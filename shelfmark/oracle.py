@@ -46,12 +46,12 @@ def _ranked(every_unit: bool, scored: str = "", where: str = "true", k: str = "1
     source = scored or "hits JOIN asked USING (unit)"
     return f"""need AS (SELECT qid, count(*) AS need FROM units GROUP BY qid),
 found AS (SELECT qid, doc_id, count(*) AS n_units,
-    round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+    round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 12) AS score
   FROM {source} JOIN len USING (doc_id), tot GROUP BY qid, doc_id),
 ranked AS (SELECT qid, doc_id, score,
     row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
   FROM found JOIN need USING (qid) WHERE {need} AND {where})
-SELECT qid, doc_id, score, rank FROM ranked JOIN queries USING (qid) WHERE rank <= {k}"""
+SELECT qid, doc_id, round(score, 6) AS score, rank FROM ranked JOIN queries USING (qid) WHERE rank <= {k}"""
 
 
 def _search(every_unit: bool, fields=None, only: str = "true", queries: str = _BENCH, **more) -> str:
@@ -193,9 +193,9 @@ _COSINE = "round(list_cosine_similarity(embedding::DOUBLE[], mean::DOUBLE[]), 6)
 
 def _knn(condition: str) -> str:
     return f"""WITH {_CENTROIDS},
-scored AS (SELECT qid, vec_id AS id, {_COSINE} AS score FROM embeddings e JOIN cent c ON {condition}),
+scored AS (SELECT qid, vec_id AS id, {_COSINE.replace(", 6)", ", 12)")} AS score FROM embeddings e JOIN cent c ON {condition}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored)
-SELECT * FROM ranked WHERE rank <= 10"""
+SELECT qid, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10"""
 
 
 def _hashed(table: str, key: str, dim: int = 64) -> str:
@@ -206,14 +206,26 @@ def _hashed(table: str, key: str, dim: int = 64) -> str:
       SELECT {key}, unnest({_tok('text')}) AS t FROM {table})) GROUP BY ALL)"""
 
 
-_SEMANTIC = f"""WITH q AS ({_hashed('benchmark', 'item_id')}), d AS ({_hashed('documents', 'doc_id')}),
-norm AS (SELECT doc_id, sqrt(sum(x::DOUBLE * x)) AS nd FROM d GROUP BY doc_id),
+def _semantic(asked: str) -> str:
+    """Hits of the requests that `asked` gives as (qid, topic, most)."""
+    return f"""WITH q AS ({_hashed('benchmark', 'item_id')}), d AS ({_hashed('documents', 'doc_id')}),
+asked AS ({asked}),
+norm AS (SELECT doc_id, source, sqrt(sum(x::DOUBLE * x)) AS nd FROM d JOIN documents USING (doc_id) GROUP BY ALL),
 qnorm AS (SELECT item_id, sqrt(sum(x::DOUBLE * x)) AS nq FROM q GROUP BY item_id),
 dots AS (SELECT item_id, doc_id, sum(q.x::DOUBLE * d.x) AS dot FROM q JOIN d USING (slot) GROUP BY ALL),
-pairs AS (SELECT item_id AS qid, doc_id AS id, round(coalesce(dot, 0) / (nq * nd), 6) AS score
-  FROM qnorm CROSS JOIN norm LEFT JOIN dots USING (item_id, doc_id)),
+pairs AS (SELECT qid, most, doc_id AS id, round(coalesce(dot, 0) / (nq * nd), 12) AS score
+  FROM asked JOIN qnorm ON item_id = qid JOIN norm ON topic IN ('', source) LEFT JOIN dots USING (item_id, doc_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pairs)
-SELECT * FROM ranked WHERE rank <= 10"""
+SELECT qid, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= most"""
+
+
+_SEMANTIC = _semantic("SELECT item_id AS qid, '' AS topic, 10 AS most FROM benchmark")
+_SEMANTIC_LIMITS = _semantic("""SELECT item_id AS qid,
+  CASE WHEN item_id % 5 = 1 THEN 'src' || item_id % 20 ELSE '' END AS topic,
+  CASE WHEN item_id * 7 % 40 > 4 THEN item_id * 7 % 40 - 4 ELSE 10 END AS most
+  FROM benchmark WHERE item_id % 5 < 3""")
+_REFUSED = """SELECT item_id AS qid,
+  CASE WHEN item_id % 5 = 4 THEN 'no_query' ELSE 'wrong_vector' END AS reason FROM benchmark WHERE item_id % 5 >= 3"""
 
 _DECODE = """WITH raw AS (SELECT doc_id, hex(from_base64(md5(text))) AS h FROM documents),
 parts AS (SELECT doc_id, i AS pos, substr(h, 8 * i + 1, 8) AS p FROM raw, range(6) r(i)),
@@ -283,6 +295,8 @@ def oracle_sql() -> dict[str, str]:
         "decode_vectors": _DECODE,
         "embed_docs": f"SELECT doc_id, slot, round(x::DOUBLE, 6) AS x FROM ({_hashed('documents', 'doc_id')}) WHERE x <> 0",
         "semantic_search": _SEMANTIC,
+        "semantic_limits": _SEMANTIC_LIMITS,
+        "refused_requests": _REFUSED,
         "payloads": f"""WITH {_SOURCES} SELECT id AS uuid, id, url, title, topic, language, '' AS model,
   '2025-01-01T00:00:00Z' AS created_at FROM src""",
         "ulid_to_uuid": _ULID,

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they need no installation."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w") as files:
+        for folder, _, found in os.walk(package):
+            for file in found:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    files.write(path, os.path.join(name, os.path.relpath(path, package)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
 
 
 def shared_folder(spark: SparkSession) -> str:

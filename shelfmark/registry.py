@@ -177,6 +177,7 @@ def _classified(spark, sf) -> DataFrame:
 
 def _outcomes(spark, sf) -> DataFrame:
     taken, others = ingest.route_files(_classified(spark, sf), _sources(_labelled(spark, sf)))
+    others = others.drop("url")
     return taken.select(*others.columns).unionByName(others)
 
 
@@ -342,6 +343,29 @@ def _semantic(spark, sf):
     return requests.semantic_search(asked, stored, dim=DIM)
 
 
+def _mixed_requests(spark, sf) -> DataFrame:
+    """Requests with and without topic, with limits on both sides of the default, some not to be answered."""
+    kind = F.col("item_id") % 5
+    return _table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("qid"),
+        F.when(kind == 4, "").otherwise(F.col("text")).alias("query"),
+        F.when(kind == 3, "AAAA").otherwise("").alias("embedding"),
+        F.when(kind == 1, F.concat(F.lit("src"), F.col("item_id") % 20)).otherwise("").alias("topic"),
+        ((F.col("item_id") * 7) % 40 - 4).cast("int").alias("limit"),
+    )
+
+
+def _semantic_limits(spark, sf):
+    stored = _embedded(spark, sf).select(
+        F.col("doc_id").alias("id"), "embedding", F.col("source").alias("topic")
+    )
+    return requests.semantic_search(_mixed_requests(spark, sf), stored, dim=DIM)
+
+
+def _refused(spark, sf):
+    return requests.refused_requests(_mixed_requests(spark, sf), DIM)
+
+
 def _payloads(spark, sf):
     rows = _sources(_documents(spark, sf)).withColumn("embedding", F.array(F.lit(1.0)))
     points = requests.source_vectors(rows)
@@ -494,6 +518,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_vectors": _decode,
     "embed_docs": _embed_docs,
     "semantic_search": _semantic,
+    "semantic_limits": _semantic_limits,
+    "refused_requests": _refused,
     "payloads": _payloads,
     "ulid_to_uuid": _ulids,
     "front_matter": _front_matter,

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.embed import DEFAULT_DIM
+from ..operators.ingest import HELD, NO_VECTOR
 from ..plans.jobs import ingest_sources
+from ..plans.shared import materialise
 from ..plans.store import Store
-from ..sources.scan import _MARKDOWN, _root_uri, as_documents
+from ..schemas import DOCUMENT
+from ..sources.scan import _MARKDOWN, _root_uri, as_documents, path_exists
 
 
 def read_inbox_stream(spark: SparkSession, root: str, files_per_batch: int = 100_000) -> DataFrame:
@@ -25,6 +31,61 @@ def read_inbox_stream(spark: SparkSession, root: str, files_per_batch: int = 100
     return as_documents(files, _root_uri(spark, root))
 
 
+_OUTCOME = "path string, outcome string, reason string, existing_id string"
+
+
+def _folder(store: Store, name: str) -> str:
+    return f"{store.root}/inbox_{name}"
+
+
+def _numbered(store: Store, name: str) -> list[int]:
+    spark, folder = store.spark, _folder(store, name)
+    if not path_exists(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n) for n in names if n.isdigit() and path_exists(spark, f"{folder}/{n}/_SUCCESS"))
+
+
+def open_files(store: Store) -> DataFrame:
+    """Files read earlier that could not be stored yet, to be tried again."""
+    numbers = _numbered(store, "open")
+    if not numbers:
+        return store.spark.createDataFrame([], DOCUMENT)
+    return store.spark.read.schema(DOCUMENT).parquet(f"{_folder(store, 'open')}/{numbers[-1]}")
+
+
+def inbox_outcomes(store: Store) -> DataFrame:
+    """(path, outcome, reason, existing_id, run) of every file of every run."""
+    numbers = _numbered(store, "outcomes")
+    schema = f"{_OUTCOME}, run int"
+    if not numbers:
+        return store.spark.createDataFrame([], schema)
+    rows = [
+        store.spark.read.schema(_OUTCOME).parquet(f"{_folder(store, 'outcomes')}/{n}").withColumn("run", F.lit(n))
+        for n in numbers
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _ingest(store: Store, docs: DataFrame, **options) -> None:
+    """One run over new files and those still open; keeps the outcomes and what stays open.
+
+    The open files are written last, under a number of their own, so a run that breaks off before is
+    done again with the files that were open then.
+    """
+    names = [f.name for f in DOCUMENT.fields]
+    new = docs.select(*names)
+    old = open_files(store).join(new.select("path"), "path", "left_anti").select(*names)
+    docs = materialise(new.unionByName(old), "inbox")
+    outcomes = ingest_sources(store, docs, **options)
+    number = 1 + max(_numbered(store, "outcomes") + _numbered(store, "open"), default=0)
+    outcomes.write.mode("overwrite").parquet(f"{_folder(store, 'outcomes')}/{number}")
+    failed = outcomes.filter(F.col("reason").isin(NO_VECTOR, HELD)).select("path")
+    docs.join(failed, "path", "left_semi").write.mode("overwrite").parquet(f"{_folder(store, 'open')}/{number}")
+
+
 def ingest_sources_stream(
     store: Store,
     root: str,
@@ -34,14 +95,19 @@ def ingest_sources_stream(
     now: str | None = None,
     files_per_batch: int = 100_000,
 ) -> StreamingQuery:
-    """Ingest what is new in the inbox and stop.
+    """Try open files again, ingest what is new in the inbox, and stop.
 
-    The checkpoint remembers the files read.  A batch that is replayed after a failure does no
-    harm: urls it stored are known by then, and a part it left incomplete is written again.
+    The checkpoint remembers the files read, the store those of them that could not be stored, with
+    the outcome of every run.  A batch that is replayed after a failure does no harm: urls it stored are known
+    by then.  Of files with one url the first of a batch by path is stored; batches go by arrival, so an
+    inbox read in several batches may keep another file of a url than one read at once.
     """
+    options = {"model": model, "dim": dim, "now": now}
+    if open_files(store).take(1):
+        _ingest(store, store.spark.createDataFrame([], DOCUMENT), **options)
 
     def run(batch: DataFrame, _: int) -> None:
-        ingest_sources(store, batch, model, dim, now)
+        _ingest(store, batch, **options)
 
     return (
         read_inbox_stream(store.spark, root, files_per_batch)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import knn as kn
 from shelfmark.operators.embed import embed
-from shelfmark.operators.requests import semantic_search
+from shelfmark.operators.requests import refused_requests, semantic_search
 
 DIM = 8
 
@@ -22,7 +22,7 @@ def vectors(n, seed):
 def brute(queries, rows, parts, qparts, k):
     out = {}
     unit = lambda m: m / np.where((s := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, s)
-    scores = np.round(unit(queries.astype(float)) @ unit(rows.astype(float)).T, 6)
+    scores = np.round(unit(queries.astype(float)) @ unit(rows.astype(float)).T, 12)
     for q in range(len(queries)):
         ids = [i for i in range(len(rows)) if qparts is None or parts[i] == qparts[q]]
         out[q] = sorted(ids, key=lambda i: (-scores[q, i], i))[:k]
@@ -40,7 +40,7 @@ def test_knn(spark, cells, part):
     q = spark.createDataFrame(
         [(i, r.tolist(), topics[i]) for i, r in enumerate(queries)], "qid long, embedding array<float>, topic string"
     )
-    size = {"max_query_values": 4 * DIM, "cell_vectors": 100} if cells else {}
+    size = {"max_query_values": 4 * DIM, "cell_values": 100 * DIM} if cells else {}
     got = kn.knn(q, v, 7, part=part, **size).collect()
     found = {}
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -59,6 +59,15 @@ def test_string_ids_and_bad_dimension(spark):
     assert fits.count() == 2 and rejected.count() == 2
 
 
+def test_odd_vectors_push_nothing_out(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0])] + [(i, [1.0, float(i)]) for i in range(1, 9)] + [(20, [nan, 1.0]), (21, [inf, 0.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (2, [0.0, 1.0], 30)], "qid int, embedding array<float>, n int")
+    got = kn.knn(q, v, limit_col="n").collect()
+    assert sorted((r.qid, r.id) for r in got) == [(1, 1), (1, 2), (1, 3)] + [(2, i) for i in range(1, 9)]
+
+
 def test_embed_models(spark):
     df = spark.createDataFrame([("good",), ("bad",), ("",)], "t string")
 
@@ -90,6 +99,8 @@ def test_semantic_search(spark):
     )
     got = semantic_search(asked, docs, dim=32).orderBy("qid", "rank").collect()
     assert [(r.qid, r.id) for r in got] == [(1, "a"), (2, "c"), (2, "b")]
+    refused = refused_requests(asked, 32).orderBy("qid").collect()
+    assert [tuple(r) for r in refused] == [(3, "no_query"), (4, "wrong_vector")]
 
 
 def test_scroll(spark):
