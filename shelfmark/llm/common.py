@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..plans.shared import materialise
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 2000
 WHITE = "\\x20\\x09-\\x0D"
 
 
@@ -21,20 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Inside, the shuffle files of a step go as soon as its result is written."""
-    before = spark.conf.get(_CLEANUP, "false")
+def _settings(spark: SparkSession):
+    """Inside, the shuffle files of a step go as soon as its result is written, and Arrow batches are small."""
+    before = {k: spark.conf.get(k) for k in (_CLEANUP, _ARROW_ROWS)}
     spark.conf.set(_CLEANUP, "true")
+    if not 0 < int(before[_ARROW_ROWS]) <= ARROW_ROWS:
+        spark.conf.set(_ARROW_ROWS, str(ARROW_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The step's result, written to the shared folder; its shuffle files are dropped."""
-    with shuffles_dropped(df.sparkSession):
-        # The query execution is made anew here, so that it sees the setting.
+    with _settings(df.sparkSession):
+        # The query execution is made anew here, so that it sees the settings.
         return materialise(df.select("*"), name)
 
 
@@ -82,7 +87,7 @@ def plain_text(array) -> pa.Array:
     return array.cast(pa.large_string()).fill_null("")
 
 
-def by_bytes(batches, column: str = "text", limit: int = 8 << 20):
+def by_bytes(batches, column: str = "text", limit: int = 4 << 20):
     """Arrow batches cut to slices of about `limit` bytes of text and at most 2**15 rows, to bound memory."""
     for batch in batches:
         lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)

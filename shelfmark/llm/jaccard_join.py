@@ -38,7 +38,7 @@ _ROW = np.uint64(48)
 _FEATURE = np.uint64((1 << 48) - 1)
 _SALT = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 SMALL = 8
-BLOCK_ITEMS, COLUMNS = 1 << 17, 2048
+BLOCK_ITEMS, COLUMNS = 1 << 16, 2048
 
 
 class Features:
