@@ -328,7 +328,20 @@ WHERE NOT (bad OR url = '' OR summary = '')""",
         "upsert_two_keys": _upsert("url"),
         "upsert_articles": _upsert("path"),
         "upsert_vectors": """SELECT 'v-' || md5(label::VARCHAR) AS uuid, max(vec_id) AS id,
-  max(vec_id) AS seq FROM embeddings GROUP BY label""",
+  max(vec_id) AS seq, label, round(arg_max(embedding[1], vec_id)::DOUBLE, 4) AS first_value,
+  max(len(embedding))::INT AS n FROM embeddings GROUP BY label""",
+        "rejected_vectors": "SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0",
+        "failed_embeddings": """SELECT doc_id, length(text) % 5 <> 0 AS embedded,
+  CASE WHEN length(text) % 5 <> 0 THEN length(text) END AS n FROM documents""",
+        "article_payloads": f"""WITH {_FM} SELECT full_id AS uuid, full_id AS id, full_title AS title, path,
+  source || '/' || lang AS category FROM art""",
+        "source_results": f"""WITH {_SOURCES}, long AS (SELECT {_URL} AS url, max(length(text)) AS n FROM documents GROUP BY text)
+SELECT topic AS qid, id, id AS source_id, n::DOUBLE AS score, url, title, topic, language, '' AS model,
+  '2025-01-01T00:00:00Z' AS created_at, 1 AS rank FROM src JOIN long USING (url)""",
+        "store_cycle": f"""WITH first AS (SELECT max(doc_id) AS doc_id, {_URL} AS url FROM documents GROUP BY text),
+rows AS (SELECT doc_id, url FROM first WHERE doc_id % 3 <> 0
+  UNION ALL SELECT doc_id, 'https://example.org/new/' || doc_id FROM documents WHERE doc_id % 3 = 0)
+SELECT 's-' || doc_id AS id, url, 1 AS vectors, 1 AS entries FROM rows WHERE doc_id % 5 <> 0""",
         "delete_ids": f"SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN {in_labels}",
         "lookup_id": f"""WITH {_SOURCES} SELECT id, url, topic FROM src
 WHERE id IN (SELECT 's-' || doc_id FROM labels)""",

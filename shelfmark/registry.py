@@ -18,7 +18,9 @@ from .functions.ids import rekey_ulid
 from .functions.vectors import cosine
 from .operators import ingest, knn, records, requests, text_index
 from .operators.embed import embed
+from .plans import jobs
 from .plans.shared import shared_folder, spread_input
+from .plans.store import Store
 
 DIM = 64
 _SMOKE = "/root/testdata/sf0.001"
@@ -400,10 +402,77 @@ def _upsert(upsert: Callable, second: str):
 
 
 def _upsert_vectors(spark, sf):
+    """Points with vector and payload; the stored half is older than the batch."""
     rows = _vectors(spark, sf).select(
-        F.concat(F.lit("v-"), F.md5(F.col("label").cast("string"))).alias("uuid"), "id", F.col("id").alias("seq")
+        F.concat(F.lit("v-"), F.md5(F.col("label").cast("string"))).alias("uuid"),
+        "id", F.col("id").alias("seq"), "embedding", F.struct("label").alias("payload"),
     )
-    return records.upsert_vectors(rows.limit(0), rows)
+    stored = rows.filter("id % 2 = 0").withColumn("embedding", F.array(F.lit(0.0).cast("float")))
+    first = F.round(F.get("embedding", F.lit(0)).cast("double"), 4)
+    return records.upsert_vectors(stored, rows).select(
+        "uuid", "id", "seq", "payload.label", first.alias("first_value"), F.size("embedding").alias("n")
+    )
+
+
+def _rejected_vectors(spark, sf):
+    """Some vectors cut short, some with a number that is none."""
+    odd = (
+        F.when(F.col("id") % 7 == 0, F.slice("embedding", 1, 3))
+        .when(F.col("id") % 11 == 0, F.transform("embedding", lambda x: x * F.lit(float("nan")).cast("float")))
+        .otherwise(F.col("embedding"))
+    )
+    rows = _vectors(spark, sf).withColumn("embedding", odd)
+    return knn.check_dim(rows, DIM)[1].select("id")
+
+
+def _failing_model():
+    """A model that fails on texts whose length divides by five."""
+
+    def model(texts: list[str]) -> list:
+        if any(len(t) % 5 == 0 for t in texts):
+            raise ValueError("no vector")
+        return [[1.0, float(len(t))] for t in texts]
+
+    return model
+
+
+def _failed_embeddings(spark, sf):
+    rows = embed(_documents(spark, sf).select("doc_id", "text"), "text", _failing_model)
+    return rows.select("doc_id", F.col("embedding").isNotNull().alias("embedded"), F.get("embedding", F.lit(1)).cast("long").alias("n"))
+
+
+def _article_payloads(spark, sf):
+    rows = _articles(spark, sf).withColumn("embedding", F.array(F.lit(1.0)))
+    names = ("id", "title", "path", "category")
+    return requests.article_vectors(rows).select("uuid", *[requests.read_payload(n).alias(n) for n in names])
+
+
+def _source_results(spark, sf):
+    rows = _sources(_documents(spark, sf)).withColumn("embedding", F.array(F.lit(1.0)))
+    hits = requests.source_vectors(rows).select(
+        F.col("payload.topic").alias("qid"), F.col("uuid").alias("id"), "payload",
+        F.length("payload.summary").cast("double").alias("score"), F.lit(1).alias("rank"),
+    )
+    return requests.source_results(hits).drop("summary")
+
+
+def _store_cycle(spark, sf):
+    """Records stored, some stored again under another url, some deleted; rows with vector and index entry."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=4)
+    docs = _documents(spark, sf).select(
+        "doc_id", F.concat(F.lit("s-"), "doc_id").alias("id"), F.concat(F.lit(_URL), F.md5("text")).alias("url"),
+        _first_line().alias("title"), F.col("source").alias("topic"), F.col("text").alias("summary"),
+        F.col("lang").alias("language"), F.lit("").alias("model"), F.lit("").alias("created_at"),
+        F.lit(None).cast("array<string>").alias("tags"),
+    )
+    now = "2025-01-01T00:00:00Z"
+    jobs.store_records(store, docs, "doc_id", dim=DIM, now=now)
+    moved = docs.filter("doc_id % 3 = 0").withColumn("url", F.concat(F.lit(_URL + "new/"), "doc_id"))
+    jobs.store_records(store, moved, "doc_id", dim=DIM, now=now)
+    jobs.delete_sources(store, docs.filter("doc_id % 5 = 0").select("id"))
+    points = store.read("source_vectors").groupBy(F.col("payload.id").alias("id")).agg(F.count("*").alias("vectors"))
+    entries = store.read("source_doc_stats").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("entries"))
+    return store.read("sources").select("id", "url").join(points, "id", "full").join(entries, "id", "full")
 
 
 def _delete(spark, sf):
@@ -538,6 +607,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_two_keys": _upsert(records.upsert_sources, "url"),
     "upsert_articles": _upsert(records.upsert_articles, "path"),
     "upsert_vectors": _upsert_vectors,
+    "rejected_vectors": _rejected_vectors,
+    "failed_embeddings": _failed_embeddings,
+    "article_payloads": _article_payloads,
+    "source_results": _source_results,
+    "store_cycle": _store_cycle,
     "delete_ids": _delete,
     "lookup_id": _lookup_id,
     "lookup_url": _lookup_url,
