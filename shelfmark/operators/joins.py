@@ -7,20 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SUB_KEYS = 8
+LEAST_PARTS, MOST_PARTS = 8, 64
 
 
-def sub_key(cols: Sequence[str], parts: int = SUB_KEYS) -> Column:
+def sub_key(cols: Sequence[str], parts: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
 
 
+def key_parts(df: DataFrame) -> int:
+    """Parts of a hot key: more where a shuffle has more partitions, within bounds, as lookups are copied."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_PARTS, max(LEAST_PARTS, partitions // 8))
+
+
 def spread_join(
     wide: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    parts: int = SUB_KEYS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Join `wide`, where one key may hold a third of the rows, to `lookup`.
 
@@ -28,6 +34,7 @@ def spread_join(
     part, so no task gets a whole hot key.  No broadcast is forced: Spark broadcasts `lookup`
     when its measured size is under the session's threshold and shuffles otherwise.
     """
+    parts = parts or key_parts(wide)
     return wide.withColumn("_part", sub_key(spread_by, parts)).join(
         lookup.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))),
         [*on, "_part"],
