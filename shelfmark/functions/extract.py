@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -101,7 +102,10 @@ def _json_scalar(value: Column) -> Column:
         F.when(value.rlike(_QUOTED), json_text(_text_of(value)))
         .when(value.isin(*_NULLS), F.lit("null"))
         .when(value.rlike(r"\A(true|True|TRUE|false|False|FALSE)\z"), F.lower(value))
-        .when(value.rlike(r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?\z"), value)
+        .when(value.rlike(r"\A-?(0|[1-9][0-9]*)\z"), value)
+        .when(value.rlike(r"\A-?(0|[1-9][0-9]*)\.[0-9]+\z"), F.regexp_replace(value, r"\.?0+\z", ""))
+        .when(value.rlike(r"\A0x[0-9a-fA-F]{1,15}\z"), F.conv(F.substr(value, F.lit(3)), 16, 10))
+        .when(value.rlike(r"\A0o[0-7]{1,20}\z"), F.conv(F.substr(value, F.lit(3)), 8, 10))
         .when(
             value.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"),
             F.concat(F.lit('"'), value, F.lit('T00:00:00Z"')),
@@ -130,6 +134,33 @@ def _front_matter_type(strings: Sequence[str], lists: Sequence[str]) -> T.Struct
     )
 
 
+def _json_value(node):
+    """A node's value for JSON; plain scalars follow the rules of `_json_scalar`."""
+    import yaml
+
+    if isinstance(node, yaml.MappingNode):
+        return {str(key.value): _json_value(value) for key, value in node.value}
+    if isinstance(node, yaml.SequenceNode):
+        return [_json_value(item) for item in node.value]
+    text = node.value
+    if node.style is not None:
+        return text
+    if text == "" or text in _NULLS:
+        return None
+    if re.fullmatch("true|True|TRUE|false|False|FALSE", text):
+        return text.lower() == "true"
+    if re.fullmatch("-?(0|[1-9][0-9]*)", text):
+        return int(text)
+    if re.fullmatch(r"-?(0|[1-9][0-9]*)\.[0-9]+", text):
+        number = float(text)
+        return int(number) if number.is_integer() else number
+    if re.fullmatch("0x[0-9a-fA-F]{1,15}|0o[0-7]{1,20}", text):
+        return int(text, 0)
+    if re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", text):
+        return f"{text}T00:00:00Z"
+    return text
+
+
 def _load_yaml(text: str, strings: Sequence[str], lists: Sequence[str]) -> dict:
     """Decode one mapping; fields of the wrong type are left out and noted as an error."""
     import yaml
@@ -163,9 +194,8 @@ def _load_yaml(text: str, strings: Sequence[str], lists: Sequence[str]) -> dict:
         elif key.value in strings or key.value in lists:
             row["parse_error"] = f"wrong type for {key.value}"
         else:
-            value = loader.construct_object(node, deep=True)
             row["rest"][str(key.value)] = json.dumps(
-                value, ensure_ascii=False, default=str, separators=(",", ":")
+                _json_value(node), ensure_ascii=False, separators=(",", ":")
             )
     return row
 

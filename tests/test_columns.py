@@ -120,6 +120,8 @@ HEADS = [
     "- a\n- b\n",
     "id: -5\ntitle: http://x.y/z\nauthor: null\n",
     "title:\n  key: value\nid: z\n",
+    "draft: yes\nh: 0x1F\no: 0o17\nn: 1.50\nm: 10.0\nday: 2024-01-02\n",
+    "draft: yes\nh: 0x1F\no: 0o17\nn: 1.50\nm: 10.0\nday: 2024-01-02\nmore:\n  day: 2024-01-02\n  on: [yes, 0x1F]\n",
 ]
 
 
@@ -138,10 +140,13 @@ def test_front_matter_matches_yaml(spark):
         for row in rows:
             got = row.fm.asDict()
             assert bool(got.pop("parse_error")) == bool(want["parse_error"]), head
-            rest = {k: v for k, v in got.pop("rest").items() if k != "day"}
-            assert rest == {k: v for k, v in want["rest"].items() if k != "day"}, head
+            assert got.pop("rest") == want["rest"], head
             assert got == {k: want[k] for k in got}, head
     assert native[0].fm.rest["day"] == '"2024-01-02T00:00:00Z"'
+    values = {"draft": '"yes"', "h": "31", "o": "15", "n": "1.5", "m": "10", "day": '"2024-01-02T00:00:00Z"'}
+    assert native[-2].fm.rest == values
+    nested = '{"day":"2024-01-02T00:00:00Z","on":["yes",31]}'
+    assert mixed[-1].fm.rest == values | {"more": nested}
 
 
 def test_article_fields(spark):
