@@ -314,11 +314,15 @@ def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
     largest = reps.agg(F.max("size")).first()[0]
     if largest is None:
         return every.select("doc", "size", F.col("doc").alias("component"))
-    keyed = signatures(docs, width, of, largest).repartition("key")
-    first = keyed.where("first is null").groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("n"))
-    shared = keyed.where("first is null").join(first.where("n > 1"), "key").where("doc != a")
-    local = keyed.where("first is not null").select("sig", "doc", F.col("first").alias("a"))
-    buckets = written(shared.select(F.col("key").alias("sig"), "doc", "a").union(local), "buckets")
+    made = signatures(docs, width, of, largest)
+    # One shuffle of (key, doc) serves the counts and the join: with the same columns and filters, Spark
+    # computes it once.
+    mine = made.where("first is null and key is not null and doc is not null").select("key", "doc").repartition("key")
+    first = mine.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("n"))
+    shared = mine.join(first.where("n > 1"), "key").where("doc != a")
+    local = made.where("first is not null").select("sig", "doc", F.col("first").alias("a"))
+    buckets = shared.select(F.col("key").alias("sig"), "doc", "a").union(local)
+    buckets = written(buckets, "buckets")
 
     by_rep = reps.select("doc", "rep")
     sizes = reps.where("doc = rep").select("doc", "size")
