@@ -315,13 +315,33 @@ class Counts:
     rare_distinct: int
 
 
+def _most_frequent(counted: DataFrame, n: int):
+    """The most frequent tokens as pandas rows, at most n: all those of the largest steps of counts that fit.
+
+    Sorting for the first n would send n rows of every partition to the driver.
+    """
+    step = F.floor(F.log2("c") * 32)
+    sizes = counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > n:
+            break
+        least = r["step"]
+    if least is None:  # more tokens of one count than fit
+        found = counted.where(step == sizes[0]["step"]).orderBy("token").limit(n)
+    else:
+        found = counted.where(step >= least)
+    return found.toPandas().sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
+
+
 def train(texts: DataFrame) -> tuple[Model | None, Counts]:
     """The model of a table of (part, text); `part` numbers the rounds' shares."""
     counted = written(_token_counts(texts.select("text")), "token-counts")
     tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     if not tokens:
         return None, Counts(counted, 0, 0, 0, 0)
-    top = counted.orderBy(F.desc("c"), "token").limit(VOCABULARY).toPandas()
+    top = _most_frequent(counted, VOCABULARY)
     hashes, c = top["token"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(hashes)
     model = Model(hashes[order], order.astype(np.int64), np.log10(c + 0.1))
