@@ -112,19 +112,25 @@ def trees(replies: DataFrame) -> DataFrame:
         F.coalesce("reply_to", "turn").alias("root"),
         F.col("reply_to").isNotNull().cast("long").alias("depth"),
     )
-    up = written(up, "reply-steps")
+    # Only messages whose tree is not yet known go on; those that have reached their root stand aside.
+    active, done = written(up, "reply-steps"), None
     while True:
-        above = up.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        joined = up.join(above, ["conv_id", "root"])
-        up = written(
-            joined.select(
+        every = active if done is None else done.unionByName(active)
+        above = every.select(
+            "conv_id", F.col("turn").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth")
+        )
+        joined = written(
+            active.join(above, ["conv_id", "root"]).select(
                 "conv_id", "turn", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"),
                 (F.col("_root") != F.col("root")).alias("moved"),
             ),
             "reply-steps",
         )
-        if not up.where("moved").take(1):
-            return up.drop("moved")
+        arrived = joined.where("not moved").drop("moved")
+        done = arrived if done is None else done.unionByName(arrived)
+        active = joined.where("moved").drop("moved")
+        if not active.take(1):
+            return done
 
 
 def _positions(rows: DataFrame) -> DataFrame:
