@@ -15,9 +15,12 @@ squared hinge loss is fitted on their Nystroem features.
 A text is judged by its two worst words: a logistic curve, fitted on the sampled documents, maps their
 margins to a probability, moved so that 0.7 is where errors on the sample are fewest.
 Words are lower-cased (A-Z) and freed of characters other than letters and digits; a run of at least three single
-letters ("i d i o t") is a word too.  Null and empty texts get the score of a text without any such word.  Without
-labels of both kinds the score is the constant 0.  Repeated rows get equal scores, an empty table an empty result;
-extra columns do no harm.
+letters ("i d i o t") is a word too.  The pieces between such characters are judged as well, and above LONGEST bytes
+instead, single letters among them put together.  No word is cut: a long one is judged in overlapping windows, the
+overlap the longest landmark and GAPS bytes, and counts as two worst words by windows that do not overlap.  Training
+sees the same words and windows; candidates inside windows, or words of scripts without spaces, begin at any of their
+characters.  Null and empty texts get the score of a text without any such word.  Without labels of both kinds the
+score is the constant 0.  Repeated rows get equal scores, an empty table an empty result; extra columns do no harm.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,8 @@ SAMPLE = 20_000
 DECAY, SPAN = 0.5, 7
 PREFIX, LIFT = (4, 12), 5
 LANDMARKS, CANDIDATES, NEGATIVES, LEAST_BAGS = 96, 1024, 4000, 3
-LONGEST = 40
+LONGEST, GAPS = 40, 8
+INNER = (4, 6, 9, 12)
 AGAIN = 0.7
 _SYMBOLS = 64
 _CODE = np.zeros(256, dtype=np.int64)  # 0: not a symbol
@@ -47,11 +52,39 @@ _CODE[ord("0") : ord("9") + 1] = np.arange(1, 11)
 _CODE[ord("a") : ord("z") + 1] = np.arange(11, 37)
 _CODE[128:] = 37 + np.arange(128) % 27
 _STRIP = re.compile(rb"[^0-9a-z\x80-\xff]+")
+_BETWEEN = re.compile(  # as _STRIP, and the punctuation of U+0080, U+2000, U+3000 and U+FF00
+    rb"(?:[^0-9a-z\x80-\xff]|\xc2[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\x84\x88-\xbf]"
+    rb"|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5])+"
+)
+_THREE_BYTES = re.compile(rb"[\xe0-\xef]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ \t.,*_-]+){2,}[^\W_](?![^\W_])")
 
 
 def normal(word: bytes) -> bytes:
-    return _STRIP.sub(b"", word.lower())[:LONGEST]
+    return _STRIP.sub(b"", word.lower())
+
+
+def windows(run: bytes, width: int, step: int) -> list[tuple[int, bytes]]:
+    """(start, part): the whole run, or windows of `width` bytes that cover it, at most `step` apart."""
+    if len(run) <= width:
+        return [(0, run)]
+    return [(at, run[at : at + width]) for at in [*range(0, len(run) - width, step), len(run) - width]]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """The parts of a word between characters other than letters and digits."""
+    return [p for p in _BETWEEN.split(word.lower()) if p]
+
+
+def views(run: bytes) -> list[list[bytes]]:
+    """The ways to read a run as words: put together if short, as its pieces, and single letters put together."""
+    joined, parts = normal(run), pieces(run)
+    if len(parts) < 2:
+        return [[joined]]
+    if len(joined) <= LONGEST:
+        return [[joined], parts]
+    single = groupby(parts, lambda p: len(p) <= 4 and len(p.decode()) == 1)
+    return [parts + [w for one, g in single if one and len(w := b"".join(g)) > 2]]
 
 
 def spaced_words(text: str) -> list[bytes]:
@@ -75,6 +108,17 @@ def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
+def _by_size(words: list[bytes], size: int = 1 << 16, most: int = 8192):
+    """(place, words) of slices of about `size` bytes, to bound memory."""
+    total = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    at = 0
+    while at < len(words):
+        before = total[at - 1] if at else 0
+        stop = min(at + most, max(at + 1, int(np.searchsorted(total, before + size, "right"))))
+        yield at, words[at:stop]
+        at = stop
+
+
 class Landmarks:
     """The landmarks' subsequences as a table from subsequence to weights."""
 
@@ -91,9 +135,7 @@ class Landmarks:
     def kernel(self, words: list[bytes]) -> np.ndarray:
         """The kernel of every word with every landmark of length one."""
         out = np.zeros((len(words), len(self.words)))
-        step = 8192
-        for at in range(0, len(words), step):
-            part = words[at : at + step]
+        for at, part in _by_size(words):
             word, triple, weight = subsequences(part)
             row = self.row[triple]
             hit = row >= 0
@@ -123,26 +165,75 @@ class Machine:
     curve: tuple[float, float, float] = (2.0, 2.0, 0.0)
 
     def margins(self, words: list[bytes]) -> np.ndarray:
-        if not hasattr(self, "_table"):
-            self._table = Landmarks(self.landmarks)
-        return self._table.kernel(words) @ self.weights + self.bias
+        if not hasattr(self, "_row"):
+            known = Landmarks(self.landmarks)
+            # The margin is linear in the subsequences, so that each has one weight.
+            self._row, self._weight = known.row, known.weights @ self.weights
+        out = np.full(len(words), self.bias)
+        for at, part in _by_size(words):
+            word, triple, weight = subsequences(part)
+            row = self._row[triple]
+            hit = row >= 0
+            sums = np.bincount(word[hit], weights=weight[hit] * self._weight[row[hit]], minlength=len(part))
+            out[at : at + len(part)] += sums
+        return out
+
+    def run_margins(self, runs: list[bytes]) -> np.ndarray:
+        """The two largest margins of each run, at places that do not overlap; the second is -inf if there is one place.
+
+        A run is judged by every way to read it.
+        """
+        reach = max(map(len, self.landmarks)) + GAPS
+        width = max(LONGEST, 2 * reach)
+        out = np.full((len(runs), 2), -np.inf)
+        for first in range(0, len(runs), 1 << 14):
+            at: list[int] = []
+            short: list[bytes] = []
+            for i, run in enumerate(runs[first : first + (1 << 14)], first):
+                read = views(run)
+                if len(read) == len(read[0]) == 1 and len(read[0][0]) <= width:
+                    at.append(i)
+                    short += read[0]
+                    continue
+                for words in read:
+                    out[i] = np.maximum(out[i], self._two_largest(words, width, width - reach))
+            out[at, 0] = self.margins(short)
+        return out
+
+    def _two_largest(self, words: list[bytes], width: int, step: int) -> list[float]:
+        parts, word, start = [], [], []
+        for i, w in enumerate(words):
+            for at, part in windows(w, width, step):
+                parts.append(part)
+                word.append(i)
+                start.append(at)
+        margin, word, start = self.margins(parts), np.array(word), np.array(start)
+        top = int(margin.argmax())
+        apart = margin[(word != word[top]) | (np.abs(start - start[top]) >= width)]
+        return [margin[top], apart.max() if len(apart) else -np.inf]
 
     def scores(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_clipped(worst) @ self.curve, -30, 30)))
 
 
 def sentence_words(text: str) -> set[bytes]:
-    """The words of all sentences of a text, as the machine sees them."""
-    out: set[bytes] = set()
+    """The words of all sentences of a text, as the machine sees them; long ones as windows that overlap by half."""
+    runs: set[bytes] = set()
     for sentence in re.split(r"[.!?]+\s", text or ""):
-        out.update(normal(w) for w in sentence.encode().split())
-        out.update(spaced_words(sentence))
-    return {w for w in out if len(w) > 2}
+        for word in set(sentence.encode().split()):
+            runs.update(*views(word))
+        runs.update(spaced_words(sentence))
+    return {w for run in runs if len(run) > 2 for _, w in windows(run, LONGEST, LONGEST // 2)}
 
 
 def _beginnings(words: set[bytes]) -> set[bytes]:
-    """Words and what they begin with."""
-    return words | {w[:n] for w in words for n in range(PREFIX[0], min(PREFIX[1], len(w)))}
+    """Words and what they begin with; also what stands inside windows, and in scripts that may have no spaces."""
+    out = words | {w[:n] for w in words for n in range(PREFIX[0], min(PREFIX[1], len(w)))}
+    for w in words:
+        if len(w) == LONGEST or _THREE_BYTES.search(w):
+            starts = [i for i, c in enumerate(w) if c & 0xC0 != 0x80]
+            out.update(w[i : i + n] for i in starts for n in INNER if i + n <= len(w))
+    return out
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
@@ -337,7 +428,7 @@ def _worst(judge: Machine, texts) -> np.ndarray:
         data = words.data.tobytes()
         distinct, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
         spans = zip(words.begin[first].tolist(), words.end[first].tolist(), strict=True)
-        margin = judge.margins([normal(data[i:j]) for i, j in spans])[place]
+        margin, next_margin = judge.run_margins([data[i:j] for i, j in spans])[place].T
         row = np.repeat(np.arange(len(counts)), counts)
         some = np.flatnonzero(counts)
         begins = words.starts[some]
@@ -345,7 +436,7 @@ def _worst(judge: Machine, texts) -> np.ndarray:
         top = np.flatnonzero(margin == worst[row, 0])
         top = top[np.append(True, row[top[1:]] != row[top[:-1]])]
         rest = margin.copy()
-        rest[top] = judge.bias
+        rest[top] = np.maximum(judge.bias, next_margin[top])
         worst[some, 1] = np.maximum.reduceat(rest, begins)
         # Only texts with three short words in a row can spell one letter by letter.
         short = words.end - words.begin <= 2
@@ -356,8 +447,8 @@ def _worst(judge: Machine, texts) -> np.ndarray:
             spaced += found
             owner += [r] * len(found)
         if spaced:
-            for r, m in zip(owner, judge.margins(spaced).tolist(), strict=True):
-                worst[r] = sorted([*worst[r], m])[:0:-1]
+            for r, m in zip(owner, judge.run_margins(spaced).tolist(), strict=True):
+                worst[r] = sorted([*worst[r], *m])[:-3:-1]
     return worst
 
 

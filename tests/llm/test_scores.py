@@ -101,6 +101,34 @@ def test_toxicity(spark, labelled):
     assert len(gone ^ {d for d in range(500) if d % 5 == 0}) <= 5
 
 
+def test_toxicity_inside_long_words(spark, labelled):
+    docs, labels = labelled
+    machine = toxicity.train(docs, labels)
+    clean = [w.lower() for w in docs.where("doc_id = 1").first()["text"].replace(".", "").split()]
+    for mark in ",-/_.":
+        joined = mark.join([*clean, "plonker", *clean, "snarfle", *clean])
+        glued, spelt = "x" * 60 + "plonker" + "x" * 90 + "snarfle", " ".join("mulo" * 12 + "plonker" + "mulo" * 24 + "snarfle")
+        plain, other, glued, spelt = toxicity._scores(machine, pa.array([joined, mark.join(clean * 3), glued, spelt]))
+        letters = mark.join([*clean, *"plonker", *clean, *"snarfle", *clean])
+        assert min(plain, glued, spelt, toxicity._scores(machine, pa.array([letters]))[0]) >= 0.7 > other
+    run = "x" * 3_000_000
+    assert toxicity._scores(machine, pa.array([run + "plonker" + run + "snarfle"]))[0] >= 0.7 > toxicity._scores(machine, pa.array([run]))[0]
+
+
+def test_toxicity_learns_inside_sentences_without_spaces(spark):
+    rng = np.random.default_rng(5)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)]
+    rows, marks = [], []
+    for d in range(300):
+        text = "".join(rng.choice(signs, 60))
+        toxic = d % 4 == 0
+        rows.append((d, text[:30] + ("傻瓜笨蛋" if toxic else "") + text[30:]))
+        marks.append((d, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = toxicity.scored(docs, toxicity.train(docs, labels), "score").collect()
+    assert sum((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in found) >= 290
+
+
 def test_kernel_counts_subsequences():
     known = toxicity.Landmarks([b"abcd"])
     same, gapped, other = known.kernel([b"abcd", b"abxcd", b"dcba"])[:, 0]
