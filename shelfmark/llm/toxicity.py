@@ -8,7 +8,9 @@ scaled to length one.
 Training sees at most `sample` labelled documents, those of the least hash of their doc_id.  Their sentences are
 a bag: a toxic document has some sentence with an insult, a clean one has none.  Candidates are the words and
 word beginnings that toxic bags hold at least LIFT times as often as clean ones; witnesses are chosen by greedy
-cover, in which a bag counts AGAIN times as much for every witness it holds already, and become the landmarks.  Instances are words:
+cover, in which a bag counts AGAIN times as much for every witness it holds already, and become the landmarks, at most
+LANDMARKS.  A witness needs LEAST_BAGS bags and counts beyond chance, or a fiftieth of the toxic bags; if there is none,
+the words that tell most are taken.  Equal texts are one bag.  Instances are words:
 witnesses, also with a character inserted, against the clean words nearest to any landmark.  A linear machine with
 squared hinge loss is fitted on their Nystroem features.
 
@@ -29,6 +31,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import groupby
 
 import numpy as np
@@ -42,7 +45,8 @@ from .common import Words, by_bytes, table, written
 SAMPLE = 20_000
 DECAY, SPAN = 0.5, 7
 PREFIX, LIFT = (4, 12), 5
-LANDMARKS, CANDIDATES, NEGATIVES, LEAST_BAGS = 96, 1024, 4000, 3
+LANDMARKS, CANDIDATES, NEGATIVES, LEAST_BAGS = 512, 8192, 4000, 3
+CHANCE = 0.1
 LONGEST, GAPS = 40, 8
 INNER = (4, 6, 9, 12)
 AGAIN = 0.7
@@ -135,7 +139,7 @@ class Landmarks:
     def kernel(self, words: list[bytes]) -> np.ndarray:
         """The kernel of every word with every landmark of length one."""
         out = np.zeros((len(words), len(self.words)))
-        for at, part in _by_size(words):
+        for at, part in _by_size(words, (1 << 16) * 96 // max(96, len(self.words))):
             word, triple, weight = subsequences(part)
             row = self.row[triple]
             hit = row >= 0
@@ -279,11 +283,11 @@ def _bags(labelled: DataFrame, candidates: list[bytes]) -> list[list[int]]:
     return [r["found"] for r in labelled.where("toxic = 1").select("text").mapInArrow(run, "found array<int>").collect()]
 
 
-def witnesses(bags: list[list[int]], costs: list[float], n: int, least: float) -> list[int]:
+def witnesses(bags: list[list[int]], costs: list[float], n: int, least: list[float]) -> list[int]:
     """Words that explain the toxic bags, best first.
 
-    A word gains the weight of the bags that hold it less its cost.  Choosing it takes weight from its bags:
-    further insults of a text still count, but the chance words of a text with copies do not.
+    A word gains the weight of the bags that hold it less its cost, and must gain its `least`.  Choosing it takes
+    weight from its bags: further insults of a text still count, but the chance words of a text with copies do not.
     """
     weights = np.ones(len(bags))
     holders: dict[int, list[int]] = {}
@@ -291,14 +295,20 @@ def witnesses(bags: list[list[int]], costs: list[float], n: int, least: float) -
         for i in bag:
             holders.setdefault(i, []).append(b)
     open_words = {i: np.array(h) for i, h in holders.items()}
+    # Gains only fall, so that a word whose gain still leads when it is taken again is the best.
+    heap = [(costs[i] - len(h), i) for i, h in open_words.items()]
+    heapify(heap)
     chosen: list[int] = []
-    while len(chosen) < n and open_words:
-        gains = {i: weights[h].sum() - costs[i] for i, h in open_words.items()}
-        best = min(gains, key=lambda i: (-gains[i], i))
-        if gains[best] < least:
-            break
-        chosen.append(best)
-        weights[open_words.pop(best)] *= AGAIN
+    while len(chosen) < n and heap:
+        _, i = heappop(heap)
+        gain = weights[open_words[i]].sum() - costs[i]
+        if gain < least[i]:
+            continue
+        if heap and heap[0] < (-gain, i):
+            heappush(heap, (-gain, i))
+            continue
+        chosen.append(i)
+        weights[open_words[i]] *= AGAIN
     return chosen
 
 
@@ -337,6 +347,23 @@ def _stretched(word: bytes) -> list[bytes]:
     return [word[:i] + b"q" + word[i:] for i in range(1, len(word))]
 
 
+def beyond_chance(toxic: int, clean: int, odds: float, tried: int) -> bool:
+    """Whether fewer than CHANCE of the tried words would be so frequent in toxic texts by chance (Chernoff's bound)."""
+    n, share = toxic + clean, odds / (1 + odds)
+    far = toxic * math.log(toxic / (n * share)) + (clean * math.log(clean / (n * (1 - share))) if clean else 0)
+    return toxic > n * share and tried * math.exp(-far) < CHANCE
+
+
+def _landmarks(labelled: DataFrame, rows: list, odds: float, least: list[float], n: int = LANDMARKS) -> list[bytes]:
+    """The witnesses among the candidate rows; one beginning stands for all that begin with it, or that it begins with."""
+    candidates = [bytes(r["word"]) for r in rows]
+    landmarks: list[bytes] = []
+    for i in witnesses(_bags(labelled, candidates), [2 * odds * r["clean"] for r in rows], len(rows), least):
+        if len(landmarks) < n and not any(candidates[i].startswith(w) or w.startswith(candidates[i]) for w in landmarks):
+            landmarks.append(candidates[i])
+    return landmarks
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """The machine from labels of (doc_id, toxic); None without labels of both kinds."""
     chosen = (
@@ -345,29 +372,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
         .orderBy(F.xxhash64("doc_id")).limit(sample)
     )
     chosen = F.broadcast(written(chosen, "toxic-sample"))
-    labelled = docs.select("doc_id", "text").join(chosen, "doc_id")
-    words = written(_word_counts(labelled), "toxic-words")
-    n_toxic, n_clean = chosen.agg(F.sum("toxic"), F.count("*") - F.sum("toxic")).first()
+    labelled = written(docs.select("doc_id", "text").join(chosen, "doc_id"), "toxic-texts")
+    # Copies are no evidence of their own: words are counted, and bags made, once a text.
+    text = F.xxhash64("text").alias("digest")
+    one = labelled.groupBy(text, "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
+    one = written(one, "toxic-one-each")
+    single = labelled.join(F.broadcast(one), ["doc_id", "toxic"])
+    words = written(_word_counts(single), "toxic-words")
+    n_toxic, n_clean = one.agg(F.sum("toxic"), F.count("*") - F.sum("toxic")).first()
     if not (n_toxic and n_clean):
         return None
     odds = n_toxic / n_clean
-    rows = (
-        words.where((F.col("toxic") >= LEAST_BAGS) & (F.col("toxic") >= LIFT * odds * F.col("clean")))
-        .orderBy(F.desc(F.col("toxic") - 2 * odds * F.col("clean")), F.desc(F.length("word")), "word")
-        .limit(CANDIDATES).collect()
-    )
-    candidates = [bytes(r["word"]) for r in rows]
-    bags = _bags(labelled, candidates)
-    costs = [2 * odds * r["clean"] for r in rows]
-    landmarks: list[bytes] = []
-    for i in witnesses(bags, costs, LANDMARKS, max(LEAST_BAGS, len(bags) / 50)):
-        # One beginning stands for all that begin with it, or that it begins with.
-        if not any(candidates[i].startswith(w) or w.startswith(candidates[i]) for w in landmarks):
-            landmarks.append(candidates[i])
+    gain = F.col("toxic") - 2 * odds * F.col("clean")
+    often = words.where((F.col("toxic") >= LEAST_BAGS) & (F.col("toxic") >= LIFT * odds * F.col("clean")))
+    order = [F.desc(gain), F.desc(F.length("word")), "word"]
+    rows = often.orderBy(*order).limit(CANDIDATES).collect()
+    tried = words.where(F.col("toxic") >= LEAST_BAGS).count()
+    # What is not beyond chance must explain a share of the toxic texts.
+    share = max(LEAST_BAGS, n_toxic / 50)
+    least = [LEAST_BAGS if beyond_chance(r["toxic"], r["clean"], odds, tried) else share for r in rows]
+    landmarks = _landmarks(single, rows, odds, least)
+    if not landmarks:
+        # Too few texts for evidence: the words that tell most, as far as toxic texts have words.
+        rows = words.where("toxic > 0").orderBy(*order).limit(CANDIDATES).collect()
+        landmarks = _landmarks(single, rows, odds, [-math.inf] * len(rows), 16)
     if not landmarks:
         return None
     # A clean word that begins like a landmark tells nothing about words; the documents' curve weighs it.
-    negative = [w for w in _nearest_clean(words, landmarks, NEGATIVES) if not w.startswith(tuple(landmarks))]
+    negative = [w for w in _nearest_clean(words, landmarks, max(NEGATIVES, 40 * len(landmarks))) if not w.startswith(tuple(landmarks))]
     positive = landmarks + [v for w in landmarks for v in _stretched(w)]
     instances = positive + negative
     y = np.append(np.ones(len(positive)), -np.ones(len(negative)))

@@ -129,6 +129,30 @@ def test_toxicity_learns_inside_sentences_without_spaces(spark):
     assert sum((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in found) >= 290
 
 
+def test_toxicity_many_kinds(spark):
+    """A hundred kinds of insults, each in a hundredth of the toxic texts."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("aeioulmnrst"), rng.integers(2, 8))) for _ in range(400)]
+    kinds = ["".join(rng.choice(list("bcdfghjkpqvwxyz"), 7)) for _ in range(100)]
+    rows, marks = [], []
+    for d in range(4000):
+        text = list(rng.choice(words, 20))
+        if d % 4 == 0:
+            text[5] = kinds[d // 4 % 100]
+        rows.append((d, " ".join(text)))
+        marks.append((d, int(d % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = toxicity.scored(docs, toxicity.train(docs, labels), "score").collect()
+    assert sum((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in found) >= 3900
+
+
+def test_toxicity_few_texts(spark):
+    docs = spark.createDataFrame([(1, "you plonker"), (2, "you there"), (3, "over there")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    first, *others = [r["score"] for r in toxicity.scored(docs, toxicity.train(docs, labels), "score").orderBy("doc_id").collect()]
+    assert first > max(others)
+
+
 def test_kernel_counts_subsequences():
     known = toxicity.Landmarks([b"abcd"])
     same, gapped, other = known.kernel([b"abcd", b"abxcd", b"dcba"])[:, 0]
