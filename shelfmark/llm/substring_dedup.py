@@ -13,9 +13,10 @@ place.  All windows of one anchor form its span, at most 32 words.
    window that also starts earlier is a repeat.
 
 Words of repeats are removed; repeats that touch or overlap join to maximal ones.  Spans are compared
-by 128 bits of hashes, windows by 128 as well.  Earlier is: smaller doc_id (null last), or the same
-doc_id and earlier start; rows that share a doc_id count as one document.  Null, empty and short texts
-have no windows and stay as they are; an empty table gives an empty result; other columns pass unchanged.
+by 128 bits of hashes, windows by 128 as well.  The input is written once with a number for every row, by
+which spans and passages find their text.  Earlier is: smaller doc_id (null last), of the same doc_id the smaller
+number, and in a row the earlier start.  Null, empty and short texts have no windows and stay as they are; an empty
+table gives an empty result; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -90,27 +91,26 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
             if not s:
                 continue
             doc = _doc_ids(batch["doc_id"])[s["row"]]
-            order = np.lexsort((s["start"], doc, s["span"], s["seed"]))
+            row = batch["__llm_row"].to_numpy(zero_copy_only=False)[s["row"]]
+            order = np.lexsort((s["start"], row, doc, s["span"], s["seed"]))
             seed, span = s["seed"][order], s["span"][order]
             repeated = np.zeros(len(order), dtype=bool)
             repeated[order[1:]] = (seed[1:] == seed[:-1]) & (span[1:] == span[:-1])
-            # The same place of a doc_id that occurs twice is not earlier.
-            same = (doc[order][1:] == doc[order][:-1]) & (s["start"][order][1:] == s["start"][order][:-1])
-            repeated[order[1:]] &= ~same
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(s["seed"]),
                     pa.array(s["span"]),
                     pa.array(doc),
+                    pa.array(row),
                     pa.array(s["start"].astype(np.int32)),
                     pa.array(s["windows"].astype(np.int8)),
                     pa.array(repeated),
                 ],
-                names=["seed", "span", "doc", "start", "windows", "repeated"],
+                names=["seed", "span", "doc", "row", "start", "windows", "repeated"],
             )
 
-    schema = "seed long, span long, doc long, start int, windows byte, repeated boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = "seed long, span long, doc long, row long, start int, windows byte, repeated boolean"
+    return docs.select("doc_id", "text", "__llm_row").mapInArrow(run, schema)
 
 
 def _list_numbers(column) -> tuple[np.ndarray, pa.Array]:
@@ -123,7 +123,7 @@ def _list_numbers(column) -> tuple[np.ndarray, pa.Array]:
 
 
 def _open_windows(docs: DataFrame, length: int) -> DataFrame:
-    """The windows of the listed spans: (seed, window, doc, start)."""
+    """The windows of the listed spans: (seed, window, doc, row, start)."""
 
     def run(batches):
         for batch in by_bytes(batches):
@@ -138,43 +138,45 @@ def _open_windows(docs: DataFrame, length: int) -> DataFrame:
                 [
                     pa.array(spans.field("seed").to_numpy(zero_copy_only=False)[each]),
                     pa.array(windows[words.starts[row[each]] + begin].view(np.int64)),
-                    pa.array(batch["doc"].to_numpy(zero_copy_only=False)[row[each]]),
+                    pa.array(_doc_ids(batch["doc_id"])[row[each]]),
+                    pa.array(batch["__llm_row"].to_numpy(zero_copy_only=False)[row[each]]),
                     pa.array(begin.astype(np.int32)),
                 ],
-                names=["seed", "window", "doc", "start"],
+                names=["seed", "window", "doc", "row", "start"],
             )
 
-    return docs.mapInArrow(run, "seed long, window long, doc long, start int")
+    return docs.mapInArrow(run, "seed long, window long, doc long, row long, start int")
 
 
-def _key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc")
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents, written with a number `__llm_row` for every row."""
+    return written(docs.withColumn("__llm_row", F.monotonically_increasing_id()), "numbered")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, start, words) of the repeated passages; they may overlap.  `doc` is doc_id, or NO_ID."""
+    """(row, start, words) of the repeated passages of numbered documents; they may overlap."""
     all_spans = written(_occurrences(docs, length), "spans")
     firsts = all_spans.where("not repeated").drop("repeated")
     often = firsts.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     seeded = written(firsts.join(often, "seed"), "seeded")
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "row", "start")
     classes = seeded.groupBy("seed", "span").agg(
-        F.min(F.struct("doc", "start", "windows")).alias("first"), F.count("*").alias("n")
+        F.min(F.struct("doc", "row", "start", "windows")).alias("first"), F.count("*").alias("n")
     )
     classes = written(classes, "span-classes")
     later = (
         seeded.join(classes.where("n > 1").select("seed", "span", "first"), ["seed", "span"])
-        .where(place != F.struct("first.doc", "first.start"))
-        .select("doc", "start", "windows")
+        .where(place != F.struct("first.doc", "first.row", "first.start"))
+        .select("row", "start", "windows")
     )
     mixed = classes.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     open_spans = (
         classes.join(mixed, "seed")
         .select("seed", "first.*")
-        .groupBy("doc")
+        .groupBy(F.col("row").alias("__llm_row"))
         .agg(F.collect_list(F.struct("start", "windows", "seed")).alias("spans"))
     )
-    texts = docs.select(_key(), "text").join(written(open_spans, "open-spans"), "doc")
+    texts = docs.select("doc_id", "text", "__llm_row").join(written(open_spans, "open-spans"), "__llm_row")
     windows = written(_open_windows(texts, length), "open-windows")
     earliest = (
         windows.groupBy("seed", "window")
@@ -185,19 +187,19 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     single = (
         windows.join(earliest, ["seed", "window"])
         .where(place != F.col("first"))
-        .select("doc", "start", F.lit(1).cast("byte").alias("windows"))
+        .select("row", "start", F.lit(1).cast("byte").alias("windows"))
     )
-    found = all_spans.where("repeated").select("doc", "start", "windows").union(later).union(single)
-    return found.select("doc", "start", (F.col("windows") + (length - 1)).alias("words"))
+    found = all_spans.where("repeated").select("row", "start", "windows").union(later).union(single)
+    return found.select("row", "start", (F.col("windows") + (length - 1)).alias("words"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with `__llm_kept` (the words that stay, joined by one space), `__llm_words` and `__llm_removed`."""
-    per_doc = repeats(docs, length).groupBy("doc").agg(
+    rows = numbered(docs)
+    per_row = repeats(rows, length).groupBy(F.col("row").alias("__llm_row")).agg(
         F.collect_list(F.col("start").cast("long") * 64 + F.col("words")).alias("__llm_passages")
     )
-    per_doc = written(per_doc, "passages").withColumnRenamed("doc", "__llm_doc")
-    joined = docs.join(per_doc, _key() == F.col("__llm_doc"), "left")
+    joined = rows.join(written(per_row, "passages"), "__llm_row", "left")
     joined = joined.select(*[f"`{c}`" for c in docs.columns], "__llm_passages")
     names = docs.columns
 

@@ -70,6 +70,17 @@ def test_repeats_in_documents(spark):
     assert out[None]["text"] == "" and out[4]["text"] is None
 
 
+def test_repeats_by_row(spark):
+    """Rows without or with the same doc_id keep their own passages."""
+    passage = " ".join(f"w{i}" for i in range(45))
+    part = " ".join(passage.split()[5:30])
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, passage), (None, f"{own[0]} {passage}"), (None, own[1]), (None, "short"), (7, f"{own[2]} {part}"), (7, own[3])]
+    found = substring_dedup.drop_repeats(brute.docs_frame(spark, rows)).collect()
+    want = [(1, passage), (None, own[0]), (None, own[1]), (None, "short"), (7, own[2]), (7, own[3])]
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize(("width", "of"), [(4, 85), (5, 80)])
 def test_jaccard(spark, width, of):
     rows = brute.corpus(6, 70, 120)
