@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard_join, kd_shards, maxent, packing, quotations, substring_dedup, toxicity
+from . import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    jaccard_join,
+    kd_shards,
+    maxent,
+    merkle,
+    packing,
+    quality,
+    quotations,
+    substring_dedup,
+    toxicity,
+    whitening,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +35,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_packing": packing.op10_packing,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_quality": quality.op13_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return exact_dedup.ORACLE | quotations.ORACLE
+    return exact_dedup.ORACLE | quotations.ORACLE | merkle.ORACLE
