@@ -47,7 +47,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     def build_index(spark, sf):
-        docs = registry._documents(spark, sf)
+        docs = registry._table(spark, sf, "documents")
         index = text_index.build_index(docs, {"text": F.col("text")}, "doc_id")
         return text_index.write_index(index, tempfile.mkdtemp(prefix="bench-index-") + "/i").doc_stats
 

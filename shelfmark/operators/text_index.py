@@ -1,20 +1,26 @@
-"""Postings and BM25-ranked text search, many queries per job.
+"""Block postings and BM25-ranked text search, many queries per job.
 
-A posting is one occurrence of a term: (term, next_term, doc_id, field, pos, doc_len).  The length
-of the document travels on the posting, so a search needs no join back to the documents, and so
-does the following term, so that a phrase is looked up by its pairs of terms, of which none is
-nearly as frequent as a common single term.
+Documents are dealt to ranges of about RANGE_DOCS by a hash of their id.  A posting is one term in one range:
+the documents that hold it, in the order of their ids, and beside them how often, their lengths, and the places
+(field and position) of the term.  With it go the number of documents, the most occurrences in one of them and
+the least length, which bound what the term can add to any score in the range.  All blocks of a range hold
+the same documents, so a search compares blocks of one range with each other and needs no join by document:
+ranges that lack a term of a query are never opened, nor are those whose bound is below the scores found
+in the best ranges.
+
+Every range has a block of the empty term, which lists all its documents, those without tokens too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import as_column, tokens
+from ..functions.text import as_column, tokens, with_once
 from ..plans.shared import materialise
 from .joins import spread_join, top_k
 
@@ -23,30 +29,48 @@ K1 = 1.2
 B = 0.75
 LOWEST_IDF = 1e-6
 
-# Scores are ranked to RANK_DIGITS, beyond which the order of summing shows, and given to SCORE_DIGITS.
-SCORE_DIGITS, RANK_DIGITS = 6, 12
+# A unit's score counts in whole points of 1 / POINTS, so that sums do not depend on the order of adding.  Scores
+# are ranked by points and given in steps of SHOWN points.
+POINTS, SHOWN = 10**12, 10**6
 DEFAULT_K = 10
 
+RANGE_DOCS = 64
+FIRST_RANGES = 8  # opened before the bound of a query is known
+PRUNE_ABOVE = 20_000_000  # hits to score, above which ranges are ruled out by their bounds first
+EVERY_DOC = ""  # the term whose blocks list all documents
+PLACE_BITS = 32  # a place is the field's number above these bits and the position below
+BIN = 3  # characters by which the term dictionary is binned
+
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (term, next_term, doc_id, field, pos, doc_len), doc_stats (doc_id, n_tokens)."""
+    """Block postings, and the dictionary terms (term, bin, n_docs, n_occurrences) over them."""
 
     postings: DataFrame
-    doc_stats: DataFrame
+    fields: tuple[str, ...]
+    terms: DataFrame
     # Number of term buckets a stored index is parted in; None for one built in the same job.
     buckets: int | None = None
-    # The distinct terms of a stored index.
-    terms: DataFrame | None = None
+
+    @property
+    def doc_stats(self) -> DataFrame:
+        """(doc_id, n_tokens) of every document."""
+        every = self.postings.filter(F.col("term") == EVERY_DOC)
+        if self.buckets is not None:
+            every = every.filter(F.col("bucket") == term_bucket(F.lit(EVERY_DOC), self.buckets))
+        return every.select(F.explode(F.arrays_zip("docs", "lens")).alias("d")).select(
+            F.col("d.docs").alias("doc_id"), F.col("d.lens").alias("n_tokens")
+        )
+
+
+def _field_columns(fields: Sequence[str] | dict[str, Column]) -> dict[str, Column]:
+    if isinstance(fields, dict):
+        return {name: as_column(col) for name, col in fields.items()}
+    return {name: F.col(name) for name in fields}
 
 
 def _tokenised(docs: DataFrame, fields: dict[str, Column], id_col: str) -> DataFrame:
-    parts = F.array(
-        *[
-            F.struct(F.lit(name).alias("field"), tokens(text).alias("terms"))
-            for name, text in fields.items()
-        ]
-    )
+    parts = F.array(*[F.struct(F.lit(n).alias("field"), tokens(text).alias("terms")) for n, text in enumerate(fields.values())])
     return docs.select(F.col(id_col).alias("doc_id"), parts.alias("parts"))
 
 
@@ -54,90 +78,25 @@ def _n_tokens() -> Column:
     return F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["terms"]))
 
 
-def _field_columns(fields: Sequence[str] | dict[str, Column]) -> dict[str, Column]:
-    if isinstance(fields, dict):
-        return {name: as_column(col) for name, col in fields.items()}
-    return {name: F.col(name) for name in fields}
-
-
 def doc_stats(docs: DataFrame, fields, id_col: str = "id") -> DataFrame:
     """Tokens per document over all fields; documents without tokens count too."""
-    return _tokenised(docs, _field_columns(fields), id_col).select(
-        "doc_id", _n_tokens().alias("n_tokens")
-    )
-
+    return _tokenised(docs, _field_columns(fields), id_col).select("doc_id", _n_tokens().alias("n_tokens"))
 
-def _with_next(terms: str) -> Column:
-    """Every term beside the one that follows, so that the array itself need not be copied to each row."""
-    following = F.slice(terms, 2, F.greatest(F.size(terms), F.lit(1)))
-    return F.arrays_zip(F.col(terms).alias("term"), following.alias("next_term"))
 
-
-def build_postings(docs: DataFrame, fields, id_col: str = "id") -> DataFrame:
-    """One row per term occurrence; a map-side explode, no shuffle."""
+def occurrences(docs: DataFrame, fields, id_col: str = "id") -> DataFrame:
+    """(term, doc_id, field, pos), one row per term occurrence; a map-side explode, no shuffle."""
     # The outer form: a plain explode would tokenise once more to filter empty arrays.
     return (
         _tokenised(docs, _field_columns(fields), id_col)
-        .select("doc_id", _n_tokens().alias("doc_len"), F.explode_outer("parts").alias("part"))
-        .select("doc_id", "doc_len", "part.field", "part.terms")
-        .select("doc_id", "doc_len", "field", F.posexplode(_with_next("terms")).alias("pos", "t"))
-        .select("t.term", "t.next_term", "doc_id", "field", "pos", "doc_len")
-    )
-
-
-def build_index(docs: DataFrame, fields, id_col: str = "id") -> TextIndex:
-    """Index `docs` over `fields`: column names, or field name -> text column."""
-    return TextIndex(build_postings(docs, fields, id_col), doc_stats(docs, fields, id_col))
-
-
-def term_bucket(term: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def by_bucket(postings: DataFrame) -> DataFrame:
-    """Postings in the order they are stored in, parted by ranges: tasks follow the data, and a frequent
-    term's rows are several tasks' work."""
-    order = ("bucket", "term", "doc_id", "field", "pos")
-    return postings.repartitionByRange(*order[:4]).sortWithinPartitions(*order)
-
-
-def read_index(spark, path: str) -> TextIndex:
-    """An index that `write_index` stored; the number of buckets comes with it."""
-    postings = spark.read.parquet(f"{path}/postings")
-    buckets = spark.read.parquet(f"{path}/buckets").first()["buckets"]
-    return TextIndex(
-        postings, spark.read.parquet(f"{path}/doc_stats"), buckets, spark.read.parquet(f"{path}/terms")
-    )
-
-
-def write_index(index: TextIndex, path: str, buckets: int | None = None) -> TextIndex:
-    """Store an index, its postings parted by term bucket and sorted by term.
-
-    The rows of a bucket are written by several tasks, so a term with a large share of all
-    postings is not one task's work.
-    """
-    spark = index.postings.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_bucket(index.postings.withColumn("bucket", term_bucket("term", buckets))).write.partitionBy(
-        "bucket"
-    ).parquet(f"{path}/postings")
-    index.doc_stats.write.parquet(f"{path}/doc_stats")
-    schemas = index.postings.schema, index.doc_stats.schema
-    postings = spark.read.schema(schemas[0].add("bucket", "integer")).parquet(f"{path}/postings")
-    postings.select("term").distinct().write.parquet(f"{path}/terms")
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/buckets")
-    return TextIndex(
-        postings,
-        spark.read.schema(schemas[1]).parquet(f"{path}/doc_stats"),
-        buckets,
-        spark.read.schema("term string").parquet(f"{path}/terms"),
+        .select("doc_id", F.explode_outer("parts").alias("part"))
+        .select("doc_id", "part.field", F.posexplode("part.terms").alias("pos", "term"))
     )
 
 
-def term_stats(postings: DataFrame) -> DataFrame:
+def term_stats(places: DataFrame) -> DataFrame:
     """Documents and occurrences per term, counted per (term, doc) first."""
     return (
-        postings.groupBy("term", "doc_id")
+        places.groupBy("term", "doc_id")
         .agg(F.count("*").alias("tf"))
         .groupBy("term")
         .agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_occurrences"))
@@ -153,175 +112,446 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     )
 
 
-# --- units: what a query asks for ---------------------------------------------------------
+# --- building -----------------------------------------------------------------------------
 
 
-def _term_units(queries: DataFrame) -> DataFrame:
-    """(qid, unit, weight): a term named twice counts twice."""
+def build_postings(docs: DataFrame, fields, range_of: Column, id_col: str = "id") -> DataFrame:
+    """Block postings of `docs` dealt to ranges.
+
+    Texts go once to the task of their range, and all the rest happens there: each text is tokenised once,
+    and neither tokens nor blocks are shuffled.
+    """
+    columns = _field_columns(fields)
+    names = [f"_field{n}" for n in range(len(columns))]
+    texts = docs.select(
+        F.col(id_col).alias("doc_id"), range_of.cast("long").alias("range"),
+        *[text.alias(name) for name, text in zip(names, columns.values(), strict=True)],
+    ).repartition("range")
+    parts = [F.struct(F.lit(n).alias("field"), tokens(name).alias("terms")) for n, name in enumerate(names)]
+    whole = F.struct(F.lit(-1).alias("field"), F.array(F.lit(EVERY_DOC)).alias("terms"))
+    place = F.shiftleft(F.col("field").cast("long"), PLACE_BITS) + F.col("pos")
+    entry = ("doc_id", "tf", "len", "places")
     return (
-        queries.select("qid", F.explode(tokens("query")).alias("unit"))
-        .groupBy("qid", "unit")
-        .agg(F.count("*").alias("weight"))
+        texts.select("range", "doc_id", F.array(*parts).alias("parts"))
+        .select("range", "doc_id", _n_tokens().alias("len"), F.explode(F.array_append("parts", whole)).alias("part"))
+        .select("range", "doc_id", "len", "part.field", F.posexplode("part.terms").alias("pos", "term"))
+        .groupBy("range", "term", "doc_id")
+        .agg(
+            F.count("*").cast("int").alias("tf"), F.max("len").alias("len"),
+            F.sort_array(F.collect_list(F.when(F.col("field") >= 0, place))).alias("places"),
+        )
+        .groupBy("range", "term")
+        .agg(
+            F.count("*").cast("int").alias("n"),
+            F.sum(F.when(F.col("term") == EVERY_DOC, F.col("len")).otherwise(F.col("tf"))).alias("n_occurrences"),
+            F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
+            F.sort_array(F.collect_list(F.struct(*entry))).alias("e"),
+        )
+        .select(
+            "term", "range", "n", "n_occurrences", "max_tf", "min_len", F.col("e.doc_id").alias("docs"),
+            F.col("e.tf").alias("tfs"), F.col("e.len").alias("lens"), F.col("e.places").alias("places"),
+        )
     )
 
 
-def _phrase_units(queries: DataFrame) -> DataFrame:
-    """The whole query is one unit, named by its qid."""
+def dictionary(postings: DataFrame) -> DataFrame:
+    """(term, bin, n_docs, n_occurrences): every term once; a prefix is an interval of terms in few bins."""
     return (
-        queries.select("qid", F.col("qid").alias("unit"), tokens("query").alias("words"))
-        .filter(F.size("words") > 0)
-        .withColumn("weight", F.lit(1).cast("long"))
+        postings.groupBy("term")
+        .agg(F.sum("n").alias("n_docs"), F.sum("n_occurrences").alias("n_occurrences"))
+        .select("term", bin_of("term").alias("bin"), "n_docs", "n_occurrences")
     )
 
 
-def _with_need(units: DataFrame) -> DataFrame:
-    """Add the number of units every query needs."""
-    return units.withColumn("need", F.count("*").over(Window.partitionBy("qid")))
+def bin_of(term: Column | str) -> Column:
+    """The bin of a term in the dictionary: its first characters."""
+    return F.substring(term, 1, BIN)
+
+
+def build_index(docs: DataFrame, fields, id_col: str = "id", range_docs: int = RANGE_DOCS) -> TextIndex:
+    """Index `docs` over `fields`: column names, or field name -> text column."""
+    ranges = max(1, math.ceil(docs.count() / range_docs))
+    postings = build_postings(docs, fields, F.pmod(F.xxhash64(id_col), F.lit(ranges)), id_col)
+    return TextIndex(postings, tuple(_field_columns(fields)), dictionary(postings))
+
+
+def term_bucket(term: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-# --- hits: which documents hold a unit, and how often -------------------------------------
+def by_bucket(postings: DataFrame, buckets: int) -> DataFrame:
+    """Postings as they are stored: a bucket's ranges are dealt to several tasks where there are many, so a
+    frequent term is not one task's work, and sorted by term in each."""
+    partitions = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("range"), F.lit(max(1, partitions // buckets)))
+    return postings.repartition("bucket", share).sortWithinPartitions("bucket", "term", "range")
 
 
-def _per_doc(occurrences: DataFrame) -> DataFrame:
-    """(unit, doc_id, tf, doc_len), partly counted before the shuffle."""
-    return occurrences.groupBy("unit", "doc_id").agg(
-        F.count("*").alias("tf"), F.max("doc_len").alias("doc_len")
+def write_index(index: TextIndex, path: str, buckets: int | None = None) -> TextIndex:
+    """Store an index, its postings parted by term bucket and sorted by term."""
+    spark = index.postings.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = by_bucket(index.postings.withColumn("bucket", term_bucket("term", buckets)), buckets)
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    dictionary(postings).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    about = spark.range(1).select(F.lit(buckets).alias("buckets"), F.array(*map(F.lit, index.fields)).alias("fields"))
+    about.write.parquet(f"{path}/about")
+    return TextIndex(postings, index.fields, spark.read.parquet(f"{path}/terms"), buckets)
+
+
+def read_index(spark, path: str) -> TextIndex:
+    """An index that `write_index` stored; the number of buckets and the fields come with it."""
+    about = spark.read.parquet(f"{path}/about").first()
+    postings = spark.read.parquet(f"{path}/postings")
+    return TextIndex(postings, tuple(about["fields"]), spark.read.parquet(f"{path}/terms"), about["buckets"])
+
+
+# --- what a query asks for ----------------------------------------------------------------
+
+
+def _term_units(queries: DataFrame) -> DataFrame:
+    """(qid, term, weight, need): a term named twice counts twice; `need` is the number of terms of the query."""
+    units = (
+        queries.select("qid", F.explode(tokens("query")).alias("term"))
+        .groupBy("qid", "term")
+        .agg(F.count("*").alias("weight"))
     )
+    return units.withColumn("need", F.count("*").over(Window.partitionBy("qid")))
+
+
+def _words(queries: DataFrame) -> DataFrame:
+    """(qid, term, offset, need): the words of a phrase in their order."""
+    words = queries.select("qid", tokens("query").alias("words"))
+    return words.select("qid", F.size("words").alias("need"), F.posexplode("words").alias("offset", "term"))
+
+
+def _located(terms: DataFrame, buckets: int | None) -> DataFrame:
+    """With the bucket of each term; of a stored index only those buckets are read, chosen at run time."""
+    return terms if buckets is None else terms.withColumn("bucket", term_bucket("term", buckets))
+
 
+def _on(buckets: int | None) -> list[str]:
+    return ["term"] if buckets is None else ["bucket", "term"]
 
-def _of_terms(postings: DataFrame, terms: DataFrame, buckets: int | None) -> DataFrame:
-    """Occurrences of some terms; of a stored index only the buckets they fall in are read."""
-    # Being a comparison, the filter lets Spark prune the buckets by the terms at run time.
-    wanted = terms.filter(F.col("term") != "").distinct()
-    on = ["term"]
-    if buckets is not None:
-        wanted = wanted.withColumn("bucket", term_bucket("term", buckets))
-        on = ["bucket", "term"]
-    return spread_join(postings, wanted, on, ["doc_id"], "left_semi")
 
+# --- ranking ------------------------------------------------------------------------------
 
-def _term_hits(postings: DataFrame, units: DataFrame, buckets: int | None) -> DataFrame:
-    terms = units.select(F.col("unit").alias("term"))
-    return _per_doc(_of_terms(postings, terms, buckets).withColumnRenamed("term", "unit"))
 
+def _idf(n_docs: Column, n: Column) -> Column:
+    idf = F.log((n_docs - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0, F.lit(LOWEST_IDF)).otherwise(idf)
 
-def _prefix_hits(postings: DataFrame, units: DataFrame, buckets: int | None, terms: DataFrame | None) -> DataFrame:
-    """Prefixes meet the distinct terms, cut to the lengths some query uses; the terms found are looked up."""
-    wanted = units.select(F.col("unit").alias("prefix")).filter("prefix != ''").distinct()
-    lengths = wanted.agg(F.collect_set(F.length("prefix"))).scalar()
-    terms = postings.select("term").distinct() if terms is None else terms
-    cut = terms.filter("term != ''").withColumn(
-        "n", F.explode(F.array_intersect(lengths, F.sequence(F.lit(1), F.length("term"))))
-    ).withColumn("prefix", F.expr("substring(term, 1, n)"))
-    found = materialise(cut.select("term", "prefix").join(wanted, "prefix", "left_semi"), "prefix-terms")
-    places = _of_terms(postings, found.select("term"), buckets)
-    return _per_doc(spread_join(places, found, ["term"], ["doc_id"]).withColumnRenamed("prefix", "unit"))
 
+def _bm25(idf: Column, tf: Column, doc_len: Column, mean_len: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean_len))
 
-def _shared(hits: DataFrame) -> DataFrame:
-    """All hits; naming every column keeps the shuffle behind them the same for each use."""
-    return hits.filter((F.col("tf") > 0) & (F.col("doc_len") > 0))
 
+def _points(score: Column) -> Column:
+    return F.floor(score * F.lit(float(POINTS)) + 0.5)
 
-def _with_counts(units: DataFrame, hits: DataFrame) -> DataFrame:
-    """Add to every unit the number of documents that hold it; units without any drop out."""
-    return units.join(_shared(hits).groupBy("unit").agg(F.count("*").alias("n")), "unit")
 
+@dataclass(frozen=True)
+class _Totals:
+    n_docs: Column
+    mean_len: Column
 
-def _hits_in_full_docs(hits: DataFrame, asked: DataFrame) -> DataFrame:
-    """Hits of the queries (qid, unit, n, need, ...) in documents that hold all their units.
 
-    Candidates come from the rarest unit of a query, so the work follows that one and not the
-    frequent ones.
-    """
-    complete = asked.withColumn("found", F.count("*").over(Window.partitionBy("qid"))).filter(
-        F.col("found") == F.col("need")
+def _totals(terms: DataFrame) -> _Totals:
+    """Number and mean length of all documents, from the empty term's entry."""
+    every = terms.filter(F.col("term") == EVERY_DOC)
+    return _Totals(
+        every.agg(F.sum("n_docs").cast("double")).scalar(),
+        every.agg(F.sum("n_occurrences") / F.sum("n_docs")).scalar(),
     )
-    rarest = complete.groupBy("qid").agg(F.min_by("unit", F.struct("n", "unit")).alias("unit"))
-    candidates = spread_join(_shared(hits), rarest, ["unit"], ["doc_id"]).select("qid", "doc_id")
-    return spread_join(candidates, complete, ["qid"], ["doc_id"]).join(
-        hits, ["unit", "doc_id"]
+
+
+# --- blocks -------------------------------------------------------------------------------
+
+
+def _held(places: Column, numbers: Sequence[int] | None, at_start: bool) -> Column:
+    """The places that lie in the fields of these numbers, and at a field's start if asked for."""
+
+    def keep(place: Column) -> Column:
+        found = F.lit(True)
+        if numbers is not None:
+            found &= F.shiftright(place, PLACE_BITS).isin(*numbers) if numbers else F.lit(False)
+        if at_start:
+            found &= place.bitwiseAND((1 << PLACE_BITS) - 1) == 0
+        return found
+
+    return F.filter(places, keep)
+
+
+def _view(index: TextIndex, wanted: DataFrame, fields: Sequence[str] | None, at_start: bool) -> DataFrame:
+    """The wanted terms' blocks, with only the hits that a search counts; blocks without any drop out."""
+    if fields is None and not at_start:
+        return index.postings
+    numbers = None if fields is None else [n for n, name in enumerate(index.fields) if name in fields]
+    terms = _located(wanted.select("term").distinct(), index.buckets)
+    blocks = spread_join(index.postings, terms, _on(index.buckets), ["range"], "left_semi")
+    held = F.transform("places", lambda p: _held(p, numbers, at_start))
+    entries = F.filter(F.arrays_zip("docs", "lens", held.alias("places")), lambda e: F.size(e["places"]) > 0)
+    named = blocks.withColumn("e", entries).filter(F.size("e") > 0)
+    tfs = F.transform("e.places", lambda p: F.size(p))
+    return named.select(
+        *_on(index.buckets), "range", F.size("e").alias("n"), F.array_max(tfs).alias("max_tf"),
+        F.array_min("e.lens").alias("min_len"), F.col("e.docs").alias("docs"), tfs.alias("tfs"),
+        F.col("e.lens").alias("lens"), F.col("e.places").alias("places"),
     )
 
 
-def _in_full_docs(postings: DataFrame, words: DataFrame, buckets: int | None) -> DataFrame:
-    """Occurrences of the words (qid, unit), only in documents that hold all of a query's words."""
-    asked = words.select("qid", "unit").distinct()
-    asked = asked.withColumn("need", F.count("*").over(Window.partitionBy("qid")))
-    hits = _term_hits(postings, asked, buckets)
-    full = (
-        _hits_in_full_docs(hits, _with_counts(asked, hits))
-        .groupBy("qid", "doc_id")
-        .agg(F.count("*").alias("n"), F.max("need").alias("need"))
-        .filter(F.col("n") == F.col("need"))
-        .select("qid", "doc_id")
+def _ranges(view: DataFrame, asked: DataFrame, on: list[str], totals: _Totals, complete: bool) -> DataFrame:
+    """(qid, range, bound): the most that any document of a range can score; reads no arrays.
+
+    With `complete` only ranges that have blocks of all terms of the query.
+    """
+    heads = view.select(*on, "range", "max_tf", "min_len")
+    most = _bm25(F.col("idf"), F.col("max_tf"), F.col("min_len"), totals.mean_len)
+    found = spread_join(heads, asked, on, ["range"]).groupBy("qid", "range").agg(
+        F.sum(most).alias("bound"), F.count("*").alias("n"), F.max("need").alias("need")
     )
-    terms = asked.select(F.col("unit").alias("term"))
-    return _of_terms(postings, terms, buckets).join(full, "doc_id")
-
-
-def _phrase_hits(postings: DataFrame, units: DataFrame, buckets: int | None) -> DataFrame:
-    """Occurrences of a phrase: places where all its pairs of terms agree on where it starts."""
-    words = units.select(
-        F.col("unit"), F.size("words").alias("n_words"), F.posexplode("words").alias("offset", "term"),
-        "words",
-    ).withColumn("next_term", F.get("words", F.col("offset") + 1)).drop("words")
-    if buckets is not None:
-        words = words.withColumn("bucket", term_bucket("term", buckets))
-    on = ["term"] if buckets is None else ["bucket", "term"]
-    pairs = words.filter(F.col("offset") < F.col("n_words") - 1)
-    starts = (
-        spread_join(postings, pairs, [*on, "next_term"], ["doc_id"])
-        .groupBy("unit", "doc_id", "field", (F.col("pos") - F.col("offset")).alias("start"))
-        .agg(
-            F.count("*").alias("n_found"),
-            F.max("n_words").alias("n_words"),
-            F.max("doc_len").alias("doc_len"),
-        )
-        .filter(F.col("n_found") == F.col("n_words") - 1)
+    return (found.filter(F.col("n") == F.col("need")) if complete else found).select("qid", "range", "bound")
+
+
+def _open(view: DataFrame, asked: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
+    """The blocks of the asked terms in the chosen (qid, range)."""
+    # Written, so that its size is known: a small one goes to the blocks, which are then not shuffled.
+    sought = materialise(spread_join(chosen.select("qid", "range"), asked, ["qid"], ["range"]), "sought")
+    return view.join(sought, [*on, "range"])
+
+
+def _any_scores(opened: DataFrame, totals: _Totals) -> DataFrame:
+    """(qid, doc_id, points) of all documents in opened blocks."""
+    hits = opened.select("qid", "idf", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("d"))
+    score = _bm25(F.col("idf"), F.col("d.tfs"), F.col("d.lens"), totals.mean_len)
+    return hits.groupBy("qid", F.col("d.docs").alias("doc_id")).agg(F.sum(_points(score)).alias("points"))
+
+
+def _side_by_side(opened: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(qid, doc_id, h): documents that hold all terms, with what each block says of them (columns in the singular).
+
+    Blocks of one query and range, bounded by the range, are compared by their document lists.
+    """
+    blocks = opened.groupBy("qid", "range").agg(F.collect_list(F.struct(*columns)).alias("b"), F.max("need").alias("need"))
+    both = F.aggregate(
+        F.slice("b", F.lit(2), F.size("b")), F.get("b", F.lit(0))["docs"], lambda docs, x: F.array_intersect(docs, x["docs"])
     )
-    single = words.filter(F.col("n_words") == 1).drop("next_term")
-    return _per_doc(
-        starts.select("unit", "doc_id", "doc_len").unionByName(
-            spread_join(postings, single, on, ["doc_id"]).select("unit", "doc_id", "doc_len")
-        )
+    shared = blocks.filter(F.size("b") == F.col("need")).withColumn("shared", both).filter(F.size("shared") > 0)
+    rows = shared.select("qid", "b", F.explode("shared").alias("doc_id"))
+    lists = {"tfs": "tf", "lens": "len", "places": "places"}
+
+    def own(x: Column) -> Column:
+        at = (F.array_position(x["docs"], F.col("doc_id")) - 1).cast("int")
+        return F.struct(*[
+            F.get(x[c], at).alias(lists[c]) if c in lists else x[c].alias(c) for c in columns if c != "docs"
+        ])
+
+    return with_once(rows, "h", F.transform("b", own)).select("qid", "doc_id", "h")
+
+
+def _scored(held: DataFrame, totals: _Totals) -> DataFrame:
+    """(qid, doc_id, points): the sum over the hits `h` of a document."""
+    # A column, as the functions of an array's elements take no subquery.
+    mean = F.col("mean_len")
+    points = F.aggregate(
+        "h", F.lit(0).cast("long"), lambda total, h: total + _points(_bm25(h["idf"], h["tf"], h["len"], mean))
     )
+    return held.withColumn("mean_len", totals.mean_len).select("qid", "doc_id", points.alias("points"))
 
 
-def _close_hits(
-    postings: DataFrame, units: DataFrame, buckets: int | None, distance: int
-) -> DataFrame:
-    """Hits that stand in a close group: all terms of the query, at most `distance` tokens between.
+def _all_scores(opened: DataFrame, totals: _Totals) -> DataFrame:
+    """(qid, doc_id, points) of the documents that hold all terms."""
+    return _scored(_side_by_side(opened, ("idf", "docs", "tfs", "lens")), totals)
 
-    Works on the positions of one field of one document at a time.  A group is a stretch of
-    distance + 2 tokens that starts at a hit and holds every term.
+
+def close_stretches(events: Column, need: Column, span: int) -> Column:
+    """Stretches (lo, hi) of places in close groups, from events (place, unit) in order of place.
+
+    One pass keeps the last place of every unit.  When all lie within `span`, from s to p, every hit from p - span to
+    s + span is in a group; such stretches come in order, and those that overlap become one.
     """
-    words = units.select("qid", F.col("unit").alias("term"), "need")
-    place = Window.partitionBy("qid", "doc_id", "field").orderBy("pos")
-    span = distance + 1
-    return (
-        spread_join(_in_full_docs(postings, units, buckets), words, ["qid", "term"], ["doc_id"])
-        .withColumn(
-            "starts_group",
-            F.size(F.collect_set("term").over(place.rangeBetween(0, span))) == F.col("need"),
+    state = F.struct(
+        F.array_repeat(F.lit(None).cast("long"), need).alias("last"),
+        F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("found"),
+    )
+
+    def seen(acc: Column, event: Column) -> Column:
+        last = F.transform(acc["last"], lambda p, i: F.when(i == event["unit"], event["place"]).otherwise(p))
+        first = F.array_min(last)
+        close = ~F.exists(last, lambda p: p.isNull()) & (event["place"] - first <= span)
+        new = F.struct((event["place"] - span).alias("lo"), (first + span).alias("hi"))
+        before = F.get(acc["found"], F.size(acc["found"]) - 1)
+        joins = before.isNotNull() & (before["hi"] >= new["lo"])
+        merged = F.array_append(
+            F.slice(acc["found"], F.lit(1), F.greatest(F.size(acc["found"]) - 1, F.lit(0))),
+            F.struct(before["lo"].alias("lo"), new["hi"].alias("hi")),
         )
-        .withColumn("in_group", F.max("starts_group").over(place.rangeBetween(-span, 0)))
-        .filter("in_group")
-        .groupBy("qid", F.col("term").alias("unit"), "doc_id")
-        .agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+        found = F.when(~close, acc["found"]).when(joins, merged).otherwise(F.array_append(acc["found"], new))
+        return F.struct(last.alias("last"), found.alias("found"))
+
+    return F.aggregate(events, state, seen)["found"]
+
+
+def _near_scores(distance: int) -> Callable[[DataFrame, _Totals], DataFrame]:
+    """Scores of documents where all terms stand with at most `distance` tokens between; only hits in such groups count."""
+
+    def scores(opened: DataFrame, totals: _Totals) -> DataFrame:
+        held = _side_by_side(opened, ("idf", "docs", "lens", "places"))
+        # Every group has a hit of the document's rarest term, and lies within the span of it.
+        fewest = F.array_min(F.transform("h", lambda x: F.size(x["places"])))
+        held = with_once(held, "fewest", F.filter("h", lambda x: F.size(x["places"]) == fewest)[0]["places"])
+        span = distance + 1
+
+        def around(x: Column) -> Column:
+            return F.filter(x["places"], lambda p: F.exists("fewest", lambda r: F.abs(p - r) <= span))
+
+        near = F.transform("h", lambda x: F.struct(x["idf"].alias("idf"), x["len"].alias("len"), around(x).alias("places")))
+        held = with_once(held.select("qid", "doc_id", "h", "fewest"), "near", near).select("qid", "doc_id", F.col("near").alias("h"))
+        held = held.filter(~F.exists("h", lambda x: F.size(x["places"]) == 0))
+        events = F.sort_array(F.flatten(F.transform(
+            "h", lambda x, u: F.transform(x["places"], lambda p: F.struct(p.alias("place"), u.alias("unit")))
+        )))
+        rows = with_once(held, "stretches", close_stretches(events, F.size("h"), span))
+        rows = rows.filter(F.size("stretches") > 0)
+
+        def counted(x: Column) -> Column:
+            inside = F.filter(x["places"], lambda p: F.exists("stretches", lambda s: (p >= s["lo"]) & (p <= s["hi"])))
+            return F.struct(x["idf"].alias("idf"), F.size(inside).alias("tf"), x["len"].alias("len"))
+
+        return _scored(rows.select("qid", "doc_id", F.transform("h", counted).alias("h")), totals)
+
+    return scores
+
+
+# --- searching ----------------------------------------------------------------------------
+
+
+def _best(scored: DataFrame, queries: DataFrame, k: int, limit_col: str | None) -> DataFrame:
+    """(qid, doc_id, points, rank) of the best documents of every query."""
+    if limit_col is not None:
+        scored = scored.join(queries.select("qid", limit_col), "qid")
+    order = [F.col("points").desc(), F.col("doc_id")]
+    best = top_k(scored, ["qid"], order, k, ["doc_id"], limit_col=limit_col)
+    return best.select("qid", "doc_id", "points", "rank")
+
+
+def open_ranges(ranges: DataFrame, first: DataFrame, best: DataFrame, queries: DataFrame, k: int, limit_col: str | None) -> DataFrame:
+    """Ranges (qid, range) that may hold a document better than the `k` best of the first ranges."""
+    limit = F.lit(k) if limit_col is None else F.col(limit_col)
+    limits = queries.select("qid", limit.alias("k"))
+    floor = best.join(limits, "qid").filter(F.col("rank") == F.col("k")).select("qid", F.col("points").alias("floor"))
+    rest = ranges.join(first.select("qid", "range"), ["qid", "range"], "left_anti").join(floor, "qid", "left")
+    # Bounds are sums of doubles, scores of rounded points; the margin is above both errors.
+    reached = F.col("bound") >= F.col("floor") / float(POINTS) - 1e-9
+    return rest.filter(F.col("floor").isNull() | reached).select("qid", "range")
+
+
+def _block_search(
+    index: TextIndex, queries: DataFrame, asked: DataFrame, view: DataFrame, totals: _Totals, complete: bool,
+    scores: Callable[[DataFrame, _Totals], DataFrame], k: int, limit_col: str | None, barred: DataFrame | None,
+    prune_above: int,
+) -> DataFrame:
+    """The best documents.  Of many, first those of the best ranges, then of all others that these do not rule out."""
+    on = _on(index.buckets)
+
+    def allowed(scored: DataFrame) -> DataFrame:
+        return scored if barred is None else scored.join(barred, ["qid", "doc_id"], "left_anti")
+
+    if not complete and (asked.agg(F.sum("n")).first()[0] or 0) <= prune_above:
+        return _best(allowed(scores(spread_join(view, asked, on, ["range"]), totals)), queries, k, limit_col)
+    ranges = materialise(_ranges(view, asked, on, totals, complete), "ranges")
+    if complete and ranges.count() * RANGE_DOCS <= prune_above:
+        return _best(allowed(scores(_open(view, asked, ranges, on), totals)), queries, k, limit_col)
+
+    order = [F.col("bound").desc(), F.col("range")]
+    first = materialise(top_k(ranges, ["qid"], order, FIRST_RANGES, ["range"]).select("qid", "range"), "first-ranges")
+    best = allowed(scores(_open(view, asked, first, on), totals))
+    best = materialise(_best(best, queries, k, limit_col), "first-best")
+    rest = materialise(open_ranges(ranges, first, best, queries, k, limit_col), "open-ranges")
+    if rest.isEmpty():
+        return best
+    others = allowed(scores(_open(view, asked, rest, on), totals))
+    return _best(best.select("qid", "doc_id", "points").union(others), queries, k, limit_col)
+
+
+def _phrase_scores(index: TextIndex, words: DataFrame, view: DataFrame, totals: _Totals, at_start: bool) -> DataFrame:
+    """(qid, doc_id, points) of documents with the whole phrase, which is the unit that is scored."""
+    on = _on(index.buckets)
+    heads = view.select(*on, "range")
+    ranges = spread_join(heads, words, on, ["range"]).groupBy("qid", "range").agg(
+        F.count("*").alias("n"), F.max("need").alias("need")
     )
+    chosen = materialise(ranges.filter("n = need"), "ranges")
+    held = _side_by_side(_open(view, words, chosen, on), ("offset", "docs", "lens", "places"))
+    starts = F.aggregate(
+        F.slice("h", F.lit(2), F.size("h")), _starts(F.get("h", F.lit(0))), lambda s, x: F.array_intersect(s, _starts(x))
+    )
+    if at_start:
+        starts = _held(starts, None, True)
+    hits = held.select("qid", "doc_id", F.size(starts).alias("tf"), F.get("h", F.lit(0))["len"].alias("len"))
+    hits = materialise(hits.filter("tf > 0"), "phrase-hits")
+    n = hits.groupBy("qid").agg(F.count("*").alias("n")).withColumn("idf", _idf(totals.n_docs, F.col("n")))
+    scored = spread_join(hits, n, ["qid"], ["doc_id"])
+    score = _bm25(F.col("idf"), F.col("tf"), F.col("len"), totals.mean_len)
+    return scored.select("qid", "doc_id", _points(score).alias("points"))
 
 
-# --- ranking ------------------------------------------------------------------------------
+def _starts(word: Column) -> Column:
+    """Where a phrase would start for each place of one of its words."""
+    return F.transform(word["places"], lambda p: p - word["offset"])
 
 
-def _idf(n_docs: Column, n: Column) -> Column:
-    idf = F.log((n_docs - n + 0.5) / (n + 0.5))
-    return F.when(idf <= 0, F.lit(LOWEST_IDF)).otherwise(idf)
+def prefix_terms(index: TextIndex, prefixes: DataFrame) -> DataFrame:
+    """(prefix, term) of all terms that begin with one of the prefixes, from the dictionary alone.
+
+    A prefix is the interval of terms from itself to itself with the highest character behind it.  Terms are binned by
+    their first characters: a long prefix has one bin, a short one those bins that begin with it.
+    """
+    wanted = prefixes.select("prefix").filter("prefix != ''").distinct()
+    terms = index.terms.filter(F.col("term") != EVERY_DOC)
+    short = [F.substring("bin", 1, n) for n in range(1, BIN)]
+    bins = terms.select("bin").distinct().select("bin", F.explode(F.array_distinct(F.array(*short))).alias("prefix"))
+    binned = (
+        wanted.filter(F.length("prefix") >= BIN).select("prefix", bin_of("prefix").alias("bin"))
+        .unionByName(bins.join(wanted, "prefix").select("prefix", "bin"))
+    )
+    inside = (F.col("term") >= F.col("prefix")) & (F.col("term") < F.concat("prefix", F.lit(chr(0x10FFFF))))
+    return spread_join(terms.select("bin", "term"), binned, ["bin"], ["term"]).filter(inside).select("prefix", "term")
+
+
+def _prefix_scores(index: TextIndex, units: DataFrame, view: DataFrame, totals: _Totals) -> DataFrame:
+    """(qid, doc_id, points) of documents that hold a term of every prefix; a prefix is the unit that is scored."""
+    on = _on(index.buckets)
+    found = _located(prefix_terms(index, units.select(F.col("term").alias("prefix"))), index.buckets)
+    # The terms found may be many, so they are not copied; Spark splits the blocks of a hot one (skewed join).
+    hits = (
+        view.select(*on, "range", "docs", "tfs", "lens").join(materialise(found, "prefix-terms"), on)
+        .select("prefix", F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("d"))
+        .groupBy("prefix", F.col("d.docs").alias("doc_id"))
+        .agg(F.sum("d.tfs").alias("tf"), F.max("d.lens").alias("len"))
+    )
+    hits = materialise(hits, "prefix-hits")
+    counts = hits.groupBy("prefix").agg(F.count("*").alias("n"))
+    asked = units.withColumnRenamed("term", "prefix").join(counts, "prefix")
+    asked = asked.withColumn("found", F.count("*").over(Window.partitionBy("qid"))).filter("found = need")
+    asked = materialise(asked.withColumn("idf", F.col("weight") * _idf(totals.n_docs, F.col("n"))), "prefixes")
+    # Candidates come from a query's rarest prefix, so the work follows that one and not the frequent ones.
+    rarest = asked.groupBy("qid").agg(F.min_by("prefix", F.struct("n", "prefix")).alias("prefix"))
+    candidates = spread_join(hits, rarest, ["prefix"], ["doc_id"]).select("qid", "doc_id")
+    score = _points(_bm25(F.col("idf"), F.col("tf"), F.col("len"), totals.mean_len))
+    scored = spread_join(candidates, asked, ["qid"], ["doc_id"]).join(hits, ["prefix", "doc_id"]).groupBy("qid", "doc_id").agg(
+        F.sum(score).alias("points"), F.count("*").alias("n"), F.max("need").alias("need")
+    )
+    return scored.filter("n = need").select("qid", "doc_id", "points")
 
 
-def _bm25(idf: Column, tf: Column, doc_len: Column, mean_len: Column) -> Column:
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean_len))
+def _barred(queries: DataFrame, index: TextIndex) -> DataFrame:
+    """(qid, doc_id) of the documents that hold a term the query excludes."""
+    terms = _located(queries.select("qid", F.explode(tokens("exclude")).alias("term")).distinct(), index.buckets)
+    on = _on(index.buckets)
+    blocks = spread_join(index.postings.select(*on, "range", "docs"), terms, on, ["range"])
+    return blocks.select("qid", F.explode("docs").alias("doc_id"))
 
 
 def search(
@@ -333,6 +563,7 @@ def search(
     near: int | None = None,
     at_start: bool = False,
     limit_col: str | None = None,
+    prune_above: int = PRUNE_ABOVE,
 ) -> DataFrame:
     """Rank documents for a table of queries (qid, query[, exclude]).
 
@@ -341,69 +572,39 @@ def search(
     `fields` keeps hits in those fields only, `at_start` hits on the first token of a field, and
     an `exclude` column names terms a document must not hold.  Query text is tokenised like the
     documents; a query without terms has no hits.  Of queries with the same qid one counts.  Returns qid,
-    doc_id, score, rank; scores equal to 12 digits are ties, which go to the lower id.
+    doc_id, score, rank; scores equal to 12 digits are ties, which go to the lower id.  A search of more than
+    `prune_above` hits rules out ranges by their bounds; the result is the same.
     """
     queries = queries.dropDuplicates(["qid"])
     if mode not in ("all", "any", "phrase", "prefix"):
         raise ValueError(f"unknown mode {mode!r}")
     if near is not None and mode != "all":
         raise ValueError("near needs mode 'all'")
-    postings = index.postings
-    if fields is not None:
-        postings = postings.filter(F.col("field").isin(*fields))
-    places = postings.filter(F.col("pos") == 0) if at_start else postings
-
-    units = _with_need(_phrase_units(queries) if mode == "phrase" else _term_units(queries))
-    if mode == "prefix":
-        hits = _prefix_hits(places, units, index.buckets, index.terms)
+    totals = _totals(index.terms)
+    barred = _barred(queries, index) if "exclude" in queries.columns else None
+    if mode in ("phrase", "prefix"):
+        if mode == "phrase":
+            words = materialise(_located(_words(queries), index.buckets), "words")
+            scored = _phrase_scores(index, words, _view(index, words, fields, False), totals, at_start)
+        else:
+            units = materialise(_term_units(queries), "prefix-units")
+            found = prefix_terms(index, units.select(F.col("term").alias("prefix")))
+            scored = _prefix_scores(index, units, _view(index, found, fields, at_start), totals)
+        if barred is not None:
+            scored = scored.join(barred, ["qid", "doc_id"], "left_anti")
+        best = _best(scored, queries, k, limit_col)
     else:
-        hits = (_phrase_hits if mode == "phrase" else _term_hits)(places, units, index.buckets)
-    totals = index.doc_stats
-    n_docs = totals.agg(F.count("*").cast("double")).scalar()
-    mean_len = totals.agg(F.avg("n_tokens")).scalar()
-    asked = _with_counts(units.select("qid", "unit", "weight", "need"), hits).withColumn(
-        "idf", F.col("weight") * _idf(n_docs, F.col("n"))
-    )
-    if near is not None:
-        close = _close_hits(places, units, index.buckets, near)
-        found = spread_join(close, asked, ["qid", "unit"], ["doc_id"])
-    elif mode in ("any", "phrase"):
-        found = spread_join(hits, asked, ["unit"], ["doc_id"])
-    else:
-        found = _hits_in_full_docs(hits, asked)
-
-    scored = found.groupBy("qid", "doc_id").agg(
-        F.round(
-            F.sum(_bm25(F.col("idf"), F.col("tf"), F.col("doc_len"), mean_len)), RANK_DIGITS
-        ).alias("score"),
-        F.count("*").alias("n_units"),
-        F.max("need").alias("need"),
-    )
-    if mode != "any":
-        scored = scored.filter(F.col("n_units") == F.col("need"))
-    scored = scored.select("qid", "doc_id", "score")
-    if "exclude" in queries.columns:
-        scored = scored.join(
-            _excluded(queries, index), ["qid", "doc_id"], "left_anti"
-        )
-    if limit_col is not None:
-        scored = scored.join(queries.select("qid", limit_col), "qid")
-    best = top_k(
-        scored,
-        ["qid"],
-        [F.col("score").desc(), F.col("doc_id")],
-        k,
-        ["doc_id"],
-        limit_col=limit_col,
-    )
-    return best.select("qid", "doc_id", F.round("score", SCORE_DIGITS).alias("score"), "rank")
-
-
-def _excluded(queries: DataFrame, index: TextIndex) -> DataFrame:
-    terms = queries.select("qid", F.explode(tokens("exclude")).alias("term")).distinct()
-    holders = _of_terms(index.postings, terms.select("term"), index.buckets)
-    pairs = holders.select("term", "doc_id").distinct()
-    return spread_join(pairs, terms, ["term"], ["doc_id"]).select("qid", "doc_id")
+        units = _located(_term_units(queries), index.buckets)
+        view = _view(index, units, fields, at_start)
+        plain = fields is None and not at_start
+        counts = index.terms.select("term", F.col("n_docs").alias("n")) if plain else view.groupBy("term").agg(F.sum("n").alias("n"))
+        asked = units.join(counts, "term").withColumn("idf", F.col("weight") * _idf(totals.n_docs, F.col("n")))
+        asked = materialise(asked, "asked")
+        complete = mode == "all"
+        scores = _any_scores if not complete else _all_scores if near is None else _near_scores(near)
+        best = _block_search(index, queries, asked, view, totals, complete, scores, k, limit_col, barred, prune_above)
+    shown = F.floor((F.col("points") + SHOWN // 2) / SHOWN) / float(POINTS // SHOWN)
+    return best.select("qid", "doc_id", shown.alias("score"), "rank")
 
 
 def search_entities(hits: DataFrame, entities: DataFrame, id_col: str = "id") -> DataFrame:

@@ -46,12 +46,12 @@ def _ranked(every_unit: bool, scored: str = "", where: str = "true", k: str = "1
     source = scored or "hits JOIN asked USING (unit)"
     return f"""need AS (SELECT qid, count(*) AS need FROM units GROUP BY qid),
 found AS (SELECT qid, doc_id, count(*) AS n_units,
-    round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 12) AS score
+    sum(floor(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) * 1e12 + 0.5)::BIGINT)::BIGINT AS points
   FROM {source} JOIN len USING (doc_id), tot GROUP BY qid, doc_id),
-ranked AS (SELECT qid, doc_id, score,
-    row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+ranked AS (SELECT qid, doc_id, points,
+    row_number() OVER (PARTITION BY qid ORDER BY points DESC, doc_id) AS rank
   FROM found JOIN need USING (qid) WHERE {need} AND {where})
-SELECT qid, doc_id, round(score, 6) AS score, rank FROM ranked JOIN queries USING (qid) WHERE rank <= {k}"""
+SELECT qid, doc_id, ((points + 500000) // 1000000) / 1e6 AS score, rank FROM ranked JOIN queries USING (qid) WHERE rank <= {k}"""
 
 
 def _search(every_unit: bool, fields=None, only: str = "true", queries: str = _BENCH, **more) -> str:
@@ -86,9 +86,9 @@ hits AS (SELECT unit, doc_id, count(*) AS tf FROM pairs JOIN post USING (term) G
 {_IDF}, {_ranked(True)}"""
 
 
-def _near(distance: int) -> str:
+def _near(distance: int, queries: str = _BENCH) -> str:
     span = distance + 1
-    return f"""WITH queries AS ({_BENCH}), {_corpus(_ARTICLE_FIELDS)},
+    return f"""WITH queries AS ({queries}), {_corpus(_ARTICLE_FIELDS)},
 {_TERM_UNITS}, {_TERM_HITS}, {_IDF},
 needs AS (SELECT qid, count(*) AS need1 FROM units GROUP BY qid),
 full_docs AS (SELECT qid, doc_id, max(need1) AS need1 FROM hits JOIN units USING (unit) JOIN needs USING (qid)
@@ -168,6 +168,11 @@ outcomes AS (SELECT path, CASE WHEN stored_id IS NULL AND nth = 1 THEN 'processe
   CASE WHEN stored_id IS NULL AND nth = 1 THEN '' ELSE 'exists' END AS reason,
   CASE WHEN stored_id IS NULL AND nth = 1 THEN NULL ELSE coalesce(stored_id, first_id) END AS existing_id
   FROM asked UNION ALL SELECT * FROM refused)"""
+_INGEST_RUN = f"""WITH {_ROUTED.replace("FROM documents" + chr(10) + "  WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY text", "FROM documents WHERE false GROUP BY text")}
+SELECT o.path, outcome, reason, existing_id, CASE WHEN outcome = 'processed' THEN i.id END AS id,
+  CASE WHEN outcome = 'processed' THEN url END AS url, CASE WHEN outcome = 'processed' THEN topic END AS topic,
+  CASE WHEN outcome = 'processed' THEN (len({_tok('summary')}) + len({_tok('topic')}))::BIGINT END AS n_tokens,
+  CASE WHEN outcome = 'processed' THEN 64 END AS dim FROM outcomes o JOIN inbox i USING (path)"""
 _SOURCES = f"""src AS (SELECT 's-' || min(doc_id) AS id, {_URL} AS url, {_LINE} AS title,
   arg_min(source, doc_id) AS topic, arg_min(lang, doc_id) AS language FROM documents GROUP BY text)"""
 
@@ -191,11 +196,11 @@ cent AS (SELECT label AS qid, label, list(x ORDER BY pos) AS mean FROM means GRO
 _COSINE = "round(list_cosine_similarity(embedding::DOUBLE[], mean::DOUBLE[]), 6)"
 
 
-def _knn(condition: str) -> str:
+def _knn(condition: str, k: str = "10") -> str:
     return f"""WITH {_CENTROIDS},
 scored AS (SELECT qid, vec_id AS id, {_COSINE.replace(", 6)", ", 12)")} AS score FROM embeddings e JOIN cent c ON {condition}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored)
-SELECT qid, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10"""
+SELECT qid, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {k}"""
 
 
 def _hashed(table: str, key: str, dim: int = 64) -> str:
@@ -277,6 +282,12 @@ def oracle_sql() -> dict[str, str]:
         "field_filter": _search(False, only="field = 'title'"),
         "field_start": _search(False, only="pos = 0"),
         "near": _near(40),
+        "near_words": _near(6, f"SELECT item_id AS qid, array_to_string({_tok('text')}[2:3], ' ') AS query FROM benchmark"),
+        "prefix_terms": f"""WITH words AS (SELECT DISTINCT unnest({_tok('text')}) AS w FROM benchmark),
+prefixes AS (SELECT DISTINCT left(w, n) AS prefix FROM words, range(1, 6) r(n) WHERE length(w) >= n),
+terms AS (SELECT DISTINCT unnest({_tok('text')}) AS term FROM documents)
+SELECT prefix, count(*) AS n, min(term) AS "first", max(term) AS "last" FROM prefixes JOIN terms
+  ON starts_with(term, prefix) GROUP BY prefix""",
         "source_text_search": _search(
             True, _SOURCE_FIELDS, queries="SELECT DISTINCT source AS qid, source AS query FROM documents"
         ),
@@ -294,9 +305,11 @@ def oracle_sql() -> dict[str, str]:
         "pair_cosine": f"WITH {_CENTROIDS} SELECT vec_id AS id, {_COSINE} AS score FROM embeddings JOIN cent USING (label)",
         "decode_vectors": _DECODE,
         "embed_docs": f"SELECT doc_id, slot, round(x::DOUBLE, 6) AS x FROM ({_hashed('documents', 'doc_id')}) WHERE x <> 0",
+        "embed_strict": f"SELECT doc_id, 64 AS dim FROM ({text_tokens}) WHERE len(t) > 0",
         "semantic_search": _SEMANTIC,
         "semantic_limits": _SEMANTIC_LIMITS,
         "refused_requests": _REFUSED,
+        "vector_requests": _knn("c.label % 2 = 0 OR e.label = c.label", k="qid + 3"),
         "payloads": f"""WITH {_SOURCES} SELECT id AS uuid, id, url, title, topic, language, '' AS model,
   '2025-01-01T00:00:00Z' AS created_at FROM src""",
         "ulid_to_uuid": _ULID,
@@ -342,6 +355,21 @@ SELECT topic AS qid, id, id AS source_id, n::DOUBLE AS score, url, title, topic,
 rows AS (SELECT doc_id, url FROM first WHERE doc_id % 3 <> 0
   UNION ALL SELECT doc_id, 'https://example.org/new/' || doc_id FROM documents WHERE doc_id % 3 = 0)
 SELECT 's-' || doc_id AS id, url, 1 AS vectors, 1 AS entries FROM rows WHERE doc_id % 5 <> 0""",
+        "index_report": """SELECT name, n, '' AS "value" FROM (VALUES ('skipped', 0), ('errors', 0), ('sources', 0)) v(name, n)
+UNION ALL SELECT unnest(['indexed', 'articles']), count(*), '' FROM documents UNION ALL SELECT 'version', 1, 'second'""",
+        "indexed_articles": f"""WITH {_FM} SELECT full_id AS id, path, full_title AS title, 1 AS vectors,
+  (len({_tok('body')}) + len({_tok('full_title')}) + len({_tok('summary')})
+    + CASE WHEN tags = 'null' THEN 0 ELSE len({_tok('tags')}) END)::BIGINT AS n_tokens FROM art""",
+        "ingest_run": _INGEST_RUN,
+        "json_records": """SELECT CASE WHEN source <> 'src7' THEN 's-' || doc_id END AS id,
+  CASE WHEN source <> 'src7' THEN md5(text) END AS url,
+  CASE WHEN source <> 'src7' THEN CASE WHEN lang <> 'en' THEN source ELSE '' END END AS topic,
+  CASE WHEN source <> 'src7' THEN '' END AS model, CASE WHEN source <> 'src7' THEN md5(text) END AS summary_md5,
+  CASE WHEN source <> 'src7' THEN '["' || lang || '"]' END AS tags,
+  CASE WHEN source = 'src7' THEN '{"id": "s-' || doc_id END AS bad FROM documents""",
+        "json_requests": """SELECT CASE WHEN k <> 1 THEN md5(text) END AS query,
+  CASE WHEN k <> 1 THEN 't' || item_id ELSE '{"query": "' || md5(text) || '", "topic": "t' || item_id || '", "limit": "many"}' END AS topic,
+  CASE WHEN k > 1 THEN item_id END AS "limit", k <> 1 AS valid FROM (SELECT *, item_id % 4 AS k FROM benchmark)""",
         "delete_ids": f"SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN {in_labels}",
         "lookup_id": f"""WITH {_SOURCES} SELECT id, url, topic FROM src
 WHERE id IN (SELECT 's-' || doc_id FROM labels)""",

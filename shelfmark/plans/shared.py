@@ -50,6 +50,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a run of this library wrote for its own use."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread_input(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan with fewer splits than cores, as of one small file, before costly work.
 

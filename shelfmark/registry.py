@@ -6,11 +6,15 @@ vectors and labels for batches of keys.  Every query reads its tables whole.
 
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import oracle
 from .functions import extract
@@ -21,6 +25,7 @@ from .operators.embed import embed
 from .plans import jobs
 from .plans.shared import shared_folder, spread_input
 from .plans.store import Store
+from .sources import scan
 
 DIM = 64
 _SMOKE = "/root/testdata/sf0.001"
@@ -199,7 +204,7 @@ def _index(spark: SparkSession, sf: str, kind: str) -> text_index.TextIndex:
     """The stored index of a corpus, built on first use in a session."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _INDEXES:
-        docs = _documents(spark, sf)
+        docs = _table(spark, sf, "documents")
         if kind == "article":
             built = text_index.build_index(docs, {"title": _first_line(), "content": _rest()}, "doc_id")
         else:
@@ -235,6 +240,21 @@ def _search_limits(spark, sf):
     return text_index.search(queries, _index(spark, sf, "article"), mode="any", limit_col="limit")
 
 
+def _search_near(spark, sf):
+    """Two words of each text, close to each other."""
+    words = F.slice(text_index.tokens("query"), 2, 2)
+    queries = _text_queries(spark, sf).withColumn("query", F.array_join(words, " "))
+    return text_index.search(queries, _index(spark, sf, "article"), near=6)
+
+
+def _prefix_terms(spark, sf):
+    """Terms of the dictionary by the beginnings of words, of one to five characters."""
+    words = _text_queries(spark, sf).select(F.explode(text_index.tokens("query")).alias("w"))
+    prefixes = words.select(F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"), "w").filter("length(w) >= n")
+    found = text_index.prefix_terms(_index(spark, sf, "article"), prefixes.select(F.expr("substring(w, 1, n)").alias("prefix")))
+    return found.groupBy("prefix").agg(F.count("*").alias("n"), F.min("term").alias("first"), F.max("term").alias("last"))
+
+
 def _search_sources(spark, sf):
     names = _table(spark, sf, "documents").select("source").distinct()
     queries = names.select(F.col("source").alias("qid"), F.col("source").alias("query"))
@@ -252,8 +272,7 @@ def _search_entities(spark, sf):
 
 
 def _term_stats(spark, sf):
-    index = text_index.build_index(_documents(spark, sf), {"text": F.col("text")}, "doc_id")
-    return text_index.term_stats(index.postings)
+    return text_index.term_stats(text_index.occurrences(_documents(spark, sf), {"text": F.col("text")}, "doc_id"))
 
 
 def _doc_stats(spark, sf):
@@ -334,6 +353,12 @@ def _embed_docs(spark, sf):
     return cells.filter("x != 0").select("doc_id", "slot", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def _embed_strict(spark, sf):
+    """All texts with a term embedded as one batch, of which none may fail."""
+    docs = _documents(spark, sf).select("doc_id", "text").filter(F.size(text_index.tokens("text")) > 0)
+    return embed(docs, "text", dim=DIM, on_error="fail").select("doc_id", F.size("embedding").alias("dim"))
+
+
 def _semantic(spark, sf):
     asked = _table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"), F.col("text").alias("query"), F.lit("").alias("embedding"),
@@ -364,6 +389,24 @@ def _semantic_limits(spark, sf):
     return requests.semantic_search(_mixed_requests(spark, sf), stored, dim=DIM)
 
 
+@F.pandas_udf(StringType())
+def _encoded(vectors: pd.Series) -> pd.Series:
+    """Vectors as clients send them: base64 of little-endian 32-bit floats."""
+    return vectors.map(lambda v: base64.b64encode(np.asarray(v, dtype="<f4").tobytes()).decode())
+
+
+def _vector_requests(spark, sf):
+    """Searches by an encoded vector, some within a topic, each with its own limit."""
+    vectors = _vectors(spark, sf)
+    asked = _centroids(vectors).select(
+        "qid", F.lit("not asked").alias("query"), _encoded("embedding").alias("embedding"),
+        F.when(F.col("label") % 2 == 1, F.col("label").cast("string")).otherwise("").alias("topic"),
+        (F.col("label") + 3).cast("int").alias("limit"),
+    )
+    stored = vectors.select("id", "embedding", F.col("label").cast("string").alias("topic"))
+    return requests.semantic_search(asked, stored, dim=DIM)
+
+
 def _refused(spark, sf):
     return requests.refused_requests(_mixed_requests(spark, sf), DIM)
 
@@ -458,7 +501,7 @@ def _source_results(spark, sf):
 
 def _store_cycle(spark, sf):
     """Records stored, some stored again under another url, some deleted; rows with vector and index entry."""
-    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=4)
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", parts=4, buckets=4)
     docs = _documents(spark, sf).select(
         "doc_id", F.concat(F.lit("s-"), "doc_id").alias("id"), F.concat(F.lit(_URL), F.md5("text")).alias("url"),
         _first_line().alias("title"), F.col("source").alias("topic"), F.col("text").alias("summary"),
@@ -471,10 +514,89 @@ def _store_cycle(spark, sf):
     jobs.store_records(store, moved, "doc_id", dim=DIM, now=now)
     jobs.delete_sources(store, docs.filter("doc_id % 5 = 0").select("id"))
     points = store.read("source_vectors").groupBy(F.col("payload.id").alias("id")).agg(F.count("*").alias("vectors"))
-    entries = store.read("source_doc_stats").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("entries"))
+    entries = store.index("source").doc_stats.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("entries"))
     return store.read("sources").select("id", "url").join(points, "id", "full").join(entries, "id", "full")
 
 
+def _new_store(spark, name: str) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", parts=4, buckets=2)
+
+
+def _index_run(spark, sf) -> tuple[DataFrame, Store]:
+    """All articles indexed with vectors, after the labelled ones."""
+    store, docs = _new_store(spark, "articles"), _markdown(_documents(spark, sf))
+    labelled = docs.join(_table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    jobs.index_articles(store, labelled, version="first")
+    return jobs.index_articles(store, docs, embeddings=True, version="second", dim=DIM), store
+
+
+def _index_report(spark, sf):
+    report, store = _index_run(spark, sf)
+    version = records.get_info(store.read("info"), spark.range(1).select(F.lit("version").alias("key")))
+    return report.select("name", "n", F.lit("").alias("value")).union(
+        version.select(F.col("key").alias("name"), F.lit(1).cast("long"), "value")
+    )
+
+
+def _indexed_articles(spark, sf):
+    store = _index_run(spark, sf)[1]
+    points = store.read("article_vectors").groupBy(F.col("payload.id").alias("id")).agg(F.count("*").alias("vectors"))
+    entries = store.index("article").doc_stats.select(F.col("doc_id").alias("id"), F.col("n_tokens").cast("long"))
+    rows = store.read("articles").select("id", "path", "title")
+    return rows.join(points, "id", "full").join(entries, "id", "full")
+
+
+def _ingest_run(spark, sf):
+    """Outcomes of an inbox on an empty store, and of every file stored its row's and its index entry's figures."""
+    store = _new_store(spark, "inbox")
+    outcomes = jobs.ingest_sources(store, _inbox(_documents(spark, sf)), dim=DIM, now="2025-01-01T00:00:00Z")
+    entries = store.index("source").doc_stats.select(F.col("doc_id").alias("id"), F.col("n_tokens").cast("long"))
+    points = store.read("source_vectors").select("payload.id", F.size("embedding").alias("dim"))
+    rows = store.read("sources").select("id", "url", "topic", F.lit("").alias("reason")).join(entries, "id", "full").join(points, "id", "full")
+    stored = _inbox_ids(spark, sf).join(rows, "id").drop("reason")
+    return outcomes.join(stored, "path", "full")
+
+
+def _inbox_ids(spark, sf) -> DataFrame:
+    files = _inbox(_documents(spark, sf))
+    return files.filter(~F.col("path").contains("/src7-")).select("path", F.concat(F.lit("s-"), "doc_id").alias("id"))
+
+
+def _json_lines(spark, lines) -> str:
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+def _json_records(spark, sf):
+    """Records as JSON lines, those of one source cut off; what cannot be decoded is given by its text."""
+    docs = _documents(spark, sf)
+    record = F.to_json(F.struct(
+        F.concat(F.lit("s-"), "doc_id").alias("id"), F.md5("text").alias("url"), F.col("text").alias("summary"),
+        F.when(F.col("lang") != "en", F.col("source")).alias("topic"), F.array("lang").alias("tags"),
+    ))
+    lines = docs.select(F.when(F.col("source") == "src7", F.concat(F.lit('{"id": "s-'), "doc_id")).otherwise(record).alias("value"))
+    rows, bad = scan.read_source_records(spark, _json_lines(spark, lines))
+    return rows.select(
+        "id", "url", "topic", "model", F.md5("summary").alias("summary_md5"), extract.tags_to_json("tags").alias("tags"),
+        F.lit(None).cast("string").alias("bad"),
+    ).union(bad.select(*[F.lit(None).cast("string")] * 6, "value"))
+
+
+def _json_requests(spark, sf):
+    """Search requests as JSON lines; a limit that is no number makes a line undecodable."""
+    asked = _table(spark, sf, "benchmark")
+    kind = F.col("item_id") % 4
+    line = F.concat(
+        F.lit('{"query": '), F.to_json(F.array(F.md5("text"))).substr(2, 34), F.lit(', "topic": "t'), F.col("item_id"),
+        F.when(kind == 0, '"').when(kind == 1, '", "limit": "many"').otherwise(F.concat(F.lit('", "limit": '), F.col("item_id"))), F.lit("}"),
+    )
+    rows, bad = scan.read_search_requests(spark, _json_lines(spark, asked.select(line.alias("value"))))
+    return rows.select("query", "topic", F.col("limit").cast("long").alias("limit"), F.lit(True).alias("valid")).union(
+        bad.select(F.lit(None), "value", F.lit(None), F.lit(False))
+    )
+
+
 def _delete(spark, sf):
     docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
     return records.delete_ids(docs, _table(spark, sf, "labels").select(F.col("doc_id").alias("id")))
@@ -575,6 +697,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "field_filter": _search(mode="any", fields=["title"]),
     "field_start": _search(mode="any", at_start=True),
     "near": _search(near=40),
+    "near_words": _search_near,
+    "prefix_terms": _prefix_terms,
     "source_text_search": _search_sources,
     "article_results": _search_entities,
     "term_stats": _term_stats,
@@ -586,9 +710,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_cosine": _pair_cosine,
     "decode_vectors": _decode,
     "embed_docs": _embed_docs,
+    "embed_strict": _embed_strict,
     "semantic_search": _semantic,
     "semantic_limits": _semantic_limits,
     "refused_requests": _refused,
+    "vector_requests": _vector_requests,
     "payloads": _payloads,
     "ulid_to_uuid": _ulids,
     "front_matter": _front_matter,
@@ -612,6 +738,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "article_payloads": _article_payloads,
     "source_results": _source_results,
     "store_cycle": _store_cycle,
+    "index_report": _index_report,
+    "indexed_articles": _indexed_articles,
+    "ingest_run": _ingest_run,
+    "json_records": _json_records,
+    "json_requests": _json_requests,
     "delete_ids": _delete,
     "lookup_id": _lookup_id,
     "lookup_url": _lookup_url,

@@ -31,6 +31,8 @@ SOURCE = T.StructType(
 )
 ARTICLE = T.StructType([*_strings("id", "title", "path", "author", "summary"), _TAGS,
                         *_strings("meta_json")])
+# With the text that the index is built from.
+STORED_ARTICLE = T.StructType([*ARTICLE.fields, *_strings("content")])
 SEARCH_REQUEST = T.StructType(
     [*_strings("query", "embedding", "topic"), T.StructField("limit", T.IntegerType())]
 )
@@ -49,12 +51,24 @@ ARTICLE_VECTOR = T.StructType(
     [*_strings("uuid"), _EMBEDDING, T.StructField("payload", ARTICLE_PAYLOAD)]
 )
 
+# Fields of the text indexes, in the order of their numbers.
+FIELDS = {"source": ("summary", "title", "topic"), "article": ("content", "title", "summary", "tags")}
+
 POSTING = T.StructType(
     [
-        *_strings("term", "next_term", "doc_id", "field"),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("doc_len", T.IntegerType()),
+        *_strings("term"),
+        T.StructField("range", T.LongType()),
+        T.StructField("n", T.IntegerType()),
+        T.StructField("n_occurrences", T.LongType()),
+        T.StructField("max_tf", T.IntegerType()),
+        T.StructField("min_len", T.IntegerType()),
+        T.StructField("docs", T.ArrayType(T.StringType())),
+        T.StructField("tfs", T.ArrayType(T.IntegerType())),
+        T.StructField("lens", T.ArrayType(T.IntegerType())),
+        T.StructField("places", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("bucket", T.IntegerType()),
     ]
 )
-DOC_STATS = T.StructType([*_strings("doc_id"), T.StructField("n_tokens", T.IntegerType())])
+TERM = T.StructType(
+    [*_strings("term", "bin"), T.StructField("n_docs", T.LongType()), T.StructField("n_occurrences", T.LongType())]
+)

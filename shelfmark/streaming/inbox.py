@@ -1,12 +1,18 @@
-"""Incremental ingest: new inbox files in micro-batches."""
+"""Incremental ingest: new inbox files, read as a stream, come to the same rows as one batch run over them.
+
+Which file of a url is stored depends on the order of paths, and files arrive in any order.  The stream therefore
+only lands new files, in micro-batches of bounded size; when it has caught up, all landed files that are not settled yet
+are ingested together.  So neither the size nor the borders of micro-batches choose a url's file.
+
+Spark's file sources pass over folders with hidden names; each of those is a stream of its own beside the root's.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.embed import DEFAULT_DIM
 from ..operators.ingest import HELD, NO_VECTOR
@@ -14,11 +20,14 @@ from ..plans.jobs import ingest_sources
 from ..plans.shared import materialise
 from ..plans.store import Store
 from ..schemas import DOCUMENT
-from ..sources.scan import _MARKDOWN, _root_uri, as_documents, path_exists
+from ..sources.scan import _MARKDOWN, _root_uri, as_documents, hidden_folders, path_exists
 
+_LANDED = "path string, rel_path string, content string, stream string, batch long"
+_OUTCOMES = "path string, outcome string, reason string, existing_id string, stream string, batch long, run int"
 
-def read_inbox_stream(spark: SparkSession, root: str, files_per_batch: int = 100_000) -> DataFrame:
-    """New markdown files below `root` as (path, rel_path, content)."""
+
+def read_inbox_stream(spark: SparkSession, root: str, folder: str | None = None, files_per_batch: int = 100_000) -> DataFrame:
+    """New markdown files as (path, rel_path, content) below `root`, or in one of its folders with a hidden name."""
     files = (
         spark.readStream.schema("value string")
         .option("wholetext", True)
@@ -26,64 +35,52 @@ def read_inbox_stream(spark: SparkSession, root: str, files_per_batch: int = 100
         .option("pathGlobFilter", _MARKDOWN)
         .option("maxFilesPerTrigger", files_per_batch)
         .format("text")
-        .load(root)
+        .load(folder or root)
     )
     return as_documents(files, _root_uri(spark, root))
 
 
-_OUTCOME = "path string, outcome string, reason string, existing_id string"
-
-
-def _folder(store: Store, name: str) -> str:
-    return f"{store.root}/inbox_{name}"
-
-
-def _numbered(store: Store, name: str) -> list[int]:
-    spark, folder = store.spark, _folder(store, name)
-    if not path_exists(spark, folder):
-        return []
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [f.getPath().getName() for f in found]
-    return sorted(int(n) for n in names if n.isdigit() and path_exists(spark, f"{folder}/{n}/_SUCCESS"))
-
-
-def open_files(store: Store) -> DataFrame:
-    """Files read earlier that could not be stored yet, to be tried again."""
-    numbers = _numbered(store, "open")
-    if not numbers:
-        return store.spark.createDataFrame([], DOCUMENT)
-    return store.spark.read.schema(DOCUMENT).parquet(f"{_folder(store, 'open')}/{numbers[-1]}")
+def _table(store: Store, name: str, schema: str) -> DataFrame:
+    path = f"{store.root}/inbox_{name}"
+    if not path_exists(store.spark, path):
+        return store.spark.createDataFrame([], schema)
+    return store.spark.read.schema(schema).parquet(path)
 
 
 def inbox_outcomes(store: Store) -> DataFrame:
-    """(path, outcome, reason, existing_id, run) of every file of every run."""
-    numbers = _numbered(store, "outcomes")
-    schema = f"{_OUTCOME}, run int"
-    if not numbers:
-        return store.spark.createDataFrame([], schema)
-    rows = [
-        store.spark.read.schema(_OUTCOME).parquet(f"{_folder(store, 'outcomes')}/{n}").withColumn("run", F.lit(n))
-        for n in numbers
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    """(path, outcome, reason, existing_id, stream, batch, run) of every file of every run."""
+    return _table(store, "outcomes", _OUTCOMES)
 
 
-def _ingest(store: Store, docs: DataFrame, **options) -> None:
-    """One run over new files and those still open; keeps the outcomes and what stays open.
-
-    The open files are written last, under a number of their own, so a run that breaks off before is
-    done again with the files that were open then.
-    """
-    names = [f.name for f in DOCUMENT.fields]
-    new = docs.select(*names)
-    old = open_files(store).join(new.select("path"), "path", "left_anti").select(*names)
-    docs = materialise(new.unionByName(old), "inbox")
-    outcomes = ingest_sources(store, docs, **options)
-    number = 1 + max(_numbered(store, "outcomes") + _numbered(store, "open"), default=0)
-    outcomes.write.mode("overwrite").parquet(f"{_folder(store, 'outcomes')}/{number}")
-    failed = outcomes.filter(F.col("reason").isin(NO_VECTOR, HELD)).select("path")
-    docs.join(failed, "path", "left_semi").write.mode("overwrite").parquet(f"{_folder(store, 'open')}/{number}")
+def open_files(store: Store) -> DataFrame:
+    """Landed files, of each path the last version, that have no final outcome."""
+    landed = _table(store, "landed", _LANDED)
+    settled = inbox_outcomes(store).filter(~F.col("reason").isin(NO_VECTOR, HELD)).select("path", "stream", "batch")
+    last = landed.groupBy("path", "stream").agg(F.max("batch").alias("batch"))
+    return landed.join(last.join(settled, ["path", "stream", "batch"], "left_anti"), ["path", "stream", "batch"], "left_semi")
+
+
+def land(store: Store, root: str, checkpoint: str, files_per_batch: int = 100_000) -> None:
+    """Copy what is new in the inbox to the store; a micro-batch that is done again replaces its own rows."""
+    spark = store.spark
+    if not path_exists(spark, root):
+        return
+    for folder in [None, *hidden_folders(spark, root)]:
+        key = hashlib.md5((folder or "").encode()).hexdigest()
+
+        def write(batch: DataFrame, number: int, key: str = key) -> None:
+            rows = batch.select(*DOCUMENT.names, F.lit(key).alias("stream"), F.lit(number).alias("batch"))
+            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("stream", "batch").parquet(f"{store.root}/inbox_landed")
+
+        query = (
+            read_inbox_stream(spark, root, folder, files_per_batch)
+            .writeStream.foreachBatch(write)
+            .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{key}")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
 
 def ingest_sources_stream(
@@ -94,25 +91,18 @@ def ingest_sources_stream(
     dim: int = DEFAULT_DIM,
     now: str | None = None,
     files_per_batch: int = 100_000,
-) -> StreamingQuery:
-    """Try open files again, ingest what is new in the inbox, and stop.
+) -> DataFrame:
+    """Land what is new in the inbox and ingest it with the files still open; returns this run's outcomes.
 
-    The checkpoint remembers the files read, the store those of them that could not be stored, with
-    the outcome of every run.  A batch that is replayed after a failure does no harm: urls it stored are known
-    by then.  Of files with one url the first of a batch by path is stored; batches go by arrival, so an
-    inbox read in several batches may keep another file of a url than one read at once.
+    The checkpoint remembers the files read, the store those that are not settled.  A run that breaks off is made good by
+    the next: files it stored are known by then.
     """
-    options = {"model": model, "dim": dim, "now": now}
-    if open_files(store).take(1):
-        _ingest(store, store.spark.createDataFrame([], DOCUMENT), **options)
-
-    def run(batch: DataFrame, _: int) -> None:
-        _ingest(store, batch, **options)
-
-    return (
-        read_inbox_stream(store.spark, root, files_per_batch)
-        .writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    land(store, root, checkpoint, files_per_batch)
+    docs = materialise(open_files(store), "inbox")
+    run = 1 + (inbox_outcomes(store).agg(F.max("run")).first()[0] or 0)
+    outcomes = ingest_sources(store, docs.select(*DOCUMENT.names), model, dim, now)
+    found = materialise(
+        outcomes.join(docs.select("path", "stream", "batch"), "path").withColumn("run", F.lit(run)), "inbox-outcomes"
     )
+    found.write.mode("append").parquet(f"{store.root}/inbox_outcomes")
+    return found

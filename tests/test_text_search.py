@@ -36,12 +36,22 @@ def sqlite_hits(rows, match):
     return {i: score for i, score in found}
 
 
-def spark_hits(spark, rows, query, stored=None, exclude=None, **options):
-    docs = spark.createDataFrame(rows, "id string, summary string, title string, topic string")
-    index = stored or ti.build_index(docs, FIELDS)
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "id string, summary string, title string, topic string")
+
+
+@pytest.fixture(scope="module")
+def indexes(spark, tmp_path_factory):
+    """Stored indexes of both sets of rows, in small ranges."""
+    made = {"random": random_rows(), "golden": GOLDEN}
+    return {
+        name: ti.write_index(ti.build_index(frame(spark, rows), FIELDS, range_docs=8), str(tmp_path_factory.mktemp(name) / "i"), buckets=4)
+        for name, rows in made.items()
+    }
+
+
+def spark_hits(spark, index, query, **options):
     queries = spark.createDataFrame([(1, query)], "qid int, query string")
-    if exclude is not None:
-        queries = queries.withColumn("exclude", F.lit(exclude))
     got = ti.search(queries, index, k=1000, **options).orderBy("rank").collect()
     return {r.doc_id: r.score for r in got}
 
@@ -67,50 +77,148 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("match,query,options", CASES)
-def test_equals_sqlite(spark, match, query, options):
-    rows = random_rows()
-    assert spark_hits(spark, rows, query, **options) == pytest.approx(
-        sqlite_hits(rows, match), abs=2e-6
-    )
+GROUPS = {}
+for match, query, options in CASES:
+    GROUPS.setdefault(str(options), (options, []))[1].append((match, query))
 
 
-def test_golden_scores(spark):
-    assert spark_hits(spark, GOLDEN, "QUANTUM") == {"a": 1.353783}
-    assert spark_hits(spark, GOLDEN, "cafe") == {"b": 1.051311}
-    assert spark_hits(spark, GOLDEN, "river bank") == {"c": 0.000003, "b": 0.000002}
-    assert spark_hits(spark, GOLDEN, "cafe bank", near=4) == {"b": 0.732107}
-    assert spark_hits(spark, GOLDEN, "cafe bank", near=2) == {}
-    assert spark_hits(spark, GOLDEN, "bank river", mode="phrase") == {}
-    assert spark_hits(spark, GOLDEN, "--") == {}
-
-
-def test_stored_index_equals_built(spark, tmp_path):
-    rows = random_rows()
-    docs = spark.createDataFrame(rows, "id string, summary string, title string, topic string")
-    stored = ti.write_index(ti.build_index(docs, FIELDS), str(tmp_path / "index"), buckets=4)
+@pytest.mark.parametrize("options,cases", GROUPS.values(), ids=GROUPS)
+def test_equals_sqlite(spark, indexes, options, cases):
+    """Queries with the same options are one search."""
+    options = dict(options)
+    exclude = options.pop("exclude", None)
+    queries = spark.createDataFrame([(n, query) for n, (_, query) in enumerate(cases)], "qid int, query string")
+    if exclude is not None:
+        queries = queries.withColumn("exclude", F.lit(exclude))
+    # With and without ruling out ranges, where a search of this size would not.
+    got = ti.search(queries, indexes["random"], k=1000, prune_above=0 if len(cases) > 2 else ti.PRUNE_ABOVE, **options).collect()
+    for n, (match, _) in enumerate(cases):
+        found = {r.doc_id: r.score for r in got if r.qid == n}
+        assert found == pytest.approx(sqlite_hits(random_rows(), match), abs=2e-6)
+
+
+def test_golden_scores(spark, indexes):
+    golden = indexes["golden"]
+    assert spark_hits(spark, golden, "QUANTUM") == {"a": 1.353783}
+    assert spark_hits(spark, golden, "cafe") == {"b": 1.051311}
+    assert spark_hits(spark, golden, "river bank") == {"c": 0.000003, "b": 0.000002}
+    assert spark_hits(spark, golden, "cafe bank", near=4) == {"b": 0.732107}
+    assert spark_hits(spark, golden, "cafe bank", near=2) == {}
+    assert spark_hits(spark, golden, "bank river", mode="phrase") == {}
+    assert spark_hits(spark, golden, "--") == {}
+
+
+def test_stored_index_equals_built(spark, indexes, tmp_path):
+    built = ti.build_index(frame(spark, random_rows()), FIELDS, range_docs=30)
+    ti.write_index(built, str(tmp_path / "index"), buckets=3)
     again = ti.read_index(spark, str(tmp_path / "index"))
-    assert again.buckets == 4
-    assert spark_hits(spark, rows, "alph", again, mode="prefix") == spark_hits(spark, rows, "alph", mode="prefix")
-    for _, query, options in CASES[5:6] + CASES[12:13]:
-        assert spark_hits(spark, rows, query, stored, **options) == spark_hits(
-            spark, rows, query, **options
-        )
-
-
-def test_limits_and_ranks(spark):
-    rows = random_rows()
-    docs = spark.createDataFrame(rows, "id string, summary string, title string, topic string")
-    index = ti.build_index(docs, FIELDS)
+    assert (again.buckets, again.fields) == (3, FIELDS)
+    for _, query, options in [CASES[0], CASES[5], CASES[9], CASES[10], CASES[13]]:
+        want = spark_hits(spark, indexes["random"], query, **options)
+        assert spark_hits(spark, again, query, **options) == want
+        assert spark_hits(spark, built, query, **options) == want
+
+
+def test_index_rows(spark, indexes):
+    """A block holds a term's documents of one range; every range lists all its documents."""
+    index = indexes["random"]
+    words = {i: [ti_tokens(t) for t in texts] for i, *texts in random_rows()}
+    of_range = {}
+    for r in index.postings.collect():
+        entries = list(zip(r.docs, r.tfs, r.lens, r.places, strict=True))
+        assert r.docs == sorted(r.docs) and r.n == len(entries)
+        assert r.max_tf == max(r.tfs) and r.min_len == min(r.lens)
+        if r.term == ti.EVERY_DOC:
+            of_range[r.range] = set(r.docs)
+            assert r.n_occurrences == sum(r.lens)
+            continue
+        assert r.n_occurrences == sum(r.tfs)
+        for doc, tf, length, places in entries:
+            own = [n << 32 | p for n, field in enumerate(words[doc]) for p, w in enumerate(field) if w == r.term]
+            assert (places, tf, length) == (own, len(own), sum(map(len, words[doc])))
+    assert sorted(d for docs in of_range.values() for d in docs) == sorted(words)
+    assert index.terms.filter("term != ''").count() == len({w for f in words.values() for t in f for w in t})
+    assert {r.doc_id: r.n_tokens for r in index.doc_stats.collect()} == {i: sum(map(len, f)) for i, f in words.items()}
+    occurrences = sum(len(t) for f in words.values() for t in f)
+    assert index.postings.count() < 0.8 * occurrences
+
+
+def ti_tokens(text):
+    return text.lower().translate(str.maketrans("éï", "ei")).split()
+
+
+def test_skips_ranges(spark, tmp_path):
+    """Ranges whose bound is below the best documents found are not opened, and no result is lost."""
+    rng = random.Random(8)
+    rows = [(f"d{i:04d}", " ".join(["common"] * rng.randint(1, 3) + ["filler"] * rng.randint(20, 60)), "", "") for i in range(600)]
+    rows += [(f"x{i}", "common rare rare", "", "") for i in range(12)]
+    index = ti.write_index(ti.build_index(frame(spark, rows), FIELDS, range_docs=6), str(tmp_path / "i"), buckets=2)
+    queries = spark.createDataFrame([(1, "common rare", 5), (2, "common", 3), (3, "rare filler", 700)], "qid int, query string, limit int")
+    opened = []
+    real = ti.open_ranges
+
+    def counted(ranges, *args):
+        rest = real(ranges, *args)
+        per = {r.qid: r.n for r in rest.groupBy("qid").agg(F.count("*").alias("n")).collect()}
+        every = {r.qid: r.n for r in ranges.groupBy("qid").agg(F.count("*").alias("n")).collect()}
+        opened.append({q: (per.get(q, 0) + ti.FIRST_RANGES, every[q]) for q in every})
+        return rest
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ti, "open_ranges", counted)
+        got = ti.search(queries, index, mode="any", limit_col="limit", prune_above=0).collect()
+    read, every = opened[0][1]
+    assert every > 80 and read < every / 2
+    for qid, match, k in ((1, "common OR rare", 5), (2, "common", 3), (3, "rare OR filler", 700)):
+        scores = sqlite_hits(rows, match)
+        best = sorted(scores, key=lambda i: (-round(scores[i], 12), i))[:k]
+        assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.qid == qid] == best
+
+
+def test_prefix_terms(spark, indexes):
+    """From the dictionary alone; short prefixes reach terms of several bins."""
+    asked = ["a", "al", "alp", "alpha", "alphabets", "r", "x8", "σο", "", "q"]
+    prefixes = spark.createDataFrame([(p,) for p in asked], "prefix string")
+    found = ti.prefix_terms(indexes["random"], prefixes)
+    words = {w for _, *texts in random_rows() for t in texts for w in ti_tokens(t)}
+    assert sorted((r.prefix, r.term) for r in found.collect()) == sorted((p, w) for p in asked if p for w in words if w.startswith(p))
+    assert "places" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_close_stretches(spark):
+    """One pass over merged places against the rule tried on every start."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        units = rng.randint(1, 4)
+        places = sorted(rng.sample(range(60), rng.randint(units, 20)))
+        rows.append((units, rng.randint(1, 12), [(p, rng.randrange(units)) for p in places]))
+    df = spark.createDataFrame(rows, "units int, span int, events array<struct<place:bigint,unit:int>>")
+    for span in sorted({r[1] for r in rows}):
+        for r in df.filter(F.col("span") == span).withColumn("found", ti.close_stretches(F.col("events"), F.col("units"), span)).collect():
+            events = [(e.place, e.unit) for e in r.events]
+            starts = [p for p, _ in events if len({u for q, u in events if p <= q <= p + span}) == r.units]
+            want = {q for q, _ in events if any(p <= q <= p + span for p in starts)}
+            assert {q for q, _ in events if any(s.lo <= q <= s.hi for s in r.found)} == want
+
+
+def test_limits_and_ranks(spark, indexes):
+    index = indexes["random"]
     queries = spark.createDataFrame(
         [(1, "the", 3), (2, "alpha", 1000), (3, "--", 5)], "qid int, query string, limit int"
     )
     got = ti.search(queries, index, limit_col="limit").orderBy("qid", "rank").collect()
     # The order is SQLite's, also for a term of most rows, whose scores all show as 0.000002.
-    wanted = sqlite_hits(rows, "the")
+    wanted = sqlite_hits(random_rows(), "the")
     order = sorted(wanted, key=lambda i: (-round(wanted[i], 12), i))
-    assert list(spark_hits(spark, rows, "the")) == order
+    assert list(spark_hits(spark, index, "the")) == order
     assert [r.doc_id for r in got if r.qid == 1] == order[:3]
-    assert len([r for r in got if r.qid == 2]) == len(spark_hits(spark, rows, "alpha"))
-    plan = ti.search(queries, index, k=3)._jdf.queryExecution().toString()
+    assert len([r for r in got if r.qid == 2]) == len(spark_hits(spark, index, "alpha"))
+    plan = ti.search(queries, index, k=3, mode="phrase")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
+
+
+def test_no_documents(spark):
+    index = ti.build_index(frame(spark, []), FIELDS)
+    for options in ({}, {"mode": "any"}, {"mode": "phrase"}, {"mode": "prefix"}, {"near": 3}):
+        assert spark_hits(spark, index, "alpha beta", **options) == {}
