@@ -20,6 +20,7 @@ share of label 1, or a half.  An empty table gives an empty result; extra column
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -105,13 +106,14 @@ def _added(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             blocks, salts = batch["block"].to_pylist(), batch["salt"].to_pylist()
             for block, salt, raw in zip(blocks, salts, batch["sums"], strict=True):
                 key = (block, salt) if "salt" in keys else (block, 0)
-                values = np.frombuffer(raw.as_buffer(), dtype=np.int64)
+                # A task's own sums are short numbers, as it has less than 2**27 words; sums of tasks are long.
+                values = np.frombuffer(raw.as_buffer(), dtype=np.int32 if "salt" in keys else np.int64)
                 if key == at:
                     total += values
                     continue
                 if at is not None:
                     yield _block(at, total)
-                at, total = key, values.copy()
+                at, total = key, values.astype(np.int64)
         if at is not None:
             yield _block(at, total)
 
@@ -123,6 +125,11 @@ def _block(key: tuple[int, int], sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["block", "salt", "sums"])
 
 
+def _blocks(sums: np.ndarray, salt: int):
+    for i, block in enumerate(sums.reshape(BLOCKS, -1)):
+        yield _block((i, salt), block.astype(np.int32))
+
+
 def context_sums(docs: DataFrame) -> np.ndarray:
     """The context vectors and counts of all rows, over every document: ROWS x (DIM + 1)."""
 
@@ -134,9 +141,11 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                 salt = batch["salt"][0].as_py()
             for part in by_bytes([batch]):
                 add_contexts(sums, Runs(part["text"]), place, sign)
+            if sums[:, DIM].sum() >> 27:
+                yield from _blocks(sums, salt)
+                sums[:] = 0
         if salt is not None:
-            for i, block in enumerate(sums.reshape(BLOCKS, -1)):
-                yield _block((i, salt), block)
+            yield from _blocks(sums, salt)
 
     spread = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
     parts = docs.select("text", F.pmod(F.spark_partition_id(), F.lit(spread)).alias("salt"))
@@ -164,31 +173,28 @@ class WordVectors:
         length = np.sqrt((contexts**2).sum(axis=1, keepdims=True))
         return WordVectors((contexts / np.maximum(length, 1e-9)).astype(np.float32), (_RARE / (_RARE + share)).astype(np.float32))
 
+    @cached_property
+    def _terms(self) -> np.ndarray:
+        """Of each row its weighted vector, the same squared, and its weight: what a document's features are sums of."""
+        weights = self.weights[:, None]
+        return np.hstack([weights * self.vectors, weights * self.vectors**2, weights])
+
     def pooled(self, texts) -> np.ndarray:
         """Features of every text: mean and spread of its words' vectors, and its length."""
         runs = Runs(texts)
-        counts = runs.counts()
+        counts, rows = runs.counts(), runs.rows()
         out = np.zeros((len(counts), 2 * DIM + 1))
-        rows = runs.rows()
         some = np.flatnonzero(counts)
         for first, last, members in _stretches(runs.starts, some):
-            at = slice(first, last)
-            vectors, weights = self.vectors[rows[at]], self.weights[rows[at]].astype(float)
-            begins = runs.starts[members] - first
-            begins = np.maximum(begins, 0)
-            total = np.add.reduceat(weights, begins)
-            weighted = vectors * weights[:, None]
-            out[members, :DIM] += np.add.reduceat(weighted, begins, axis=0)
-            out[members, DIM : 2 * DIM] += np.add.reduceat(weighted * vectors, begins, axis=0)
-            out[members, 2 * DIM] += total
-        total = np.maximum(out[some, 2 * DIM :], 1e-9)
-        out[some, : 2 * DIM] /= total
+            begins = np.maximum(runs.starts[members] - first, 0)
+            out[members] += np.add.reduceat(self._terms[rows[first:last]], begins, axis=0)
+        out[some, : 2 * DIM] /= np.maximum(out[some, 2 * DIM :], 1e-9)
         out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(out[some, DIM : 2 * DIM] - out[some, :DIM] ** 2, 0))
         out[:, 2 * DIM] = np.log1p(counts)
         return out
 
 
-def _stretches(starts: np.ndarray, some: np.ndarray, step: int = 1 << 17):
+def _stretches(starts: np.ndarray, some: np.ndarray, step: int = 1 << 13):
     """(first, last, texts with words there) over all words, at most `step` at a time."""
     for first in range(0, int(starts[-1]), step):
         last = min(first + step, int(starts[-1]))
