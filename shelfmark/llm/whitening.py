@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -64,11 +65,11 @@ def whole_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.where(F.size(column) == length).withColumn("__x", F.transform(column, whole))
 
 
-def _blocks(rows: DataFrame, n: int, dim: int, index: str, column) -> BlockMatrix:
-    """Rows (index, array of doubles) as blocks of a matrix."""
-    features = rows.select(F.col(index).cast("long").alias("index"), array_to_vector(column).alias("vector"))
+def _blocks(rows: DataFrame, n: int, dim: int, column) -> BlockMatrix:
+    """Rows (row, array of doubles) as blocks of a matrix, kept on the executors' disks, as each product reads them often."""
+    features = rows.select(F.col("row").cast("long").alias("index"), array_to_vector(column).alias("vector"))
     matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(features, "vector"), n, dim)
-    return matrix.toBlockMatrix(BLOCK, BLOCK)
+    return matrix.toBlockMatrix(BLOCK, BLOCK).persist(StorageLevel.DISK_ONLY)
 
 
 def _product(a: BlockMatrix, b: BlockMatrix, splits: int = 1) -> BlockMatrix:
@@ -98,30 +99,31 @@ def _difference(n: int, sums: list[int]):
     return F.zip_with("__x", F.array(*[F.lit(s).cast("long") for s in sums]), lambda x, s: F.lit(n).cast("long") * x - s)
 
 
-def fit(rows: DataFrame) -> Whitening | None:
-    """The covariance of rows (row, __x), numbered without gaps, and its components; None without rows."""
+def sums_of(rows: DataFrame) -> tuple[int, list[int]]:
+    """Number of rows (row, __x) and their sums per dimension."""
     cells = rows.select(F.posexplode("__x").alias("pos", "x"))
     sums = cells.groupBy("pos").agg(F.sum("x").alias("s"), F.count("*").alias("n")).orderBy("pos").collect()
-    if not sums:
-        return None
-    n, totals = sums[0]["n"], [r["s"] for r in sums]
-    blocks = _blocks(rows, n, len(totals), "row", _centred(n, totals))
-    covariance = _scatter(blocks) / n
-    values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
-    return Whitening(n, totals, np.maximum(values[::-1], 0.0), vectors[:, ::-1])
+    return (sums[0]["n"] if sums else 0), [r["s"] for r in sums]
+
 
+def centred_blocks(rows: DataFrame, n: int, sums: list[int]) -> BlockMatrix:
+    """Rows (row, __x), numbered without gaps, less their mean."""
+    return _blocks(rows, n, len(sums), F.transform(_difference(n, sums), lambda v: v.cast("double") / n))
 
-def _centred(n: int, sums: list[int]):
-    return F.transform(_difference(n, sums), lambda v: v.cast("double") / n)
+
+def fit(blocks: BlockMatrix, n: int, sums: list[int]) -> Whitening:
+    """The components of the centred rows' covariance."""
+    covariance = _scatter(blocks) / n
+    values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
+    return Whitening(n, sums, np.maximum(values[::-1], 0.0), vectors[:, ::-1])
 
 
-def project(rows: DataFrame, model: Whitening, components: int) -> DataFrame:
+def project(spark: SparkSession, blocks: BlockMatrix, model: Whitening, components: int) -> DataFrame:
     """(row, whitened): the rows on the first components, each over its deviation; 0 for components without any."""
     k = min(components, len(model.values))
-    scale = np.where(model.usable()[:k], 1 / np.sqrt(np.where(model.usable()[:k], model.values[:k], 1.0)), 0.0)
-    blocks = _blocks(rows, model.n, len(model.sums), "row", _centred(model.n, model.sums))
-    matrix = _as_blocks(rows.sparkSession, model.vectors[:, :k] * scale)
-    projected = _product(blocks, matrix).toIndexedRowMatrix()
+    usable = model.usable()[:k]
+    scale = np.where(usable, 1 / np.sqrt(np.where(usable, model.values[:k], 1.0)), 0.0)
+    projected = _product(blocks, _as_blocks(spark, model.vectors[:, :k] * scale)).toIndexedRowMatrix()
     # The matrix's rows as a table of the JVM; its own `rows` would pass through Python.
     found = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
     return found.select(F.col("index").alias("row"), vector_to_array("vector").alias("whitened"))
@@ -133,7 +135,7 @@ def identity_error(projected: DataFrame, model: Whitening, components: int) -> f
     cells = projected.select(F.posexplode("whitened").alias("pos", "x"))
     means = [r["m"] for r in cells.groupBy("pos").agg(F.avg("x").alias("m")).orderBy("pos").collect()]
     centred = F.zip_with("whitened", F.array(*[F.lit(float(m)) for m in means]), lambda x, m: x - m)
-    covariance = _scatter(_blocks(projected, model.n, k, "row", centred)) / model.n
+    covariance = _scatter(_blocks(projected, model.n, k, centred)) / model.n
     use = model.usable()[:k]
     return float(np.abs(covariance - np.eye(k))[np.ix_(use, use)].max(initial=0.0))
 
@@ -158,12 +160,14 @@ def whiten(vectors: DataFrame, column: str = "embedding", components: int = COMP
     names = [c for c in vectors.columns if c != column]
     sound = written(whole_vectors(vectors, column).select(F.struct(*[f"`{c}`" for c in names]).alias("__own"), "__x"), "vectors")
     rows = written(numbered(sound, "row"), "vector-rows")
-    model = fit(rows)
-    if model is None:
+    n, sums = sums_of(rows)
+    if not n:
         given = "component int, n long, deviation long, whitened double, explained double, identity_error double"
         empty = vectors.select(*names).limit(0)
         return empty.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in (g.split() for g in given.split(", "))])
-    projected = written(project(rows, model, components), "projected")
+    blocks = centred_blocks(rows, n, sums)
+    model = fit(blocks, n, sums)
+    projected = written(project(vectors.sparkSession, blocks, model, components), "projected")
     error = identity_error(projected, model, components)
     k, trace = min(components, len(model.values)), float(model.values.sum())
     explained = F.array(*[F.lit(float(v / trace) if trace else 0.0) for v in model.values[:k]])
@@ -173,7 +177,7 @@ def whiten(vectors: DataFrame, column: str = "embedding", components: int = COMP
         kept.join(projected, "row")
         .select("__own", "deviation", F.posexplode("whitened").alias("__pos", "__value"))
         .select(
-            "__own.*", (F.col("__pos") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+            "__own.*", (F.col("__pos") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation",
             F.when(F.get(usable, F.col("__pos")), F.col("__value")).alias("whitened"),
             F.get(explained, F.col("__pos")).alias("explained"), F.lit(error).alias("identity_error"),
         )
