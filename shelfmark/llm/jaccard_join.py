@@ -12,15 +12,16 @@ A signature without features is left out where it is not needed: a set with e gr
 subset agrees with any match in at least g groups, and if e < g one of them is not empty.  Only sets with
 e >= g give their empty signatures too.  So no link is lost.
 
-All members of a signature's bucket are compared with its first (counts and minima are summed on the map
-side; within an Arrow batch before any shuffle), on the whole sets.  Buckets whose members are then not all in one component form
+Members of a signature's bucket are compared with its first (counts and minima are summed on the map side; within an
+Arrow batch before any shuffle), on the whole sets: each set with one first only to begin with, then, in the buckets
+whose members are not all in one component yet, with all others.  Buckets that are still split form
 clusters with those they share members with, and all sets of a cluster are compared: in cells of two blocks of
-at most BLOCK_ITEMS features or one set each, by products of incidence matrices that only leave the task as a forest
+about BLOCK_ITEMS features and BLOCK_SETS sets at most each, by products of incidence matrices that only leave the task as a forest
 of the links found.  So hot groups of near copies never give all pairs.  Equal sets are one class from the start.
 
 Words are lower-cased (A-Z) runs without white space; a text shorter than a shingle is one shingle, one without
-words has no set and links with nothing.  Null counts as empty.  Rows that share a doc_id count as one
-document, whose set is the first row's by size and hash; null doc_ids are documents of their own without links.
+words has no set and links with nothing.  Null counts as empty.  Rows are numbered and each has a set of its own,
+also rows that share a doc_id or have none; a component is named by the smallest doc_id in it, null if none has one.
 Features are 48-bit hashes.  An empty table gives an empty result; extra columns do no harm.
 """
 
@@ -38,7 +39,7 @@ _ROW = np.uint64(48)
 _FEATURE = np.uint64((1 << 48) - 1)
 _SALT = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 SMALL = 8
-BLOCK_ITEMS, COLUMNS = 1 << 16, 2048
+BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 1 << 18, 1024, 2048
 
 
 class Features:
@@ -157,12 +158,17 @@ def _signatures(f: Features, bands: Bands, chosen: np.ndarray, step: int) -> tup
     return np.concatenate(out), np.concatenate(rows_out)
 
 
-def _input(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """The rows with a number `__llm_row`, written once so that it stays the same for every step."""
+    return written(docs.withColumn("__llm_row", F.monotonically_increasing_id()), "numbered-rows")
 
 
-def set_sizes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, size, digest1, digest2) of every document's set."""
+def _input(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("__llm_row").alias("doc"), "text")
+
+
+def set_sizes(rows: DataFrame, width: int) -> DataFrame:
+    """(doc, size, digest1, digest2) of every row's set."""
 
     def run(batches):
         for batch in by_bytes(batches):
@@ -173,10 +179,10 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc", "size", "digest1", "digest2"],
             )
 
-    return _input(docs).mapInArrow(run, "doc long, size int, digest1 long, digest2 long")
+    return _input(rows).mapInArrow(run, "doc long, size int, digest1 long, digest2 long")
 
 
-def signatures(docs: DataFrame, width: int, of: int, largest: int) -> DataFrame:
+def signatures(rows: DataFrame, width: int, of: int, largest: int) -> DataFrame:
     """(key, doc, first, sig).  `first` names an earlier row of the batch with the same signature.
 
     Rows without `first` have the signature as key.  Others, which need not meet anything else, have it in
@@ -214,10 +220,10 @@ def signatures(docs: DataFrame, width: int, of: int, largest: int) -> DataFrame:
                     names=["key", "doc", "first", "sig"],
                 )
 
-    return _input(docs).mapInArrow(run, "key long, doc long, first long, sig long")
+    return _input(rows).mapInArrow(run, "key long, doc long, first long, sig long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc, size, items) of the wanted documents; the items are 48-bit features as long numbers."""
 
     def run(batches):
@@ -231,7 +237,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 names=["doc", "size", "items"],
             )
 
-    return _input(docs).join(wanted, "doc").mapInArrow(run, "doc long, size int, items binary")
+    return _input(rows).join(wanted, "doc").mapInArrow(run, "doc long, size int, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, of: int) -> DataFrame:
@@ -297,12 +303,9 @@ def _linked(cell: pa.Table, of: int):
     return ids[root], ids[leaf]
 
 
-def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
-    """(doc, size, component) for every doc_id; the component is the smallest doc_id that links reach."""
-    every = written(
-        set_sizes(docs, width).groupBy("doc").agg(F.min(F.struct("size", "digest1", "digest2")).alias("s")).select("doc", "s.*"),
-        "set-sizes",
-    )
+def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
+    """(doc, size, component) for every numbered row; the component is named by the smallest number that links reach."""
+    every = written(set_sizes(rows, width), "set-sizes")
     sized = every.where("size > 0")
     same = sized.groupBy("size", "digest1", "digest2").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
     reps = written(
@@ -314,7 +317,7 @@ def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
     largest = reps.agg(F.max("size")).first()[0]
     if largest is None:
         return every.select("doc", "size", F.col("doc").alias("component"))
-    made = signatures(docs, width, of, largest)
+    made = signatures(rows, width, of, largest)
     # One shuffle of (key, doc) serves the counts and the join: with the same columns and filters, Spark
     # computes it once.
     mine = made.where("first is null and key is not null and doc is not null").select("key", "doc").repartition("key")
@@ -343,13 +346,25 @@ def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
         return found.distinct().join(a, "a").join(b, "doc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def check(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links."""
+        pairs = written(pairs, "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        sets = written(_sets(docs, ids, width), "sets")
-        return written(_verified(pairs, sets.dropDuplicates(["doc"]), of), "verified")
+        sets = written(_sets(rows, ids, width), "sets")
+        return written(_verified(pairs, sets, of).where("links").select("a", "b"), "links")
 
-    pairs = written(candidates(of_rep(buckets.select("a", "doc"))), "pairs")
-    tested = check(pairs)
-    links = tested.where("links").select("a", "b")
+    # One first for each set; then, across the components these links give, every other one.
+    pairs = written(of_rep(buckets.select("a", "doc")).where("a < b"), "first-pairs")
+    once = pairs.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links = check(candidates(once))
+    found = components(links)
+
+    def component_of(side: str) -> DataFrame:
+        return found.select(F.col("id").alias(side), F.col("component").alias(f"component_{side}"))
+
+    apart = pairs.join(component_of("a"), "a", "left").join(component_of("b"), "b", "left").where(
+        F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
+    )
+    links = links.union(check(candidates(apart.select("a", "b"))))
     found = components(links)
 
     # Buckets that a failed pair left in several components: compare across those.
@@ -372,14 +387,16 @@ def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
         member = member.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id", "left")
         member = member.select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
         member = written(member.join(sizes.withColumnRenamed("doc", "id"), "id"), "clustered")
-        blocks = member.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
+        blocks = member.groupBy("cluster").agg(
+            F.greatest(F.ceil(F.sum("size") / BLOCK_ITEMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")
+        )
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         cells = member.join(blocks, "cluster").withColumn("own", own)
         cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             "cluster", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             (F.col("own") <= F.col("other")).cast("int").alias("side"),
         )
-        sets = _sets(docs, member.select(F.col("id").alias("doc")), width).dropDuplicates(["doc"])
+        sets = _sets(rows, member.select(F.col("id").alias("doc")), width)
         cells = cells.join(written(sets.withColumnRenamed("doc", "id"), "cell-sets"), "id")
         cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         more = written(_cell_links(cells, of), "cell-links")
@@ -391,20 +408,28 @@ def near_components(docs: DataFrame, width: int, of: int) -> DataFrame:
     return every.join(component, "doc", "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
 
 
+def _named(rows: DataFrame, width: int, of: int) -> DataFrame:
+    """(doc, doc_id, size, component, component_id): every row with its component and that one's smallest doc_id."""
+    found = written(near_components(rows, width, of), "components")
+    ids = rows.select(F.col("__llm_row").alias("doc"), "doc_id")
+    least = found.join(ids, "doc").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "doc").join(least, "component").select("doc", "doc_id", "size", "component", "component_id")
+
+
 def keep_one(docs: DataFrame, width: int = 5, of: int = 80) -> DataFrame:
     """The documents without near duplicates: of each class the row of the smallest doc_id stays.
 
-    Documents without words, and rows whose doc_id is null, all stay.
+    Rows without a doc_id stand behind those with one; of rows with the same the first by number stays.  Rows without
+    words all stay.
     """
-    gone = near_components(docs, width, of).where("doc != component").select(F.col("doc").alias("__llm_doc"))
-    gone = written(gone, "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["__llm_doc"], "left_anti")
+    rows = numbered_rows(docs)
+    found = _named(rows, width, of)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")
+    stay = found.groupBy("component").agg(F.min(place)["doc"].alias("stays"))
+    gone = found.join(stay, "component").where("doc != stays").select(F.col("doc").alias("__llm_row"))
+    return rows.join(written(gone, "near-copies"), "__llm_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str, width: int = 4, of: int = 85) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = near_components(docs, width, of)
-    ids = docs.select("doc_id")
-    return ids.join(found, ids["doc_id"] == found["doc"], "left").select(
-        "doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"), F.col("component").alias("component_id")
-    )
+    rows = numbered_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _named(rows, width, of).select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")

@@ -58,22 +58,26 @@ def repeats(rows, length: int = 20) -> dict:
     return out
 
 
-def jaccard_components(rows, width: int, of: int) -> dict:
-    sets = {}
-    for doc, text in rows:
-        w = words_of(text)
-        w = [x.lower() for x in w]
-        sets[doc] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-    root = {d: d for d in sets}
+def jaccard_components(rows, width: int, of: int) -> list[tuple]:
+    """(doc_id, size of the set, smallest doc_id of the component) of every row."""
+    sets = []
+    for _, text in rows:
+        w = [x.lower() for x in words_of(text)]
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= of * len(sets[a] | sets[b]):
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= of * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in sets}
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least.setdefault(find(i), []).append(doc)
+    names = {r: min((d for d in docs if d is not None), default=None) for r, docs in least.items()}
+    return [(doc, len(sets[i]), names[find(i)]) for i, (doc, _) in enumerate(rows)]

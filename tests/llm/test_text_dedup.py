@@ -88,18 +88,44 @@ def test_jaccard(spark, width, of):
     for k in range(12):  # near copies around the border, and a chain of them
         rows.append((200 + k, " ".join(base[: 400 - 9 * k] + [f"z{k}{i}" for i in range(3 * k)])))
         rows.append((300 + k, " ".join(base[10 * k : 10 * k + 160])))
+    # Rows that share a doc_id or have none are documents of their own; one text is very long.
+    rows += [(7, rows[80][1]), (7, "other words here and there"), (None, rows[81][1]), (None, "alone without a number"), (None, None), (400, "long " + " ".join(f"v{i}" for i in range(60_000)))]
+    found = jaccard(spark, rows, width, of)
+    assert found == sorted(brute.jaccard_components(rows, width, of), key=str)
+
+
+def jaccard(spark, rows, width, of):
     docs = brute.docs_frame(spark, rows).repartition(3, "doc_id")
-    found = {r["doc"]: (r["size"], r["component"]) for r in jaccard_join.near_components(docs, width, of).collect()}
-    assert found == brute.jaccard_components(rows, width, of)
+    named = jaccard_join._named(jaccard_join.numbered_rows(docs), width, of)
+    return sorted(((r["doc_id"], r["size"], r["component_id"]) for r in named.collect()), key=str)
+
+
+def test_jaccard_rows_of_one_id(spark):
+    """Sets of different sizes under one doc_id."""
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 50), ("b", 30)))
+    rows = [(7, a), (7, b), (8, b), (9, a)]
+    assert jaccard(spark, rows, 4, 85) == [(7, 27, 7), (7, 47, 7), (8, 27, 7), (9, 47, 7)]
+    kept = jaccard_join.keep_one(brute.docs_frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(7, a), (7, b)]
+
+
+def test_jaccard_split_clusters(spark, monkeypatch):
+    """Overlapping texts whose buckets split, in many small cells."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    base = [f"w{i}" for i in range(600)]
+    rows = [(k, " ".join(base[4 * k : 4 * k + 100])) for k in range(90)] + [(100 + k, " ".join(base[7 * k : 7 * k + 60])) for k in range(60)]
+    assert jaccard(spark, rows, 4, 85) == sorted(brute.jaccard_components(rows, 4, 85), key=str)
 
 
 def test_jaccard_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(200))
-    rows = [(5, text), (2, text + " more"), (9, "other"), (None, text), (3, None), (4, "")]
+    rows = [(5, text), (2, text + " more"), (9, "other"), (None, text), (3, None), (4, ""), (None, ""), (None, "twice"), (None, "twice")]
     docs = brute.docs_frame(spark, rows)
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 3, 4, 9, None]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(2, text + " more"), (9, "other"), (3, None), (4, ""), (None, ""), (None, "twice")], key=str
+    )
 
 
 def test_bands_lose_no_pair():
@@ -116,5 +142,5 @@ def test_empty_tables(spark):
     assert exact_dedup.duplicate_groups(docs).count() == 0
     assert exact_dedup.keep_first(docs).count() == 0
     assert substring_dedup.remove_repeats(docs).count() == 0
-    assert jaccard_join.near_components(docs, 4, 85).count() == 0
+    assert jaccard(spark, [], 4, 85) == []
     assert jaccard_join.keep_one(docs).count() == 0
