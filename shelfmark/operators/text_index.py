@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -475,8 +476,8 @@ def _block_search(
     return _best(best.select("qid", "doc_id", "points").union(others), queries, k, limit_col)
 
 
-def _phrase_scores(index: TextIndex, words: DataFrame, view: DataFrame, totals: _Totals, at_start: bool) -> DataFrame:
-    """(qid, doc_id, points) of documents with the whole phrase, which is the unit that is scored."""
+def _phrase_hits(index: TextIndex, words: DataFrame, view: DataFrame, at_start: bool) -> DataFrame:
+    """(qid, doc_id, tf, len) of documents with the whole phrase of a qid, from words (qid, term, offset, need)."""
     on = _on(index.buckets)
     heads = view.select(*on, "range")
     ranges = spread_join(heads, words, on, ["range"]).groupBy("qid", "range").agg(
@@ -490,11 +491,14 @@ def _phrase_scores(index: TextIndex, words: DataFrame, view: DataFrame, totals:
     if at_start:
         starts = _held(starts, None, True)
     hits = held.select("qid", "doc_id", F.size(starts).alias("tf"), F.get("h", F.lit(0))["len"].alias("len"))
-    hits = materialise(hits.filter("tf > 0"), "phrase-hits")
+    return materialise(hits.filter("tf > 0"), "phrase-hits")
+
+
+def _phrase_scores(hits: DataFrame, totals: _Totals) -> DataFrame:
+    """(qid, doc_id, points) of phrase hits; the phrase is the unit that is scored."""
     n = hits.groupBy("qid").agg(F.count("*").alias("n")).withColumn("idf", _idf(totals.n_docs, F.col("n")))
-    scored = spread_join(hits, n, ["qid"], ["doc_id"])
     score = _bm25(F.col("idf"), F.col("tf"), F.col("len"), totals.mean_len)
-    return scored.select("qid", "doc_id", _points(score).alias("points"))
+    return spread_join(hits, n, ["qid"], ["doc_id"]).select("qid", "doc_id", _points(score).alias("points"))
 
 
 def _starts(word: Column) -> Column:
@@ -585,7 +589,7 @@ def search(
     if mode in ("phrase", "prefix"):
         if mode == "phrase":
             words = materialise(_located(_words(queries), index.buckets), "words")
-            scored = _phrase_scores(index, words, _view(index, words, fields, False), totals, at_start)
+            scored = _phrase_scores(_phrase_hits(index, words, _view(index, words, fields, False), at_start), totals)
         else:
             units = materialise(_term_units(queries), "prefix-units")
             found = prefix_terms(index, units.select(F.col("term").alias("prefix")))
@@ -603,8 +607,62 @@ def search(
         complete = mode == "all"
         scores = _any_scores if not complete else _all_scores if near is None else _near_scores(near)
         best = _block_search(index, queries, asked, view, totals, complete, scores, k, limit_col, barred, prune_above)
-    shown = F.floor((F.col("points") + SHOWN // 2) / SHOWN) / float(POINTS // SHOWN)
-    return best.select("qid", "doc_id", shown.alias("score"), "rank")
+    return _shown(best)
+
+
+def _shown(best: DataFrame) -> DataFrame:
+    """The result's columns, with the score to as many digits as it is shown with."""
+    score = F.floor((F.col("points") + SHOWN // 2) / SHOWN) / float(POINTS // SHOWN)
+    return best.select("qid", "doc_id", score.alias("score"), "rank")
+
+
+def _of_phrases(queries: DataFrame, column: str, index: TextIndex) -> DataFrame:
+    """(qid, no, doc_id, tf, len): hits of each query's phrases, an array column; one without terms is none."""
+    phrases = queries.select("qid", F.posexplode(column).alias("no", "query")).select(F.struct("qid", "no").alias("qid"), "query")
+    words = materialise(_located(_words(phrases), index.buckets), "words")
+    return _phrase_hits(index, words, index.postings, False)
+
+
+def match(queries: DataFrame, index: TextIndex, k: int = DEFAULT_K, limit_col: str | None = None) -> DataFrame:
+    """Rank documents for queries that combine units of several kinds.
+
+    Columns, each of them optional and null where a query has none: `query` (text, all terms), `prefix` (text, a prefix
+    per term), `phrases` (array of texts), and what a document must not hold: `exclude` (text, any of its terms),
+    `exclude_phrases` (array of texts).  A document must hold all units, and its score sums theirs; texts
+    without terms ask for nothing, and a query that asks for no unit at all has no hits.  Returns what `search` does.
+    """
+    queries = queries.dropDuplicates(["qid"])
+    totals, parts = _totals(index.terms), []
+    if "query" in queries.columns:
+        asked = _located(_term_units(queries), index.buckets)
+        asked = asked.join(index.terms.select("term", F.col("n_docs").alias("n")), "term")
+        asked = materialise(asked.withColumn("idf", F.col("weight") * _idf(totals.n_docs, F.col("n"))), "asked")
+        on = _on(index.buckets)
+        ranges = materialise(_ranges(index.postings, asked, on, totals, True), "ranges")
+        parts.append(_all_scores(_open(index.postings, asked, ranges, on), totals))
+    if "prefix" in queries.columns:
+        units = _term_units(queries.select("qid", F.col("prefix").alias("query")))
+        parts.append(_prefix_scores(index, materialise(units, "prefix-units"), index.postings, totals))
+    if "phrases" in queries.columns:
+        scored = _phrase_scores(_of_phrases(queries, "phrases", index), totals)
+        parts.append(scored.select("qid.qid", "doc_id", "points"))
+    every = reduce(DataFrame.union, parts)
+
+    def asks(column: str) -> Column:
+        return (F.size(tokens(column)) > 0).cast("int") if column in queries.columns else F.lit(0)
+
+    phrases = F.lit(0)
+    if "phrases" in queries.columns:
+        phrases = F.size(F.filter(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: F.size(tokens(p)) > 0))
+    need = queries.select("qid", (asks("query") + asks("prefix") + phrases).alias("need"))
+    whole = every.groupBy("qid", "doc_id").agg(F.sum("points").alias("points"), F.count("*").alias("n"))
+    scored = whole.join(need, "qid").filter("n = need").select("qid", "doc_id", "points")
+    if "exclude" in queries.columns:
+        scored = scored.join(_barred(queries, index), ["qid", "doc_id"], "left_anti")
+    if "exclude_phrases" in queries.columns:
+        barred = _of_phrases(queries, "exclude_phrases", index).select("qid.qid", "doc_id")
+        scored = scored.join(barred, ["qid", "doc_id"], "left_anti")
+    return _shown(_best(scored, queries, k, limit_col))
 
 
 def search_entities(hits: DataFrame, entities: DataFrame, id_col: str = "id") -> DataFrame:

@@ -86,6 +86,30 @@ hits AS (SELECT unit, doc_id, count(*) AS tf FROM pairs JOIN post USING (term) G
 {_IDF}, {_ranked(True)}"""
 
 
+def _mixed_units() -> str:
+    """Hits of a term, a prefix and a two-word phrase, summed, without documents that hold another phrase."""
+    words = f"SELECT item_id AS qid, {_tok('text')} AS w FROM benchmark"
+
+    def pair(first: int) -> str:
+        return f"""SELECT qid, a.doc_id, count(*) AS tf FROM q JOIN post a ON a.term = w[{first}]
+  JOIN post b ON b.term = w[{first + 1}] AND b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1 GROUP BY ALL"""
+
+    return f"""WITH q AS ({words}), {_corpus(_ARTICLE_FIELDS)},
+hits AS (SELECT qid, 1 AS kind, doc_id, count(*) AS tf FROM q JOIN post ON term = w[3] GROUP BY ALL
+  UNION ALL SELECT qid, 2, doc_id, count(*) FROM q JOIN post ON starts_with(term, left(w[4], 2)) GROUP BY ALL
+  UNION ALL SELECT qid, 3, doc_id, tf FROM ({pair(1)})),
+barred AS ({pair(5)}),
+n AS (SELECT qid, kind, count(*) AS n FROM hits GROUP BY ALL),
+asked AS (SELECT *, CASE WHEN ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6
+  ELSE ln((n_docs - n + 0.5) / (n + 0.5)) END AS idf FROM n, tot),
+found AS (SELECT qid, doc_id, count(*) AS kinds,
+  sum(floor(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) * 1e12 + 0.5)::BIGINT)::BIGINT AS points
+  FROM hits JOIN asked USING (qid, kind) JOIN len USING (doc_id) GROUP BY qid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY points DESC, doc_id) AS rank FROM found
+  WHERE kinds = 3 AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM barred))
+SELECT qid, doc_id, ((points + 500000) // 1000000) / 1e6 AS score, rank FROM ranked WHERE rank <= 10"""
+
+
 def _near(distance: int, queries: str = _BENCH) -> str:
     span = distance + 1
     return f"""WITH queries AS ({queries}), {_corpus(_ARTICLE_FIELDS)},
@@ -288,6 +312,7 @@ prefixes AS (SELECT DISTINCT left(w, n) AS prefix FROM words, range(1, 6) r(n) W
 terms AS (SELECT DISTINCT unnest({_tok('text')}) AS term FROM documents)
 SELECT prefix, count(*) AS n, min(term) AS "first", max(term) AS "last" FROM prefixes JOIN terms
   ON starts_with(term, prefix) GROUP BY prefix""",
+        "mixed_units": _mixed_units(),
         "source_text_search": _search(
             True, _SOURCE_FIELDS, queries="SELECT DISTINCT source AS qid, source AS query FROM documents"
         ),

@@ -247,6 +247,17 @@ def _search_near(spark, sf):
     return text_index.search(queries, _index(spark, sf, "article"), near=6)
 
 
+def _match(spark, sf):
+    """A term, a phrase and the beginning of a word of each text, without what holds another phrase of it."""
+    words = text_index.tokens("query")
+    queries = _text_queries(spark, sf).select(
+        "qid", F.element_at(words, 3).alias("query"), F.substring(F.element_at(words, 4), 1, 2).alias("prefix"),
+        F.array(F.array_join(F.slice(words, 1, 2), " ")).alias("phrases"),
+        F.array(F.array_join(F.slice(words, 5, 2), " ")).alias("exclude_phrases"),
+    )
+    return text_index.match(queries, _index(spark, sf, "article"))
+
+
 def _prefix_terms(spark, sf):
     """Terms of the dictionary by the beginnings of words, of one to five characters."""
     words = _text_queries(spark, sf).select(F.explode(text_index.tokens("query")).alias("w"))
@@ -522,12 +533,18 @@ def _new_store(spark, name: str) -> Store:
     return Store(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", parts=4, buckets=2)
 
 
+_INDEX_RUNS: dict[tuple, tuple[DataFrame, Store]] = {}
+
+
 def _index_run(spark, sf) -> tuple[DataFrame, Store]:
-    """All articles indexed with vectors, after the labelled ones."""
-    store, docs = _new_store(spark, "articles"), _markdown(_documents(spark, sf))
-    labelled = docs.join(_table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    jobs.index_articles(store, labelled, version="first")
-    return jobs.index_articles(store, docs, embeddings=True, version="second", dim=DIM), store
+    """All articles indexed with vectors, after the labelled ones; done once in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEX_RUNS:
+        store, docs = _new_store(spark, "articles"), _markdown(_documents(spark, sf))
+        labelled = docs.join(_table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+        jobs.index_articles(store, labelled, version="first")
+        _INDEX_RUNS[key] = jobs.index_articles(store, docs, embeddings=True, version="second", dim=DIM), store
+    return _INDEX_RUNS[key]
 
 
 def _index_report(spark, sf):
@@ -699,6 +716,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "near": _search(near=40),
     "near_words": _search_near,
     "prefix_terms": _prefix_terms,
+    "mixed_units": _match,
     "source_text_search": _search_sources,
     "article_results": _search_entities,
     "term_stats": _term_stats,

@@ -97,6 +97,25 @@ def test_equals_sqlite(spark, indexes, options, cases):
         assert found == pytest.approx(sqlite_hits(random_rows(), match), abs=2e-6)
 
 
+def test_units_of_several_kinds(spark, indexes):
+    cases = [
+        ('alpha AND "river bank"', "alpha", None, ["river bank"], None, None),
+        ('riv* AND "the the" AND "of"', None, "riv", ["the the", "of", "--"], None, None),
+        ('(alpha AND bet*) NOT "the the"', "alpha", "bet", None, None, ["the the"]),
+        ('("the the" NOT gamma) NOT "river bank"', "", None, ["the the"], "gamma", ["--", "river bank"]),
+        ("the AND the", "the the", None, [], None, []),
+        (None, "--", None, None, "the", None),
+        (None, "missing", "riv", None, None, None),
+    ]
+    schema = "qid int, query string, prefix string, phrases array<string>, exclude string, exclude_phrases array<string>"
+    queries = spark.createDataFrame([(n, *c[1:]) for n, c in enumerate(cases)], schema)
+    got = ti.match(queries, indexes["random"], k=1000).collect()
+    for n, (query, *_) in enumerate(cases):
+        want = sqlite_hits(random_rows(), query) if query else {}
+        assert {r.doc_id: r.score for r in got if r.qid == n} == pytest.approx(want, abs=2e-6)
+    assert {n for n, *_ in enumerate(cases) if any(r.qid == n for r in got)} == {0, 1, 2, 3, 4}
+
+
 def test_golden_scores(spark, indexes):
     golden = indexes["golden"]
     assert spark_hits(spark, golden, "QUANTUM") == {"a": 1.353783}
