@@ -102,7 +102,9 @@ class Model:
         return np.stack([(mix(k + s) >> shift).astype(np.int32) for k, s in zip(keys, _SLOTS, strict=True)], axis=1)
 
     def class_probabilities(self, features: np.ndarray) -> np.ndarray:
-        z = self.weights[features].sum(axis=1)
+        z = self.weights.take(features[:, 0], axis=0)
+        for column in features.T[1:]:
+            z += self.weights.take(column, axis=0)
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         return z / z.sum(axis=1, keepdims=True)
@@ -257,10 +259,11 @@ class _Learner:
         m = self.model
         slope = m.class_probabilities(features)
         slope[np.arange(len(classes)), classes] -= 1
-        order = np.argsort(features.ravel(), kind="stable")
+        # As 16-bit numbers, which hold every row, they are sorted by digits.
+        order = np.argsort(features.ravel().astype(np.uint16), kind="stable")
         rows = features.ravel()[order]
         begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        sums = np.add.reduceat(slope[order // features.shape[1]], begins, axis=0)
+        sums = np.add.reduceat(slope.take(order // features.shape[1], axis=0), begins, axis=0)
         rows = rows[begins]
         self.squares[rows] += (sums**2).sum(axis=1)
         m.weights[rows] -= self.rate * sums / np.sqrt(self.squares[rows])[:, None]
