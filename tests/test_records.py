@@ -46,17 +46,33 @@ def replay_ingest(current, files):
 
 def test_known_urls_equal_replay(spark):
     rng = random.Random(5)
-    for _ in range(2):
+    for replay in (0, ingest.REPLAYED, ingest.REPLAYED):
         current = {f"i{k}": f"u{k}" for k in rng.sample(range(6), 3)}
         files = [
             (f"p{n:03d}", f"i{rng.randint(0, 6)}", f"u{rng.randint(0, 6)}") for n in range(25)
         ]
         df = table(spark, files, "path string, id string, url string")
-        routed = ingest.drop_known_urls(df, table(spark, list(current.items())))
+        routed = ingest.drop_known_urls(df, table(spark, list(current.items())), replay)
         got = {r.path: r.existing_id for r in routed.collect()}
         assert got == replay_ingest(current, files)
 
 
+def test_long_chain(spark, monkeypatch):
+    """Each file frees the url of the next, 200 times; the number of tables written does not follow the chain."""
+    written = []
+    real = ingest.materialise
+    monkeypatch.setattr(ingest, "materialise", lambda df, name: written.append(name) or real(df, name))
+    counts = []
+    for n in (3, 200):
+        files = [(f"p{k:04d}a", f"i{k}", f"u{k}") for k in range(n)] + [(f"p{k:04d}b", f"i{k}", f"u{k + 1}") for k in range(n)]
+        df = table(spark, sorted(files), "path string, id string, url string")
+        got = {r.path: r.existing_id for r in ingest.drop_known_urls(df, table(spark, [(f"i{n}", "u0")])).collect()}
+        assert got == replay_ingest({f"i{n}": "u0"}, sorted(files))
+        counts.append(len(written))
+        written.clear()
+    assert counts[0] == counts[1]
+
+
 def test_freed_url(spark):
     files = [("a", "X", "u1"), ("b", "X", "u2"), ("c", "Y", "u1")]
     df = table(spark, files, "path string, id string, url string")
