@@ -152,7 +152,7 @@ def _deviation(rows: DataFrame, model: Whitening):
         _difference(model.n, model.sums), F.lit(0).cast("decimal(38,0)"),
         lambda a, v: (a + v.cast("decimal(19,0)") * v.cast("decimal(19,0)")).cast("decimal(38,0)"),
     )
-    return F.when(total < F.lit(2**63).cast("decimal(38,0)"), total).try_cast("long")
+    return F.when(total < F.lit(str(2**63)).cast("decimal(38,0)"), total).try_cast("long")
 
 
 def whiten(vectors: DataFrame, column: str = "embedding", components: int = COMPONENTS) -> DataFrame:
