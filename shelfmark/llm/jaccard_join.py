@@ -13,8 +13,8 @@ subset agrees with any match in at least g groups, and if e < g one of them is n
 e >= g give their empty signatures too.  So no link is lost.
 
 Members of a signature's bucket are compared with its first (counts and minima are summed on the map side; within an
-Arrow batch before any shuffle), on the whole sets: each set with one first only to begin with, then, in the buckets
-whose members are not all in one component yet, with all others.  Buckets that are still split form
+Arrow batch before any shuffle), on the whole sets, each set with the least of its firsts.  Buckets whose members are
+then not all in one component form
 clusters with those they share members with, and all sets of a cluster are compared: in cells of two blocks of
 about BLOCK_ITEMS features and BLOCK_SETS sets at most each, by products of incidence matrices that only leave the task as a forest
 of the links found.  So hot groups of near copies never give all pairs.  Equal sets are one class from the start.
@@ -352,22 +352,12 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
         sets = written(_sets(rows, ids, width), "sets")
         return written(_verified(pairs, sets, of).where("links").select("a", "b"), "links")
 
-    # One first for each set; then, across the components these links give, every other one.
-    pairs = written(of_rep(buckets.select("a", "doc")).where("a < b"), "first-pairs")
-    once = pairs.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = check(candidates(once))
+    # One first for each set; what is then still apart goes to the cells, where a set travels with others, not by the pair.
+    pairs = of_rep(buckets.select("a", "doc")).where("a < b")
+    links = check(candidates(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
     found = components(links)
 
-    def component_of(side: str) -> DataFrame:
-        return found.select(F.col("id").alias(side), F.col("component").alias(f"component_{side}"))
-
-    apart = pairs.join(component_of("a"), "a", "left").join(component_of("b"), "b", "left").where(
-        F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
-    )
-    links = links.union(check(candidates(apart.select("a", "b"))))
-    found = components(links)
-
-    # Buckets that a failed pair left in several components: compare across those.
+    # Buckets with members in several components: compare across those.
     in_rep = (
         buckets.join(by_rep.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a")
         .join(by_rep.select("doc", F.col("rep").alias("rd")), "doc")
