@@ -259,12 +259,12 @@ class _Learner:
         m = self.model
         slope = m.class_probabilities(features)
         slope[np.arange(len(classes)), classes] -= 1
-        # As 16-bit numbers, which hold every row, they are sorted by digits.
-        order = np.argsort(features.ravel().astype(np.uint16), kind="stable")
-        rows = features.ravel()[order]
-        begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        sums = np.add.reduceat(slope.take(order // features.shape[1], axis=0), begins, axis=0)
-        rows = rows[begins]
+        keys, table = features.T.ravel().astype(np.intp), len(m.weights)
+        rows = np.flatnonzero(np.bincount(keys, minlength=table))
+        # Summed class by class: one class's sums of all rows stay in the cache.
+        sums = np.empty((len(rows), slope.shape[1]))
+        for c, own in enumerate(slope.T.astype(float)):
+            sums[:, c] = np.bincount(keys, weights=np.tile(own, features.shape[1]), minlength=table)[rows]
         self.squares[rows] += (sums**2).sum(axis=1)
         m.weights[rows] -= self.rate * sums / np.sqrt(self.squares[rows])[:, None]
 
