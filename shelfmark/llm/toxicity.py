@@ -14,8 +14,9 @@ the words that tell most are taken.  Equal texts are one bag.  Instances are wor
 witnesses, also with a character inserted, against the clean words nearest to any landmark.  A linear machine with
 squared hinge loss is fitted on their Nystroem features.
 
-A text is judged by its two worst words: a logistic curve, fitted on the sampled documents, maps their
-margins to a probability, moved so that 0.7 is where errors on the sample are fewest.
+A text is judged by its two worst words and by how many of its words begin with a landmark, which the kernel, blind to
+places, cannot tell from words that hold it inside: a logistic curve, fitted on the sampled documents, maps the two
+margins and that count to a probability, moved so that 0.7 is where errors on the sample are fewest.
 Words are lower-cased (A-Z) and freed of characters other than letters and digits; a run of at least three single
 letters ("i d i o t") is a word too.  The pieces between such characters are judged as well, and above LONGEST bytes
 instead, single letters among them put together.  No word is cut: a long one is judged in overlapping windows, the
@@ -155,18 +156,18 @@ class Landmarks:
         return out
 
 
-def _clipped(worst: np.ndarray) -> np.ndarray:
-    return np.hstack([np.clip(worst, -1.5, 1.5), np.ones((len(worst), 1))])
+def _clipped(signs: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip(signs[:, :2], -1.5, 1.5), np.log1p(signs[:, 2:]), np.ones((len(signs), 1))])
 
 
 @dataclass
 class Machine:
-    """A fitted machine; `weights` act on the kernel with the landmarks, `curve` on the two worst margins."""
+    """A fitted machine; `weights` act on the kernel with the landmarks, `curve` on a text's signs."""
 
     landmarks: list[bytes]
     weights: np.ndarray
     bias: float
-    curve: tuple[float, float, float] = (2.0, 2.0, 0.0)
+    curve: tuple[float, float, float, float] = (2.0, 2.0, 0.0, 0.0)
 
     def margins(self, words: list[bytes]) -> np.ndarray:
         if not hasattr(self, "_row"):
@@ -216,8 +217,15 @@ class Machine:
         apart = margin[(word != word[top]) | (np.abs(start - start[top]) >= width)]
         return [margin[top], apart.max() if len(apart) else -np.inf]
 
-    def scores(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_clipped(worst) @ self.curve, -30, 30)))
+    def begins(self, runs: list[bytes]) -> np.ndarray:
+        """Whether each run begins with a landmark."""
+        known = set(self.landmarks)
+        lengths = sorted({len(w) for w in known})
+        words = map(normal, runs)
+        return np.fromiter((any(w[:n] in known for n in lengths) for w in words), dtype=bool, count=len(runs))
+
+    def scores(self, signs: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_clipped(signs) @ self.curve, -30, 30)))
 
 
 def sentence_words(text: str) -> set[bytes]:
@@ -413,16 +421,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     else:
         w, b = root @ np.ones(len(landmarks)), -0.5
     machine = Machine(landmarks, root @ w, b)
-    judged = _worst_of(labelled, machine).toPandas()
-    machine.curve = _fit_curve(judged[["first", "second"]].to_numpy(), judged["toxic"].to_numpy())
+    judged = _signs_of(labelled, machine).toPandas()
+    machine.curve = _fit_curve(judged[["first", "second", "begin"]].to_numpy(), judged["toxic"].to_numpy())
     return machine
 
 
-def _fit_curve(worst: np.ndarray, toxic: np.ndarray, least: float = 0.7) -> tuple[float, float, float]:
+def _fit_curve(signs: np.ndarray, toxic: np.ndarray, least: float = 0.7) -> tuple[float, float, float, float]:
     """A logistic curve by Newton steps, shifted so that `least` parts the sample with the fewest errors."""
-    x, y = _clipped(worst), toxic.astype(float)
-    w = np.zeros(3)
-    ridge = np.diag([1.0, 1.0, 1e-6])
+    x, y = _clipped(signs), toxic.astype(float)
+    w = np.zeros(4)
+    ridge = np.diag([1.0, 1.0, 1.0, 1e-6])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w - np.linalg.solve(ridge + (x * (p * (1 - p))[:, None]).T @ x, ridge @ w + x.T @ (p - y))
@@ -436,32 +444,34 @@ def _fit_curve(worst: np.ndarray, toxic: np.ndarray, least: float = 0.7) -> tupl
     width = edge[best + 1] - edge[best]
     i = best[np.argmax(width)]
     cut = edge[i] + 0.5 * (edge[i + 1] - edge[i])
-    return float(w[0]), float(w[1]), float(w[2] - cut + math.log(least / (1 - least)))
+    return *map(float, w[:3]), float(w[3] - cut + math.log(least / (1 - least)))
 
 
-def _worst_of(labelled: DataFrame, machine: Machine) -> DataFrame:
-    """(toxic, first, second): the margins of the two worst words of each document."""
+def _signs_of(labelled: DataFrame, machine: Machine) -> DataFrame:
+    """(toxic, first, second, begin): the signs of each document."""
 
     def run(batches):
         for batch in by_bytes(batches):
-            worst = _worst(machine, batch["text"])
-            columns = [batch["toxic"], pa.array(worst[:, 0].copy()), pa.array(worst[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "first", "second"])
+            columns = [batch["toxic"], *map(pa.array, _signs(machine, batch["text"]).T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "first", "second", "begin"])
 
-    return labelled.select("text", "toxic").mapInArrow(run, "toxic int, first double, second double")
+    return labelled.select("text", "toxic").mapInArrow(run, "toxic int, first double, second double, begin double")
 
 
-def _worst(judge: Machine, texts) -> np.ndarray:
-    """The two largest word margins of every text."""
+def _signs(judge: Machine, texts) -> np.ndarray:
+    """The two largest word margins of every text, and how many of its words begin with a landmark."""
     words = Words(texts, lower=True)
     counts = words.counts()
     worst = np.full((len(counts), 2), judge.bias)
+    begin = np.zeros(len(counts))
     if len(words.hashes):
         data = words.data.tobytes()
         distinct, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
         spans = zip(words.begin[first].tolist(), words.end[first].tolist(), strict=True)
-        margin, next_margin = judge.run_margins([data[i:j] for i, j in spans])[place].T
+        runs = [data[i:j] for i, j in spans]
+        margin, next_margin = judge.run_margins(runs)[place].T
         row = np.repeat(np.arange(len(counts)), counts)
+        begin += np.bincount(row, weights=judge.begins(runs)[place], minlength=len(counts))
         some = np.flatnonzero(counts)
         begins = words.starts[some]
         worst[some, 0] = np.maximum.reduceat(margin, begins)
@@ -481,11 +491,11 @@ def _worst(judge: Machine, texts) -> np.ndarray:
         if spaced:
             for r, m in zip(owner, judge.run_margins(spaced).tolist(), strict=True):
                 worst[r] = sorted([*worst[r], *m])[:-3:-1]
-    return worst
+    return np.column_stack([worst, begin])
 
 
 def _scores(judge: Machine, texts) -> np.ndarray:
-    return judge.scores(_worst(judge, texts))
+    return judge.scores(_signs(judge, texts))
 
 
 def scored(docs: DataFrame, machine: Machine | None, name: str = "__llm_score") -> DataFrame:

@@ -164,3 +164,24 @@ def test_toxicity_without_labels(spark, labelled):
     assert toxicity.train(docs, labels.limit(0)) is None
     assert toxicity.train(docs.limit(0), labels) is None
     assert {r["__llm_score"] for r in toxicity.scored(docs, None).collect()} == {0.0}
+
+
+def test_toxicity_ranks_by_how_words_begin(spark):
+    rng = np.random.default_rng(5)
+    parts = ["en", "ver", "heit", "ung", "tz", "schen", "lich", "keit", "ge", "ie"]
+
+    def word(before="", after=""):
+        return before + "".join(rng.choice(parts, 2)) + after
+
+    def text(marks):
+        words = [word() for _ in range(60)] + [word(after="achlich") + rng.choice(parts) for _ in range(6)]
+        return " ".join(rng.permutation([*words, *[word("achlich") for _ in range(marks)]]))
+
+    toxic = [int(i % 8 == 0) for i in range(480)]
+    rows = [(i, text(4 if t else int(i % 7 == 1))) for i, t in enumerate(toxic)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic) if i < 320], "doc_id long, toxic int")
+    found = toxicity.scored(docs, toxicity.train(docs, labels), "score").where("doc_id >= 320").collect()
+    marked = [r["score"] for r in found if toxic[r["doc_id"]]]
+    clean = [r["score"] for r in found if not toxic[r["doc_id"]]]
+    assert np.mean([m > c for m in marked for c in clean]) > 0.95
