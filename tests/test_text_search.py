@@ -241,3 +241,40 @@ def test_no_documents(spark):
     index = ti.build_index(frame(spark, []), FIELDS)
     for options in ({}, {"mode": "any"}, {"mode": "phrase"}, {"mode": "prefix"}, {"near": 3}):
         assert spark_hits(spark, index, "alpha beta", **options) == {}
+
+
+def test_build_tasks_follow_the_text(spark, monkeypatch):
+    """The more text, the more tasks index it; and blocks do not depend on how rows come in batches, also of odd ids."""
+    monkeypatch.setattr(ti, "TASK_BYTES", 100, raising=False)
+    rows = random_rows(90)
+    rows += [("r005", "river river", "the", None), (None, "bank", None, None), (None, "the bank", "of", ""), ("empty", None, None, None)]
+    docs = frame(spark, rows)
+    size = sum(len((t or "").encode()) for _, *texts in rows for t in texts)
+    built = ti.build_index(docs, FIELDS, range_docs=8)
+    assert built.postings.rdd.getNumPartitions() >= size / 100 > 100
+    few = ti.build_postings(docs, FIELDS, F.pmod(F.xxhash64("id"), F.lit(12)), "id", 2)
+    plain = {(r.term, r.range): r for r in few.collect()}
+    monkeypatch.setattr(ti, "RANGE_DOCS", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {(r.term, r.range): r for r in few.collect()} == plain
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    every = {d: (tf, n, places) for r in plain.values() if r.term == ti.EVERY_DOC for d, tf, n, places in zip(r.docs, r.tfs, r.lens, r.places, strict=True)}
+    assert len(every) == 92 and every[None] == (2, 3, []) and every["empty"] == (1, 0, [])
+    bank = {d: places for r in plain.values() if r.term == "bank" for d, places in zip(r.docs, r.places, strict=True)}
+    assert bank[None] == [0, 1]
+    river = {d: places for r in plain.values() if r.term == "river" for d, places in zip(r.docs, r.places, strict=True)}
+    assert river["r005"] == sorted(river["r005"]) and 0 in river["r005"] and 1 in river["r005"]
+
+
+def test_scores_stay_in_their_range(spark, indexes):
+    """Hits of any term are summed where the blocks of a range lie; only the best of them are shuffled, also with limits."""
+    queries = spark.createDataFrame([(1, "river bank the", 3), (2, "of gamma", 0), (3, "alpha", None)], "qid int, query string, limit int")
+    found = ti.search(queries, indexes["random"], mode="any", limit_col="limit")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(qid" in line and "doc_id" in line.split("ENSURE")[0]]
+    best = sqlite_hits(random_rows(), "river OR bank OR the")
+    ids = sorted(best, key=lambda i: (-round(best[i], 12), i))[:3]
+    assert [(r.qid, r.doc_id) for r in found.orderBy("rank").collect()] == [(1, i) for i in ids]
