@@ -278,3 +278,15 @@ def test_scores_stay_in_their_range(spark, indexes):
     best = sqlite_hits(random_rows(), "river OR bank OR the")
     ids = sorted(best, key=lambda i: (-round(best[i], 12), i))[:3]
     assert [(r.qid, r.doc_id) for r in found.orderBy("rank").collect()] == [(1, i) for i in ids]
+
+
+def test_blocks_are_stored_where_they_are_made(spark):
+    """Only the texts are shuffled; their blocks, which are much larger, are not."""
+    index = ti.build_index(frame(spark, random_rows(20)), FIELDS, range_docs=4)
+    stored = ti.by_bucket(index.postings, 2)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    rows = stored.select("bucket", "term", F.spark_partition_id().alias("task")).collect()
+    for task in {r.task for r in rows}:
+        mine = [(r.bucket, r.term) for r in rows if r.task == task]
+        assert mine == sorted(mine)
