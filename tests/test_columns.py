@@ -1,13 +1,15 @@
 """Column transforms against golden rows and independent Python."""
 
 import base64
+import hashlib
 import struct
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import extract
+from shelfmark.functions import extract, vectors
 from shelfmark.functions.ids import rekey_ulid
 from shelfmark.functions.text import tokens, trim_blanks
 from shelfmark.functions.vectors import cosine, decode_embedding, hashed_embedding, unit_length
@@ -86,6 +88,22 @@ def test_hashed_embedding(spark):
         assert length == pytest.approx(1.0, abs=1e-5) or (dim == 1 and length == 0)
 
 
+def test_slots_are_counted_by_batch(spark):
+    """Signed counts of places from one table of distinct terms, as a count in Python gives them."""
+    texts = [["a", "b", "a"], [], None, [f"t{n % 37}" for n in range(500)]]
+    for dim in (1, 5, 64):
+        want = []
+        for terms in texts:
+            counts = [0] * dim
+            for t in terms or []:
+                slot = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % (2 * dim)
+                counts[slot // 2] += 1 if slot % 2 == 0 else -1
+            want.append(counts if terms else None)
+        assert vectors.slot_counts(pa.array(texts, pa.list_(pa.string())), dim).to_pylist() == want
+        got = column(spark, [None if t is None else " ".join(t) for t in texts], lambda c: hashed_embedding(c, dim))
+        assert got == want
+
+
 def front_matter(spark, contents, **options):
     df = spark.createDataFrame(list(enumerate(contents)), "i int, content string")
     parsed = extract.extract_front_matter(
