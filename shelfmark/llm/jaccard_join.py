@@ -29,17 +29,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, by_bytes, forest, grouped, mix, table, windows_hash, written
+from .common import Words, by_bytes, forest, grouped, mix, scratch, table, windows_hash, written
 from .components import components
 
 _ROW = np.uint64(48)
 _FEATURE = np.uint64((1 << 48) - 1)
+_KEY = ~np.uint64(0xFFFF)  # 48 bits of a signature; pairs that meet by chance are compared like all others
 _SALT = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 SMALL = 8
 BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 1 << 18, 1024, 2048
+BYTES = 6  # that hold a feature
 
 
 class Features:
@@ -160,7 +162,7 @@ def _signatures(f: Features, bands: Bands, chosen: np.ndarray, step: int) -> tup
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
     """The rows with a number `__llm_row`, written once so that it stays the same for every step."""
-    return written(docs.withColumn("__llm_row", F.monotonically_increasing_id()), "numbered-rows")
+    return written(docs.withColumn("__llm_row", F.monotonically_increasing_id()), "numbered-rows", compression="zstd")
 
 
 def _input(rows: DataFrame) -> DataFrame:
@@ -199,7 +201,7 @@ def signatures(rows: DataFrame, width: int, of: int, largest: int) -> DataFrame:
             again = np.append(False, (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]]))
             chosen = np.sort(order[~again])
             made = [_signatures(f, bands, chosen, step) for step in (0, 1)]
-            sig = np.concatenate([m[0] for m in made]).view(np.int64)
+            sig = (np.concatenate([m[0] for m in made]) & _KEY).view(np.int64)
             doc = docs_here[np.concatenate([m[1] for m in made])]
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
@@ -223,42 +225,88 @@ def signatures(rows: DataFrame, width: int, of: int, largest: int) -> DataFrame:
     return _input(rows).mapInArrow(run, "key long, doc long, first long, sig long")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, size, items) of the wanted documents; the items are 48-bit features as long numbers."""
+def packed(values: np.ndarray) -> np.ndarray:
+    """The 48-bit features as bytes, six for each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]).reshape(-1)
+
+
+def unpacked(raw: list[bytes]) -> np.ndarray:
+    """The features of packed sets, one set after the other."""
+    data = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BYTES)
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, :BYTES] = data
+    return wide.view("<u8").reshape(-1)
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these numbers (doc).  The numbers go to the texts, one bit for each, as texts are much larger."""
+    bits = ids.groupBy(F.bitmap_bucket_number("doc").alias("range")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("doc")).alias("bits")
+    )
+    at = F.bitmap_bit_position("__llm_row")
+    byte = F.conv(F.hex(F.substr("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    ranged = rows.withColumn("range", F.bitmap_bucket_number("__llm_row")).join(written(bits, "marks"), "range")
+    return ranged.where(F.getbit(byte, (at % 8).cast("int")) == 1)
+
+
+def _sets(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """The rows of `places` (doc and other columns) with the size and items of that document's set.
+
+    Sets are made from the texts of these documents only, and no text is shuffled.
+    """
 
     def run(batches):
         for batch in by_bytes(batches):
             f = Features(batch["text"], width)
-            raw = f.values.astype("<u8").tobytes()
-            borders = (f.starts * 8).tolist()
+            raw = packed(f.values).tobytes()
+            borders = (f.starts * BYTES).tolist()
             items = [raw[i:j] for i, j in zip(borders[:-1], borders[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc"], pa.array(f.sizes.astype(np.int32)), pa.array(items, pa.binary())],
                 names=["doc", "size", "items"],
             )
 
-    return _input(rows).join(wanted, "doc").mapInArrow(run, "doc long, size int, items binary")
+    made = _input(_marked(rows, places.select("doc"))).mapInArrow(run, "doc long, size int, items binary")
+    return made.join(places, "doc")
+
+
+def _blocks(size: str) -> Column:
+    """How many blocks hold these sets, of about BLOCK_ITEMS features and BLOCK_SETS sets at most each."""
+    return F.greatest(F.ceil(F.sum(size) / BLOCK_ITEMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, of: int) -> DataFrame:
-    """The pairs (a, b) with `links`, whether their whole sets are as similar as asked."""
+def _first_links(pairs: DataFrame, rows: DataFrame, width: int, of: int) -> DataFrame:
+    """The pairs (a, b, size_b), of which each `b` has one, that are links: their whole sets are as similar as asked.
+
+    The sets b of one `a` meet in blocks with a copy of a's set in each, so that a set travels once.
+    """
+    blocks = written(pairs.groupBy("a").agg(_blocks("size_b").alias("blocks")), "first-blocks")
+    block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    others = pairs.join(blocks, "a").select(F.col("b").alias("doc"), "a", block.alias("block"))
+    firsts = blocks.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    sets = _sets(rows, written(others.union(firsts), "first-places"), width)
 
     def run(batches):
-        for batch in batches:
-            left, right = batch["items_a"].to_pylist(), batch["items_b"].to_pylist()
-            links = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                links.append(100 * same >= of * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(links, pa.bool_())], names=["a", "b", "links"])
-
-    a, b = (sets.select(F.col("doc").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "items_a", "items_b").mapInArrow(
-        run, "a long, b long, links boolean"
-    )
+        for group in grouped(batches, ("a", "block")):
+            found = _like_first(group, of)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b"])
+
+    return sets.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(run, "a long, b long")
+
+
+def _like_first(group: pa.Table, of: int):
+    """(a, b) of the links between a's set and the others of a block."""
+    doc, size, a = (group[c].to_numpy() for c in ("doc", "size", "a"))
+    items = unpacked(group["items"].combine_chunks().to_pylist())
+    row = np.repeat(np.arange(len(doc)), size)
+    first = int(np.flatnonzero(doc == a)[0])
+    mine = items[row == first]  # ascending
+    at = np.searchsorted(mine, items)
+    same = np.bincount(row[mine[np.minimum(at, len(mine) - 1)] == items], minlength=len(doc))
+    links = 100 * same >= of * (size.astype(np.int64) + size[first] - same)
+    links[first] = False
+    return (a[links], doc[links]) if links.any() else None
 
 
 def _cell_links(cells: DataFrame, of: int) -> DataFrame:
@@ -277,8 +325,7 @@ def _linked(cell: pa.Table, of: int):
     ids, component, side, size = (cell[c].to_numpy() for c in ("id", "component", "side", "size"))
     if len(ids) < 2 or component.min() == component.max():
         return None
-    raw = cell["items"].combine_chunks()
-    features = np.frombuffer(b"".join(raw.to_pylist()), "<u8")
+    features = unpacked(cell["items"].combine_chunks().to_pylist())
     _, column, count = np.unique(features, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(ids)), size)
     # Features of one set alone are in no intersection.
@@ -336,7 +383,7 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
         return (
             found.where("a < b").distinct().join(a, "a").join(b, "b")
             .where(f"100 * least(size_a, size_b) >= {of} * greatest(size_a, size_b)")
-            .select("a", "b")
+            .select("a", "b", "size_b")
         )
 
     def of_rep(found: DataFrame) -> DataFrame:
@@ -345,16 +392,10 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
         b = by_rep.select("doc", F.col("rep").alias("y"))
         return found.distinct().join(a, "a").join(b, "doc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links."""
-        pairs = written(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        sets = written(_sets(rows, ids, width), "sets")
-        return written(_verified(pairs, sets, of).where("links").select("a", "b"), "links")
-
     # One first for each set; what is then still apart goes to the cells, where a set travels with others, not by the pair.
     pairs = of_rep(buckets.select("a", "doc")).where("a < b")
-    links = check(candidates(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    pairs = written(candidates(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "pairs")
+    links = written(_first_links(pairs, rows, width, of), "links")
     found = components(links)
 
     # Buckets with members in several components: compare across those.
@@ -377,17 +418,14 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
         member = member.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id", "left")
         member = member.select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
         member = written(member.join(sizes.withColumnRenamed("doc", "id"), "id"), "clustered")
-        blocks = member.groupBy("cluster").agg(
-            F.greatest(F.ceil(F.sum("size") / BLOCK_ITEMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks")
-        )
+        blocks = member.groupBy("cluster").agg(_blocks("size").alias("blocks"))
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        cells = member.join(blocks, "cluster").withColumn("own", own)
+        cells = member.drop("size").join(blocks, "cluster").withColumn("own", own)
         cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-            "cluster", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            F.col("id").alias("doc"), "cluster", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             (F.col("own") <= F.col("other")).cast("int").alias("side"),
         )
-        sets = _sets(rows, member.select(F.col("id").alias("doc")), width)
-        cells = cells.join(written(sets.withColumnRenamed("doc", "id"), "cell-sets"), "id")
+        cells = _sets(rows, written(cells, "cell-places"), width).withColumnRenamed("doc", "id")
         cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         more = written(_cell_links(cells, of), "cell-links")
         if more.take(1):
@@ -400,7 +438,8 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
 
 def _named(rows: DataFrame, width: int, of: int) -> DataFrame:
     """(doc, doc_id, size, component, component_id): every row with its component and that one's smallest doc_id."""
-    found = written(near_components(rows, width, of), "components")
+    with scratch(rows.sparkSession):
+        found = written(near_components(rows, width, of), "components", keep=True)
     ids = rows.select(F.col("__llm_row").alias("doc"), "doc_id")
     least = found.join(ids, "doc").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(ids, "doc").join(least, "component").select("doc", "doc_id", "size", "component", "component_id")

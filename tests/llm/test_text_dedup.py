@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 
 import brute
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 
 from shelfmark.llm import exact_dedup, jaccard_join, substring_dedup
+from shelfmark.plans.shared import shared_folder
 
 
 def normal(text):
@@ -117,6 +119,26 @@ def test_jaccard_split_clusters(spark, monkeypatch):
     assert jaccard(spark, rows, 4, 85) == sorted(brute.jaccard_components(rows, 4, 85), key=str)
 
 
+def test_jaccard_first_in_blocks(spark, monkeypatch):
+    """Many near copies of one text are compared with it in several blocks; each set travels in six bytes a feature."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*base[: 300 - k], f"z{k}"])) for k in range(40)] + [(90, " ".join(base[::-1]))]
+    assert jaccard(spark, rows, 4, 85) == sorted(brute.jaccard_components(rows, 4, 85), key=str)
+    values = np.array([0, 1, 2**48 - 1, 2**40 + 7], dtype=np.uint64)
+    raw = jaccard_join.packed(values).tobytes()
+    assert len(raw) == 24 and (jaccard_join.unpacked([raw[:6], raw[6:], b""]) == values).all()
+
+
+def test_jaccard_leaves_its_result_only(spark):
+    """The tables of the steps are gone when the components are written."""
+    before = set(os.listdir(shared_folder(spark)))
+    rows = [(k, " ".join(f"w{i}" for i in range(k, k + 60))) for k in range(20)]
+    assert len(jaccard(spark, rows, 4, 85)) == 20
+    left = set(os.listdir(shared_folder(spark))) - before
+    assert sorted(name.rsplit("-", 1)[0] for name in left) == ["components", "numbered-rows"]
+
+
 def test_jaccard_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(5, text), (2, text + " more"), (9, "other"), (None, text), (3, None), (4, ""), (None, ""), (None, "twice"), (None, "twice")]
