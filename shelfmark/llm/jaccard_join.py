@@ -278,7 +278,7 @@ def _blocks(size: str) -> Column:
 def _first_links(pairs: DataFrame, rows: DataFrame, width: int, of: int) -> DataFrame:
     """The pairs (a, b, size_b), of which each `b` has one, that are links: their whole sets are as similar as asked.
 
-    The sets b of one `a` meet in blocks with a copy of a's set in each, so that a set travels once.
+    The sets b of one `a` meet in blocks with a copy of a's set in each, so that a set goes to one block and no pair carries two sets.
     """
     blocks = written(pairs.groupBy("a").agg(_blocks("size_b").alias("blocks")), "first-blocks")
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
