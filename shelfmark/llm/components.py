@@ -34,3 +34,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(id, component) of every `b` of links (a, b) that name one smaller `a` for each b, so they are trees.
+
+    A step hangs each node under its parent's parent, so paths shorten by halves.
+    """
+    found = written(links.select(F.col("b").alias("id"), F.col("a").alias("component")), "parents")
+    while True:
+        above = found.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        up = found.join(above, "component", "left")
+        up = written(up.select("id", F.coalesce("above", "component").alias("component"), F.isnotnull("above").alias("moved")), "parents")
+        found = up.drop("moved")
+        if not up.where("moved").take(1):
+            return found

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, by_bytes, forest, grouped, mix, scratch, table, windows_hash, written
-from .components import components
+from .components import components, roots
 
 _ROW = np.uint64(48)
 _FEATURE = np.uint64((1 << 48) - 1)
@@ -42,6 +42,7 @@ _SALT = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0x
 SMALL = 8
 BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 1 << 18, 1024, 2048
 BYTES = 6  # that hold a feature
+BATCH = 1 << 20  # bytes of text of which signatures and sets are made at a time, as a worker keeps the memory it once took
 
 
 class Features:
@@ -173,7 +174,7 @@ def set_sizes(rows: DataFrame, width: int) -> DataFrame:
     """(doc, size, digest1, digest2) of every row's set."""
 
     def run(batches):
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=BATCH):
             f = Features(batch["text"], width)
             one, two = f.digests()
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +194,7 @@ def signatures(rows: DataFrame, width: int, of: int, largest: int) -> DataFrame:
     bands = Bands(of, largest)
 
     def run(batches):
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=BATCH):
             f = Features(batch["text"], width)
             one, two = f.digests()
             docs_here = batch["doc"].to_numpy(zero_copy_only=False)
@@ -252,22 +253,27 @@ def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def _sets(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
     """The rows of `places` (doc and other columns) with the size and items of that document's set.
 
-    Sets are made from the texts of these documents only, and no text is shuffled.
+    Sets are made from the texts of these documents only.  The texts, which compress better than sets, go to their places,
+    unless these are few; a set goes from there to where it is compared.
     """
+    columns = [c for c in places.columns if c != "doc"]
+    lists = places.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("places"))
 
     def run(batches):
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=BATCH):
             f = Features(batch["text"], width)
             raw = packed(f.values).tobytes()
             borders = (f.starts * BYTES).tolist()
             items = [raw[i:j] for i, j in zip(borders[:-1], borders[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"], pa.array(f.sizes.astype(np.int32)), pa.array(items, pa.binary())],
-                names=["doc", "size", "items"],
+                [batch["doc"], pa.array(f.sizes.astype(np.int32)), pa.array(items, pa.binary()), batch["places"]],
+                names=["doc", "size", "items", "places"],
             )
 
-    made = _input(_marked(rows, places.select("doc"))).mapInArrow(run, "doc long, size int, items binary")
-    return made.join(places, "doc")
+    texts = _input(_marked(rows, places.select("doc"))).join(lists, "doc")
+    schema = f"doc long, size int, items binary, places {lists.schema['places'].dataType.simpleString()}"
+    made = texts.select("doc", "text", "places").mapInArrow(run, schema)
+    return made.select("doc", "size", "items", F.explode("places").alias("p")).select("doc", "size", "items", "p.*")
 
 
 def _blocks(size: str) -> Column:
@@ -310,7 +316,7 @@ def _like_first(group: pa.Table, of: int):
 
 
 def _cell_links(cells: DataFrame, of: int) -> DataFrame:
-    """(a, b): of every cell's links between components a forest.  Cells come one after the other."""
+    """(a, b): of the components that a cell's links join a forest.  Cells come one after the other."""
 
     def run(batches):
         for cell in grouped(batches, ("cluster", "i", "j")):
@@ -346,8 +352,9 @@ def _linked(cell: pa.Table, of: int):
     p, q = np.nonzero(links)
     if not len(p):
         return None
-    root, leaf = forest(len(ids), p, q)
-    return ids[root], ids[leaf]
+    names, code = np.unique(component, return_inverse=True)
+    root, leaf = forest(len(names), code[p], code[q])
+    return names[root], names[leaf]
 
 
 def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
@@ -387,32 +394,34 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
         )
 
     def of_rep(found: DataFrame) -> DataFrame:
-        """Pairs (a, doc) as pairs of representatives, the smaller first."""
-        a = by_rep.select(F.col("doc").alias("a"), F.col("rep").alias("x"))
-        b = by_rep.select("doc", F.col("rep").alias("y"))
-        return found.distinct().join(a, "a").join(b, "doc").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        """Pairs (a, doc) with their representatives, where these differ: x the smaller one, y the other."""
+        a = by_rep.select(F.col("doc").alias("a"), F.col("rep").alias("ra"))
+        b = by_rep.select("doc", F.col("rep").alias("rb"))
+        both = found.join(a, "a").join(b, "doc").where("ra != rb")
+        return both.select("a", "doc", F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
 
     # One first for each set; what is then still apart goes to the cells, where a set travels with others, not by the pair.
-    pairs = of_rep(buckets.select("a", "doc")).where("a < b")
-    pairs = written(candidates(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "pairs")
+    met = written(of_rep(buckets.select("a", "doc").distinct()), "met")
+    pairs = written(candidates(met.groupBy("y").agg(F.min("x").alias("a")).select("a", F.col("y").alias("b"))), "pairs")
     links = written(_first_links(pairs, rows, width, of), "links")
-    found = components(links)
-
-    # Buckets with members in several components: compare across those.
-    in_rep = (
-        buckets.join(by_rep.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a")
-        .join(by_rep.select("doc", F.col("rep").alias("rd")), "doc")
-        .where("ra != rd")
-    )
-    member = in_rep.select("sig", F.explode(F.array("ra", "rd")).alias("id")).distinct()
-    member = member.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    member = written(member, "members")
-    split = member.groupBy("sig").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("lead")
+    found = roots(links)
+
+    # Buckets with members in several components: compare across those.  A bucket's pairs hang together, so in each such
+    # bucket one joins two components; few pairs do, and only their buckets' rows are shuffled any further.
+    label = found.select("id", "component")
+    apart = (
+        met.join(label.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left")
+        .join(label.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
+        .where(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
+        .select("a", "doc")
     )
-    split = split.where("x != y").select("sig", "lead")
-    member = written(member.join(split, "sig"), "split-members")
-    if member.take(1):
+    split = written(buckets.join(written(apart, "apart"), ["a", "doc"], "left_semi").select("sig").distinct(), "split")
+    if split.take(1):
+        inside = buckets.join(split, "sig", "left_semi").select("sig", F.explode(F.array("a", "doc")).alias("doc")).distinct()
+        member = inside.join(by_rep, "doc").select("sig", F.col("rep").alias("id")).distinct()
+        member = member.join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        member = written(member, "members")
+        member = written(member.join(member.groupBy("sig").agg(F.min("id").alias("lead")), "sig"), "split-members")
         # Buckets that share members are one cluster; it is compared in cells of two bounded blocks.
         cluster = components(member.select(F.col("lead").alias("a"), F.col("id").alias("b")))
         member = member.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id", "left")
@@ -429,7 +438,11 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
         cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         more = written(_cell_links(cells, of), "cell-links")
         if more.take(1):
-            found = components(links.union(more))
+            # Components that cells joined, by the names they had before.
+            joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
+            ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            names = found.union(ends.select("id", F.col("id").alias("component")))
+            found = names.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
     component = by_rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc", F.coalesce("component", "rep").alias("component")
     )

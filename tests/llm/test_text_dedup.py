@@ -166,3 +166,31 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeats(docs).count() == 0
     assert jaccard(spark, [], 4, 85) == []
     assert jaccard_join.keep_one(docs).count() == 0
+
+
+def test_roots(spark, monkeypatch):
+    """Trees of parents, as first links are, need no round of stars; their paths shorten by halves."""
+    from shelfmark.llm import components
+
+    steps = []
+    write = components.written
+    monkeypatch.setattr(components, "written", lambda df, name: steps.append(name) or write(df, name))
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300)] + [(500, k) for k in range(501, 520)]
+    found = {r["id"]: r["component"] for r in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 1 for i in range(2, 41)} | {200: 100, 300: 100} | {k: 500 for k in range(501, 520)}
+    assert len(steps) <= 8 and set(steps) == {"parents"}
+    assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_steps(spark, monkeypatch):
+    """Links of a set with its first are joined without rounds of stars, and cells join components by name."""
+    steps = []
+    stars = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: steps.append(edges.count()) or stars(edges))
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*base[: 300 - k], f"z{k}"])) for k in range(12)] + [(90, " ".join(base[::-1]))]
+    assert jaccard(spark, rows, 4, 85) == sorted(brute.jaccard_components(rows, 4, 85), key=str)
+    assert steps == []
+    rows = [(k, " ".join(base[4 * k : 4 * k + 100])) for k in range(50)]
+    assert jaccard(spark, rows, 4, 85) == sorted(brute.jaccard_components(rows, 4, 85), key=str)
+    assert len(steps) in (0, 1, 2) and all(n < 50 for n in steps[1:])
