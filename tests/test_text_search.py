@@ -290,3 +290,26 @@ def test_blocks_are_stored_where_they_are_made(spark):
     for task in {r.task for r in rows}:
         mine = [(r.bucket, r.term) for r in rows if r.task == task]
         assert mine == sorted(mine)
+
+
+def test_only_asked_blocks_travel(spark, indexes, monkeypatch):
+    """Beside many ranges only blocks of asked terms are joined; blocks meet prefixes by bin, not by a table of the terms found."""
+    index, steps, opened = indexes["random"], {}, []
+    write, look = ti.materialise, ti._open
+
+    def noted(df, name, *more):
+        steps[name] = df
+        return write(df, name, *more)
+
+    monkeypatch.setattr(ti, "materialise", noted)
+    monkeypatch.setattr(ti, "_open", lambda *given: opened.append(look(*given)) or opened[-1])
+    rows = random_rows()
+    assert sorted(spark_hits(spark, index, "river bank")) == sorted(sqlite_hits(rows, "river bank"))
+    assert sorted(spark_hits(spark, index, "river bank", mode="phrase")) == sorted(sqlite_hits(rows, '"river bank"'))
+    assert len(opened) == 2
+    for blocks in opened:
+        assert "LeftSemi" in blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(spark_hits(spark, index, "alph t b", mode="prefix")) == sorted(sqlite_hits(rows, "alph* t* b*"))
+    assert "prefix-terms" not in steps
+    found = {(r.prefix, r.bin) for r in steps["prefix-bins"].collect()}
+    assert found == {("alph", "alp"), ("t", "the"), ("b", "ban"), ("b", "bet")}
