@@ -12,12 +12,15 @@ A signature without features is left out where it is not needed: a set with e gr
 subset agrees with any match in at least g groups, and if e < g one of them is not empty.  Only sets with
 e >= g give their empty signatures too.  So no link is lost.
 
-Members of a signature's bucket are compared with its first (counts and minima are summed on the map side; within an
-Arrow batch before any shuffle), on the whole sets, each set with the least of its firsts.  Buckets whose members are
-then not all in one component form
-clusters with those they share members with, and all sets of a cluster are compared: in cells of two blocks of
-about BLOCK_ITEMS features and BLOCK_SETS sets at most each, by products of incidence matrices that only leave the task as a forest
-of the links found.  So hot groups of near copies never give all pairs.  Equal sets are one class from the start.
+Members of a signature's bucket meet its first (counts and minima are summed on the map side; within an Arrow batch
+before any shuffle).  Most sets that meet are not alike.  So each has a sketch, of about one bit a feature: whether an odd
+number of its features fall on the bit.  Two sets differ in as many features as their sketches in bits, or more, so pairs
+whose sketches differ too much have no link, and only others are compared on the whole sets: first each set with the least
+of the firsts it may link with.  All that meet one first are a group, which holds every bucket with that first.  The
+sketches of groups that are then not all in one component are compared with each other; sets that may link, and
+those they may link with in turn, are a cluster, and all sets of a cluster are compared.  Both is done in cells of two
+blocks of bounded features and sets each, whole sets by products of incidence matrices, and only a forest of what was found leaves
+the task.  So hot groups of near copies never give all pairs.  Equal sets are one class from the start.
 
 Words are lower-cased (A-Z) runs without white space; a text shorter than a shingle is one shingle, one without
 words has no set and links with nothing.  Null counts as empty.  Rows are numbered and each has a set of its own,
@@ -42,6 +45,9 @@ _SALT = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0x
 SMALL = 8
 BLOCK_ITEMS, BLOCK_SETS, COLUMNS = 1 << 18, 1024, 2048
 BYTES = 6  # that hold a feature
+WORD = 64  # bits; a sketch has so many at least
+SKETCH_BLOCKS = 4  # blocks of sets whose sketches are one block
+NEAR_WORDS = 1 << 20  # of sketches that are compared at a time
 BATCH = 1 << 20  # bytes of text of which signatures and sets are made at a time, as a worker keeps the memory it once took
 
 
@@ -79,6 +85,15 @@ class Features:
             out.append((sums[self.starts[1:]] - sums[self.starts[:-1]]).view(np.int64))
         return out
 
+    def sketches(self) -> pa.Array:
+        """Of every set bits, as many as features or up to twice that, in 64-bit words: odd where an odd number of features fall."""
+        bits = 1 << np.ceil(np.log2(np.maximum(self.sizes, WORD))).astype(np.int64)
+        starts = np.append(0, np.cumsum(bits))
+        at = starts[self.rows] + (self.values.astype(np.int64) & (bits - 1)[self.rows])
+        odd = (np.bincount(at, minlength=starts[-1]) & 1).astype(np.uint8)
+        words = np.packbits(odd, bitorder="little").view("<i8")
+        return pa.ListArray.from_arrays(pa.array((starts // WORD).astype(np.int32)), pa.array(words))
+
 
 class Bands:
     """Bands of sizes, and for each the groups and parts its signatures use."""
@@ -276,9 +291,55 @@ def _sets(rows: DataFrame, places: DataFrame, width: int) -> DataFrame:
     return made.select("doc", "size", "items", F.explode("places").alias("p")).select("doc", "size", "items", "p.*")
 
 
-def _blocks(size: str) -> Column:
-    """How many blocks hold these sets, of about BLOCK_ITEMS features and BLOCK_SETS sets at most each."""
-    return F.greatest(F.ceil(F.sum(size) / BLOCK_ITEMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+def set_sketches(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc, size, sketch) of the sets of these numbers (doc)."""
+
+    def run(batches):
+        for batch in by_bytes(batches, limit=BATCH):
+            f = Features(batch["text"], width)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc"], pa.array(f.sizes.astype(np.int32)), f.sketches()], names=["doc", "size", "sketch"]
+            )
+
+    return _input(_marked(rows, ids)).mapInArrow(run, "doc long, size int, sketch array<long>")
+
+
+def may_link(of: int) -> Column:
+    """Whether two sets (size_a, sketch_a, size_b, sketch_b) may link, by their sizes and by the bits in which their sketches differ.
+
+    The longer sketch is folded to the shorter; one that is more than twice as long rules nothing out.
+    """
+    least, most = (f(F.size("sketch_a"), F.size("sketch_b")) for f in (F.least, F.greatest))
+
+    def folded(x: str) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), least), F.slice(x, least + 1, least), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) == least, F.col(x)).otherwise(halves)
+
+    differing = F.zip_with(folded("sketch_a"), folded("sketch_b"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    bits = F.aggregate(differing, F.lit(0), lambda total, n: total + n)
+    sizes = F.expr(f"100 * least(size_a, size_b) >= {of} * greatest(size_a, size_b)")
+    return sizes & ((most > 2 * least) | (bits * (100 + of) <= (F.col("size_a") + F.col("size_b")) * (100 - of)))
+
+
+def _blocks(size: str, times: int = 1) -> Column:
+    """How many blocks hold these sets, of about BLOCK_ITEMS features and BLOCK_SETS sets at most each, or `times` as much."""
+    return F.greatest(F.ceil(F.sum(size) / (times * BLOCK_ITEMS)), F.ceil(F.count("*") / (times * BLOCK_SETS))).cast("int")
+
+
+def _in_cells(members: DataFrame, by: str, times: int = 1) -> DataFrame:
+    """(doc, component, `by`, i, j, side): the places of members (id, component, size) in cells of two blocks of their group.
+
+    Groups whose members are all in one component have no cells.
+    """
+    blocks = members.groupBy(by).agg(
+        _blocks("size", times).alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    mixed = blocks.where("low < high").select(by, "blocks")
+    placed = members.join(mixed, by).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        F.col("id").alias("doc"), "component", by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") <= F.col("other")).cast("int").alias("side"),
+    )
 
 
 def _first_links(pairs: DataFrame, rows: DataFrame, width: int, of: int) -> DataFrame:
@@ -327,6 +388,54 @@ def _cell_links(cells: DataFrame, of: int) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
+def _near_links(cells: DataFrame, of: int) -> DataFrame:
+    """(a, b): a forest of the sets of a cell that are in different components and may link by their sketches."""
+
+    def run(batches):
+        for cell in grouped(batches, ("lead", "i", "j")):
+            found = _near(cell, of)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _near(cell: pa.Table, of: int):
+    ids, component, side, size = (cell[c].to_numpy() for c in ("doc", "component", "side", "size"))
+    if len(ids) < 2 or component.min() == component.max():
+        return None
+    size = size.astype(np.int64)
+    sketches = cell["sketch"].combine_chunks()
+    words, bits = sketches.value_lengths().to_numpy(), sketches.flatten().to_numpy().view(np.uint64)
+    starts = np.cumsum(words) - words
+    across = cell["i"][0].as_py() != cell["j"][0].as_py()
+    found = []
+    for n in np.unique(words).tolist():
+        # Each sketch of this length with all of its own length and those of twice that, folded.
+        mine, longer, far = np.flatnonzero(words == n), np.flatnonzero(words == 2 * n), np.flatnonzero(words > 2 * n)
+        own = bits[starts[mine][:, None] + np.arange(n)]
+        halves = bits[starts[longer][:, None] + np.arange(2 * n)]
+        every, held = np.concatenate([mine, longer, far]), np.concatenate([own, halves[:, :n] ^ halves[:, n:]])
+        step = max(1, NEAR_WORDS // (len(held) * n))
+        for at in range(0, len(mine), step):
+            here = mine[at : at + step]
+            differ = np.zeros((len(here), len(every)), np.int64)
+            differ[:, : len(held)] = np.bitwise_count(own[at : at + step, None, :] ^ held[None, :, :]).sum(axis=2, dtype=np.int64)
+            both = size[here][:, None] + size[every][None, :]
+            least = np.minimum(size[here][:, None], size[every][None, :])
+            near = (100 * least >= of * (both - least)) & (differ * (100 + of) <= both * (100 - of))
+            near &= component[here][:, None] != component[every][None, :]
+            if across:
+                near &= side[here][:, None] != side[every][None, :]
+            p, q = np.nonzero(near)
+            found.append((here[p], every[q]))
+    p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(p):
+        return None
+    root, leaf = forest(len(ids), p, q)
+    return ids[root], ids[leaf]
+
+
 def _linked(cell: pa.Table, of: int):
     ids, component, side, size = (cell[c].to_numpy() for c in ("id", "component", "side", "size"))
     if len(ids) < 2 or component.min() == component.max():
@@ -377,64 +486,48 @@ def near_components(rows: DataFrame, width: int, of: int) -> DataFrame:
     mine = made.where("first is null and key is not null and doc is not null").select("key", "doc").repartition("key")
     first = mine.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("n"))
     shared = mine.join(first.where("n > 1"), "key").where("doc != a")
-    local = made.where("first is not null").select("sig", "doc", F.col("first").alias("a"))
-    buckets = shared.select(F.col("key").alias("sig"), "doc", "a").union(local)
+    local = made.where("first is not null").select("sig", "doc", F.col("first").alias("a"), F.lit(True).alias("local"))
+    buckets = shared.select(F.col("key").alias("sig"), "doc", "a", F.lit(False).alias("local")).union(local)
     buckets = written(buckets, "buckets")
 
     by_rep = reps.select("doc", "rep")
-    sizes = reps.where("doc = rep").select("doc", "size")
-
-    def candidates(found: DataFrame) -> DataFrame:
-        """Pairs of different representatives whose sizes allow a link."""
-        a, b = (sizes.select(F.col("doc").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-        return (
-            found.where("a < b").distinct().join(a, "a").join(b, "b")
-            .where(f"100 * least(size_a, size_b) >= {of} * greatest(size_a, size_b)")
-            .select("a", "b", "size_b")
-        )
-
-    def of_rep(found: DataFrame) -> DataFrame:
-        """Pairs (a, doc) with their representatives, where these differ: x the smaller one, y the other."""
-        a = by_rep.select(F.col("doc").alias("a"), F.col("rep").alias("ra"))
-        b = by_rep.select("doc", F.col("rep").alias("rb"))
-        both = found.join(a, "a").join(b, "doc").where("ra != rb")
-        return both.select("a", "doc", F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
+    # Those that met an earlier one of their batch also meet that one's first, of the same signature.
+    inner = buckets.where("local").select("sig", "doc", F.col("a").alias("early"))
+    early = written(inner.select("early").distinct(), "early")
+    outer = buckets.where("not local").select("sig", F.col("doc").alias("early"), "a").join(early, "early", "left_semi")
+    met = buckets.select("a", "doc").union(inner.join(outer, ["sig", "early"]).select("a", "doc")).distinct()
+    met = (
+        met.join(by_rep.select(F.col("doc").alias("a"), F.col("rep").alias("lead")), "a")
+        .join(by_rep.select("doc", F.col("rep").alias("id")), "doc")
+        .where("lead != id").select("lead", "id").distinct()
+    )
+    met = written(met, "met")
+    sketches = written(set_sketches(rows, met.select(F.explode(F.array("lead", "id")).alias("doc")), width), "sketches")
 
     # One first for each set; what is then still apart goes to the cells, where a set travels with others, not by the pair.
-    met = written(of_rep(buckets.select("a", "doc").distinct()), "met")
-    pairs = written(candidates(met.groupBy("y").agg(F.min("x").alias("a")).select("a", F.col("y").alias("b"))), "pairs")
-    links = written(_first_links(pairs, rows, width, of), "links")
+    a, b = (sketches.select(F.col("doc").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    pairs = met.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    pairs = pairs.join(a, "a").join(b, "b").where(may_link(of)).groupBy("b").agg(F.min("a").alias("a"), F.max("size_b").alias("size_b"))
+    links = written(_first_links(written(pairs, "pairs"), rows, width, of), "links")
     found = roots(links)
 
-    # Buckets with members in several components: compare across those.  A bucket's pairs hang together, so in each such
-    # bucket one joins two components; few pairs do, and only their buckets' rows are shuffled any further.
+    # Groups with members in several components: compare across those.
     label = found.select("id", "component")
-    apart = (
-        met.join(label.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left")
-        .join(label.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
-        .where(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
-        .select("a", "doc")
-    )
-    split = written(buckets.join(written(apart, "apart"), ["a", "doc"], "left_semi").select("sig").distinct(), "split")
-    if split.take(1):
-        inside = buckets.join(split, "sig", "left_semi").select("sig", F.explode(F.array("a", "doc")).alias("doc")).distinct()
-        member = inside.join(by_rep, "doc").select("sig", F.col("rep").alias("id")).distinct()
-        member = member.join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        member = written(member, "members")
-        member = written(member.join(member.groupBy("sig").agg(F.min("id").alias("lead")), "sig"), "split-members")
-        # Buckets that share members are one cluster; it is compared in cells of two bounded blocks.
-        cluster = components(member.select(F.col("lead").alias("a"), F.col("id").alias("b")))
-        member = member.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id", "left")
-        member = member.select("id", "component", F.coalesce("cluster", "id").alias("cluster"))
-        member = written(member.join(sizes.withColumnRenamed("doc", "id"), "id"), "clustered")
-        blocks = member.groupBy("cluster").agg(_blocks("size").alias("blocks"))
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        cells = member.drop("size").join(blocks, "cluster").withColumn("own", own)
-        cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-            F.col("id").alias("doc"), "cluster", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            (F.col("own") <= F.col("other")).cast("int").alias("side"),
+    members = met.union(met.select("lead", F.col("lead").alias("id")).distinct())
+    members = members.join(sketches.select(F.col("doc").alias("id"), "size"), "id").join(label, "id", "left")
+    members = written(members.select("lead", "id", "size", F.coalesce("component", "id").alias("component")), "members")
+    cells = written(_in_cells(members, "lead", SKETCH_BLOCKS), "near-places").join(sketches, "doc")
+    near = _near_links(cells.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j"), of)
+    near = written(near.distinct(), "near")
+    if near.take(1):
+        # Sets that may link are one cluster; it is compared in cells of two bounded blocks.
+        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        member = ids.join(members.select("id", "size", "component").distinct(), "id").join(
+            components(near).withColumnRenamed("component", "cluster"), "id", "left"
         )
-        cells = _sets(rows, written(cells, "cell-places"), width).withColumnRenamed("doc", "id")
+        member = written(member.select("id", "size", "component", F.coalesce("cluster", "id").alias("cluster")), "clustered")
+        cells = written(_in_cells(member, "cluster"), "cell-places")
+        cells = _sets(rows, cells, width).withColumnRenamed("doc", "id")
         cells = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         more = written(_cell_links(cells, of), "cell-links")
         if more.take(1):

@@ -4,6 +4,7 @@ import re
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.llm import exact_dedup, jaccard_join, substring_dedup
@@ -130,6 +131,32 @@ def test_jaccard_first_in_blocks(spark, monkeypatch):
     assert len(raw) == 24 and (jaccard_join.unpacked([raw[:6], raw[6:], b""]) == values).all()
 
 
+def test_jaccard_sketches(spark, monkeypatch):
+    """Sketches differ in no more bits than sets in features, so no link is lost; texts that only share parts are not sent to be compared."""
+    base, sent = [f"w{i}" for i in range(400)], {}
+    texts = [" ".join([*base[:n], *(f"z{n}{i}" for i in range(m))]) for n in (3, 60, 66, 68, 120, 127, 131, 135, 262, 300) for m in (0, 1, 9)] + [""]
+    f = jaccard_join.Features(pa.array(texts), 4)
+    sets, sketches = [set(x.tolist()) for x in np.split(f.values, f.starts[1:-1])], f.sketches().to_pylist()
+    assert all(len(x) * 64 >= n and len(x) * 32 < max(n, 33) for x, n in zip(sketches, map(len, sets), strict=True))
+    rows = [(x, y) for x in range(len(sets)) for y in range(len(sets))]
+    ends = [(x, y, len(sets[x]), len(sets[y]), sketches[x], sketches[y]) for x, y in rows if sets[x] and sets[y]]
+    pairs = spark.createDataFrame(ends, "a int, b int, size_a long, size_b long, sketch_a array<long>, sketch_b array<long>")
+    may = {(r["a"], r["b"]) for r in pairs.where(jaccard_join.may_link(85)).collect()}
+    assert may >= {(x, y) for x, y, *_ in ends if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])}
+    assert len(may) < len(ends) / 2
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        sent[name] = out.count()
+        return out
+
+    write = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    rows = [(k, " ".join([*base[:120], *(f"z{k}-{i}" for i in range(60))])) for k in range(40)]
+    assert jaccard(spark, rows, 4, 85) == [(k, 177, k) for k, _ in sorted(rows, key=lambda r: str((r[0], 177, r[0])))]
+    assert sent["met"] >= 39 and sent["first-places"] == sent.get("cell-places", 0) == 0
+
+
 def test_jaccard_leaves_its_result_only(spark):
     """The tables of the steps are gone when the components are written."""
     before = set(os.listdir(shared_folder(spark)))
