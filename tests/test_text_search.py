@@ -313,3 +313,28 @@ def test_only_asked_blocks_travel(spark, indexes, monkeypatch):
     assert "prefix-terms" not in steps
     found = {(r.prefix, r.bin) for r in steps["prefix-bins"].collect()}
     assert found == {("alph", "alp"), ("t", "the"), ("b", "ban"), ("b", "bet")}
+
+
+def test_dictionary_is_not_shuffled(spark, tmp_path):
+    """Terms of queries that come from a large table meet a larger dictionary by a broadcast, as their size is known."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    rows = [(f"d{i}", " ".join(f"w{j}" for j in range(20 * i, 20 * i + 20))) for i in range(400)]
+    index = ti.write_index(ti.build_index(spark.createDataFrame(rows, "id string, text string"), ["text"]), str(tmp_path / "index"), 2)
+    queries = spark.range(3_000_000).selectExpr("id % 3 as qid", "concat('w', 50 * (id % 3)) as query").distinct()
+    plans, write = {}, ti.materialise
+
+    def noted(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *more)
+
+    spark.conf.set(key, "20k")
+    ti.materialise = noted
+    try:
+        found = sorted((r["qid"], r["doc_id"]) for r in ti.search(queries, index).collect())
+        matched = sorted((r["qid"], r["doc_id"]) for r in ti.match(queries, index).collect())
+    finally:
+        ti.materialise = write
+        spark.conf.set(key, before)
+    assert found == matched == [(0, "d0"), (1, "d2"), (2, "d5")]
+    assert "SortMergeJoin" not in plans["asked"]
