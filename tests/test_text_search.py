@@ -319,9 +319,9 @@ def test_dictionary_is_not_shuffled(spark, tmp_path):
     """Terms of queries that come from a large table meet a larger dictionary by a broadcast, as their size is known."""
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
-    rows = [(f"d{i}", " ".join(f"w{j}" for j in range(20 * i, 20 * i + 20))) for i in range(400)]
+    rows = [(f"d{i}", " ".join(f"w{j}" for j in range(200 * i, 200 * i + 200))) for i in range(400)]
     index = ti.write_index(ti.build_index(spark.createDataFrame(rows, "id string, text string"), ["text"]), str(tmp_path / "index"), 2)
-    queries = spark.range(3_000_000).selectExpr("id % 3 as qid", "concat('w', 50 * (id % 3)) as query").distinct()
+    queries = spark.range(3_000_000).selectExpr("id % 3 as qid", "concat('w', 500 * (id % 3)) as query").distinct()
     plans, write = {}, ti.materialise
 
     def noted(df, name, *more):
